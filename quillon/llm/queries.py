@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from .decontamination import OP8_SQL, op8_decontamination
 from .packing import op3_packing
+from .quality import OP10_SQL, op10_quality_rules
 from .sharding import op6_sharding
 from .simhash import op2_simhash
+from .substrings import OP5_SQL, op5_substring_dedup
 from .tokens import op7_token_counts
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": OP5_SQL,
+    "op8_decontamination": OP8_SQL,
+    "op10_quality_rules": OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
