@@ -3,9 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import packing, simhash
-from quillon.llm.common import documents, staged, vocabulary
+from quillon.llm import decontamination, language, packing, simhash, substrings
+from quillon.llm.common import documents, fresh, staged, vocabulary
+
+#: A document stays if one language holds this share of it.
+LEAST_SHARE = 0.5
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: texts without a letter, and those in which no language holds half, go."""
+    model = language.learn(language.learned_from(docs))
+    found = fresh(docs, "language")
+    out = language.identified(docs, model, name=found)
+    return out.where((F.col(found)["lang_pred"] != "und") & (F.col(found)["score"] >= LEAST_SHARE)).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,17 +25,34 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.first_of_each(docs)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: repeated passages leave the texts; a document of which nothing is left goes."""
+    out = substrings.without_repeats(docs).where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
+    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark passage go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: the pieces of sequences that hold all tokens of the documents left."""
     return packing.packed(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("language_id", identify),
     ("simhash_near_dedup", keep_one_of_each),
+    ("substring_dedup", cut_repeats),
+    ("benchmark_decontamination", decontaminate),
     ("packing", pack),
 ]
 
-#: Language identification, SimHash and packing aren't expressible in SQL; tests hold them against brute force.
+#: Language identification, SimHash and packing aren't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
