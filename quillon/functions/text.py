@@ -80,7 +80,7 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
 
 
 def three_decimals(x: Column) -> Column:
-    return F.when(F.isnan(x), F.lit("nan")).otherwise(F.format_string("%.3f", x))
+    return F.when(F.isnan(x), F.lit("nan")).otherwise(F.format_string("%.3f", F.round(x, 3)))
 
 
 def nan_to_null(x: Column) -> Column:
@@ -89,7 +89,7 @@ def nan_to_null(x: Column) -> Column:
 
 def share_text(part: Column, total: Column) -> Column:
     """One decimal and a percent sign, ``n/a`` on a zero total."""
-    return F.when(total == 0, F.lit("n/a")).otherwise(F.concat(F.format_string("%.1f", F.lit(100.0) * part / F.when(total != 0, total)), F.lit("%")))
+    return F.when(total == 0, F.lit("n/a")).otherwise(F.concat(F.format_string("%.1f", F.round(F.lit(100.0) * part / F.when(total != 0, total), 1)), F.lit("%")))
 
 
 def rank_text(rank: Column, limit: int) -> Column:

@@ -87,13 +87,12 @@ def dense_topk(spark, d):
 
 
 def index_filter(spark, d):
-    """Search within one work only: the label of the query's own vector."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    labels = e.select("vec_id", "label")
-    found = R.dense_topk(q, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")).where("chunk_id is not null"), 50)
-    own = found.join(labels.withColumnRenamed("vec_id", "query_id").withColumnRenamed("label", "own"), "query_id")
-    return own.join(labels.withColumnRenamed("vec_id", "chunk_id"), "chunk_id").where("label = own").select("query_id", "chunk_id", "label", *_r6("score"))
+    """Search restricted to one work: the vectors with the label of the query's own vector."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
+    pairs = e.join(R.checked(q), "label").withColumn("score", dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v"))).withColumnRenamed("vec_id", "chunk_id")
+    return R.top(pairs, 10).select("query_id", "chunk_id", "label", "rank", *_r6("score"))
 
 
 def hits_payload(spark, d):
@@ -201,7 +200,7 @@ ORACLES = {
     "embed_dense": f"WITH {_CH} SELECT chunk_id, dim, round(v, 6) AS value FROM hvn",
     "sparse_topk": f"WITH {_CH} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 10",
     "dense_topk": f"WITH s AS ({_DENSE}) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ({S.ranked('s', 10)})",
-    "index_filter": f"WITH s AS ({_DENSE}), r AS ({S.ranked('s', 50)}) SELECT query_id, chunk_id, b.label, round(score, 6) AS score FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_id WHERE a.label = b.label",
+    "index_filter": f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0) SELECT query_id, chunk_id, label, rank, round(score, 6) AS score FROM ({S.ranked('s', 10)})",
     "hits_payload": f"WITH {_CH} SELECT query_id, chunk_id, rank, source, lang, n_chars FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 10",
     "rrf_fuse": f"WITH {_CH} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ({S.ranked(S.fused(), 10)})",
     "topk_tiebreak": f"WITH s AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS score FROM orders) {S.ranked('s', 3)}",
