@@ -9,8 +9,11 @@ last sequence's worth of a chunk is padding.
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,29 +35,84 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens big
 
 
 class Tokens:
-    """Ids of whole texts by the tokenizers library, each distinct word encoded once (words never join across white space)."""
+    """Ids of whole texts by the tokenizers library, each distinct word encoded once (words never join across white space).
+
+    Words of letters, alone or before common signs, are encoded many to a string, and cut apart after each id that ends a
+    pre-token: such a word is one pre-token, and so are the signs after it.  All other words are encoded by themselves.
+    """
+
+    SIGNS = b".,;:!?*#$%&|<>()+=@-\""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.end = Tokenizer.from_file(path), {}, np.uint32(end_id).tobytes()
+        self.tokenizer, self.end = Tokenizer.from_file(path), np.uint32(end_id).tobytes()
+        self.known: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+        self.signs: dict[bytes, bytes] = {b"": b""}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+
+    def each(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, encoded by itself."""
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, encoded in strings of many."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 20_000):
+            lines = [words[j : j + 100] for j in range(k, min(k + 20_000, len(words)), 100)]
+            for line, e in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(ws).decode() for ws in lines], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                cut = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *cut.tolist()], cut.tolist())] if len(cut) == len(line) else self.each(line)
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        letters, signs = self.letters, self.signs
+        cores = [w.rstrip(self.SIGNS).lower() for w in words]
+        plain = [c.isalpha() or (not c.isascii() and c.decode("utf-8", "replace").lower().isalpha()) for c in cores] if self.ends.any() else [False] * len(words)
+        others = [w for w, p in zip(words, plain) if not p]
+        for k in range(0, len(others), 20_000):
+            self.known.update(zip(others[k : k + 20_000], self.each(others[k : k + 20_000])))
+        words, cores = list(compress(words, plain)), list(compress(cores, plain))
+        new = [c for c in set(cores) if c not in letters]
+        letters.update(zip(new, self.together(new)))
+        after = [w[len(c) :] for w, c in zip(words, cores)]
+        marks = [s for s in set(after) if s not in signs]
+        signs.update(zip(marks, self.each(marks)))
+        self.known.update(zip(words, [letters[c] + signs[s] if s else letters[c] for c, s in zip(cores, after)]))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text with the end id."""
         split = [t.split() for t in texts]
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-            new = list(set().union(*split))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        get = self.known.__getitem__
+        for table in (self.known, self.letters, self.signs):
+            if len(table) > KEPT_WORDS:
+                table.clear()
+                self.signs[b""] = b""
+        known = self.known
+        self.learn([w for w in set().union(*split) if w not in known])
+        get = known.__getitem__
         return [b"".join(map(get, ws)) + self.end for ws in split]
 
 
+_kept: dict[tuple[str, int], Tokens] = {}
+
+
+def tokens_for(path: str, end_id: int) -> Tokens:
+    """One for each Python worker, which keeps it from task to task."""
+    if (path, end_id) not in _kept:
+        _kept[path, end_id] = Tokens(path, end_id)
+    return _kept[path, end_id]
+
+
 def pack(lengths: np.ndarray, size: int = MAX_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` that hold every token of documents of these lengths once.
 
@@ -100,7 +158,7 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = END_ID, max_tokens: i
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, first = Tokens(vocab_path, end_id), TaskContext.get().partitionId() << 40
+        tokens, first = tokens_for(vocab_path, end_id), TaskContext.get().partitionId() << 40
         rows = ((i, x) for b in it for i, x in zip(b.column(0).to_pylist(), tokens.ids(as_bytes(b.column(1)))))
         for chunk in batches(rows, 4 * chunk_tokens, lambda r: len(r[1])):
             lengths = np.array([len(x) // 4 for _, x in chunk], np.int64)
