@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, documents, fresh, staged
+from .common import bounded_batches, documents, fresh, sized, staged
 
 SHARDS = 24
 SEED = 17
+#: Sources whose sizes are broadcast; more are joined by sort-merge.
+BROADCAST_SOURCES = 100_000
 
 
 def ranked(df: DataFrame, order: list[str], within: str | None = None, name: str = "rank") -> DataFrame:
@@ -73,8 +75,9 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, text: s
     total = rows.count()
     order = ["seeded", "doc_id", "text_crc32", "size"]
     inside = ranked(rows, order, "stratum")
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n")).withColumnRenamed("stratum", "of_stratum")
-    placed = inside.join(sizes.hint("merge"), inside["stratum"] == sizes["of_stratum"]).withColumn("fraction", (F.col("rank") - 0.5) / F.col("n"))
+    # written out, so that the join below doesn't share a stage with the sums and Spark can split a large source
+    sizes = staged(rows.groupBy("stratum").agg(F.count("*").alias("n")).withColumnRenamed("stratum", "of_stratum"), "sizes")
+    placed = inside.join(sized(sizes, BROADCAST_SOURCES), inside["stratum"] == sizes["of_stratum"]).withColumn("fraction", (F.col("rank") - 0.5) / F.col("n"))
     placed = placed.select("doc_id", "stratum", "size", "text_crc32", "fraction", "seeded")
     everywhere = ranked(placed, ["fraction", "stratum", *order], None, "place")
     at = F.col("place") - 1
