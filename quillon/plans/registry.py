@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with ``QUERIES`` (name to function of session and folder) and ``ORACLES`` (name to DuckDB SQL).
-MODULES: list[str] = ["retrieval", "evaluation", "texts", "history", "signals", "markup"]
+MODULES: list[str] = ["retrieval", "evaluation", "texts", "history", "signals", "markup", "audit", "models"]
 
 
 def _gathered(kind: str) -> dict:
