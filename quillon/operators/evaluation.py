@@ -22,7 +22,8 @@ def passages_in(docs: DataFrame, items: DataFrame, width: int = 5) -> DataFrame:
     lead = i.select("item_id", "item_text", F.slice("t", 2, width).alias("lead"), F.size("t").alias("n")).where(F.col("n") >= width + 2)
     lead = lead.select("item_id", "item_text", F.xxhash64("lead").alias("h"))
     windows = F.transform(F.sequence(F.lit(1), F.size("t") - (width - 1)), lambda k: F.xxhash64(F.slice("t", k, F.lit(width))))
-    found = d.where(F.size("t") >= width).select("chunk_id", "text", F.explode(F.array_distinct(windows)).alias("h")).join(F.broadcast(lead), "h")
+    found = d.where(F.size("t") >= width).select("chunk_id", "text", F.explode(F.array_distinct(windows)).alias("h"))
+    found = found.join(F.broadcast(lead) if lead.limit(200_001).count() <= 200_000 else lead.hint("merge"), "h")
     return found.where(F.col("text").contains(F.col("item_text"))).select("item_id", "chunk_id").distinct()
 
 

@@ -132,3 +132,9 @@ def header(works: DataFrame) -> DataFrame:
     within = lambda outer, tag: T.clean_text(plain(F.regexp_replace(F.regexp_extract(head, rf"(?s)<{outer}>.*?<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]+>", "")))
     t = works.select("work_id", F.col("markup").rlike(r"<text[\s>]").alias("has_text"), titles.alias("t"), within("publicationStmt", "date").alias("edition_date"), within("sourceDesc", "p").alias("source_desc"))
     return t.select("work_id", "has_text", F.element_at(F.concat("t", F.array(F.lit(""))), 1).alias("title"), F.slice("t", 2, 1000).alias("alt_titles"), "edition_date", "source_desc")
+
+
+def with_text(works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Works that have a text element, and the rejected rest."""
+    has = F.col("markup").rlike(r"<(?:[^\s:/>]+:)?text[\s>]")
+    return works.where(has), works.where(~has | F.col("markup").isNull())

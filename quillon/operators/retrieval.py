@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import weights as W
+from quillon.sources import files
 
 RRF_K = 1
 PREFETCH = 50
@@ -109,12 +110,12 @@ def payload(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 class Corpus:
-    """Postings and idf of a table of chunks, worked out once for all that is asked of them."""
+    """Postings and idf of a table of chunks, written out once for all that is asked of them."""
 
     def __init__(self, chunks: DataFrame):
         self.chunks = chunks
-        self.posts = W.postings(chunks).persist()
-        self.idf = W.term_idf(self.posts, chunks.agg(F.count("*").alias("n"))).persist()
+        self.posts = files.staged(W.postings(chunks), "postings")
+        self.idf = files.staged(W.term_idf(self.posts, chunks.agg(F.count("*").alias("n"))), "idf")
 
     def sparse(self, queries: DataFrame, limit: int = PREFETCH) -> DataFrame:
         return sparse_topk(W.query_terms(queries), self.posts, self.idf, limit)

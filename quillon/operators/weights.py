@@ -48,3 +48,9 @@ def hashed_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = 64)
     entries = words.groupBy(key, bucket_of(F.col("token"), dim).alias("dim")).agg(F.count("*").alias("tf"))
     norms = entries.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
     return entries.join(norms, key).select(key, "dim", (F.col("tf") / F.col("norm")).alias("value"))
+
+
+def ensure_index(spark, path: str, schema: str) -> DataFrame:
+    """The index table at ``path``, created empty if there is none; the metric and idf are chosen by each query."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -17,7 +17,7 @@ CONFIGS = ["dense", "sparse", *(f"hybrid_k{k}" for k in RQ.SWEEP)]
 
 
 def _gold(spark, d):
-    return E.passages_in(RQ._chunks(spark, d), table(spark, d, "benchmark").select("item_id", "text")).persist()
+    return files.staged(E.passages_in(RQ._chunks(spark, d), table(spark, d, "benchmark").select("item_id", "text")), "gold")
 
 
 def _results(spark, d):
@@ -138,7 +138,7 @@ def resume_pending(spark, d):
     e = table(spark, d, "events")
     done = e.select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key")).distinct()
     modes = e.select(F.col("event_type").alias("mode")).distinct()
-    planned = table(spark, d, "customer").select(F.col("c_custkey").alias("item_id")).crossJoin(F.broadcast(modes.limit(100)))
+    planned = table(spark, d, "customer").select(F.col("c_custkey").alias("item_id")).crossJoin(R.checked(modes))
     return planned.withColumn("key", F.concat_ws(":", "mode", F.col("item_id").cast("string"))).join(done, "key", "left_anti")
 
 

@@ -8,6 +8,7 @@ from quillon.functions import text as T
 from quillon.operators import retrieval as R
 from quillon.operators import weights as W
 from quillon.plans import sql as S
+from quillon.sources import files
 from quillon.sources.tables import table
 
 SWEEP = (1, 5, 10, 20, 40, 60)
@@ -151,7 +152,7 @@ def sweep_hits(spark, d, queries=None, limit=10):
     c = R.Corpus(_chunks(spark, d))
     q = _items(spark, d) if queries is None else queries
     depth = max(50, 4 * limit)
-    s, h = c.sparse(q, depth).persist(), c.hashed(q, depth).persist()
+    s, h = files.staged(c.sparse(q, depth), "sparse"), files.staged(c.hashed(q, depth), "dense")
     cols = ["query_id", "chunk_id", "rank"]
     out = h.where(F.col("rank") <= limit).select(F.lit("dense").alias("config"), *cols).unionByName(s.where(F.col("rank") <= limit).select(F.lit("sparse").alias("config"), *cols))
     for k in SWEEP:

@@ -1 +1 @@
-
+"""Nothing streams here: work already done is skipped by keys (``index_upsert``, ``resume_pending``, ``evaluate_pending``)."""
