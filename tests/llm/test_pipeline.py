@@ -45,3 +45,40 @@ def _chain(spark, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, small)
     return docs
+
+
+def test_near_copies_are_found_by_jaccard(spark):
+    rng = np.random.default_rng(5)
+    stage, rows, want = dict(corpus_pipeline.STAGES)["simhash_near_dedup"], [], set()
+
+    def add(ws, stays):
+        rows.append((len(rows), " ".join(ws)))
+        if stays:
+            want.add(rows[-1][0])
+
+    def five(ws):
+        return {tuple(ws[k : k + 5]) for k in range(max(len(ws) - 4, 1))}
+
+    alike = lambda a, b: len(five(a) & five(b)) / len(five(a) | five(b))
+    for n in (9, 30, 60, 200, 600) * 6:
+        base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        add(base, True)
+        for _ in range(4):
+            copy = list(base)
+            while alike(base, copy) == 1 or rng.random() < 0.7 and n > 9:
+                before = list(copy)
+                copy[rng.integers(0, n) if n > 30 else -1] = f"x{rng.integers(0, 5000)}"
+                if alike(base, copy) < 0.8:
+                    copy = before if before != base else base[:-1]
+                    break
+            if alike(base, copy) >= 0.8:
+                add(copy, False)
+        far = [f"y{x}" if k % 10 == 0 else w for k, (w, x) in enumerate(zip(base, rng.integers(0, 5000, n)))]
+        assert alike(base, far) < 0.7
+        add(far, True)
+    add([], True)
+    add([], False)
+    assert len(rows) - len(want) > 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in stage(spark, docs, None).collect()} == want
+    assert stage(spark, docs.limit(0), None).count() == 0
