@@ -105,7 +105,8 @@ def build_prompt(spark, d):
 
 def judge_prompt(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
-    docs = table(spark, d, "documents").select("doc_id", F.pmod("doc_id", F.lit(40)).alias("item_id"), F.col("text").alias("passage"))
+    n_items = max(b.count(), 1)
+    docs = table(spark, d, "documents").select("doc_id", F.pmod("doc_id", F.lit(n_items)).alias("item_id"), F.col("text").alias("passage"))
     return docs.join(b, "item_id").select("doc_id", "item_id", G.judge_prompt(F.col("question"), F.col("passage")).alias("prompt"))
 
 

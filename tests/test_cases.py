@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import checks, chunking, evaluation, history, markup, models, retrieval, signals
+from quillon.plans import signals as signal_plans
 from quillon.sources import files
 
 SAMPLE = (
@@ -171,3 +172,11 @@ def test_failed_prompts_go_to_the_second_model(spark):
     p = spark.createDataFrame([(1, "a"), (2, "bb")], "id long, prompt string")
     out = models.with_fallback(p, lambda: lambda ps: [ValueError("no") if len(x) > 1 else x for x in ps], lambda: lambda ps: [x.upper() for x in ps])
     assert {(r.id, r.answer, r.model) for r in out.collect()} == {(1, "a", "primary"), (2, "BB", "fallback")}
+
+
+def test_judge_prompt_reaches_every_item(spark, tmp_path):
+    spark.createDataFrame([(k, f"question {k}") for k in range(90)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, f"passage {k}") for k in range(200)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = signal_plans.judge_prompt(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(200)) and {r.item_id for r in rows} == set(range(90))
+    assert all(f"question {r.item_id}" in r.prompt and f"passage {r.doc_id}" in r.prompt for r in rows)
