@@ -180,3 +180,15 @@ def test_judge_prompt_reaches_every_item(spark, tmp_path):
     rows = signal_plans.judge_prompt(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in rows) == list(range(200)) and {r.item_id for r in rows} == set(range(90))
     assert all(f"question {r.item_id}" in r.prompt and f"passage {r.doc_id}" in r.prompt for r in rows)
+
+
+def test_convergence_reads_every_vector(spark, tmp_path):
+    n = 2000
+    spark.createDataFrame([(k, [1.0, float(k)]) for k in range(n)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lines = [(k // 2, k % 2 + 1, k, 1, 0.1, "N") for k in range(2800)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.set_id: r.convergence for r in signal_plans.convergence(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(n // 2))
+    for s, c in got.items():
+        a, b = 2 * s, 2 * s + 1
+        assert abs(c - (1 + a * b) / math.sqrt((1 + a * a) * (1 + b * b))) < 2e-6
