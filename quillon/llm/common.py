@@ -115,6 +115,11 @@ def blocks_for(df: DataFrame, text: str, block_bytes: int) -> int:
     return int(total // block_bytes) + 1
 
 
+def partitions_for(spark: SparkSession, groups: int, each: int) -> int:
+    """Partitions for ``groups`` groups of bounded size, ``each`` to a partition: as many as the session sets at least, more as the input grows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // each))
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components of ``edges(u bigint, v bigint)`` as ``(node, component)``, component = smallest node.
 

@@ -6,59 +6,54 @@ zeros and ones; its Krichevsky-Trofimov estimate is mixed with the weighted esti
 prior and by what the training texts coded shorter by posterior.  A decision in a context that was never seen takes the
 estimate of the longest context that was.
 
-Counts are summed on Spark over all training texts, node by node from the longest contexts down.  The frozen predictor keeps,
-for each depth, a table of a fixed number of slots, in which the most frequent node of a slot stays; so what is broadcast is
-bounded whatever the corpus, and all counts and weights come from the whole of it.
-
-The unigram base needs each word's count in the corpus.  Documents are dealt into blocks; a block asks once for each of its
-distinct words, and the counts come back to the block, so no vocabulary is ever in one place.
+No node is dropped and nothing is rounded.  Documents are dealt into blocks of bounded size; a block asks once for each of its
+distinct grams (a context and the byte after it) and for each of its distinct words.  Asks of one gram or word meet in a bucket,
+where counts are summed over the corpus.  The grams then form the tree, level by level from the longest contexts up and from the
+shortest down; contexts meet by their last three bytes, and what lies above is summed with plain aggregates.  A gram's code
+length goes back to the blocks that asked for it, and so do the words' counts, from which the unigram base is worked out.
+Neither the tree nor the vocabulary is ever in one place.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, blocks_for, bounded_batches, documents, fold, fresh, staged, text_key
+from .common import as_bytes, batches, blocks_for, bounded_batches, documents, fold, partitions_for, staged, text_key, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
-DEPTH = 5
-#: Binary logarithm of each depth's slots in the frozen predictor (55 MB in all).
-SLOT_BITS = (8, 16, 18, 20, 22, 23)
-PAGE_BITS = 14
+DEPTH = 6
+#: Contexts of so many bytes and more are worked out in Python, by lots of their last TOP + 1 bytes; shorter ones by aggregates.
+TOP = 2
 BLOCK_BYTES = 16 << 20
 #: Bytes that are sorted at once.
 CHUNK = 4 << 20
-#: Lots that the nodes of contexts are dealt into, by their last three bytes.
-LOTS = 1024
 END = 10
 
 U = np.uint64
-OFFSETS = tuple(int(x) for x in np.cumsum([0] + [1 << b for b in SLOT_BITS]))
 
 
 def stream(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + b"\n"
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each coded byte: its context and itself in 48 bits (the latest context byte next to it), and its text's number."""
+def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each coded byte: its context, the latest byte highest, and the byte itself lowest; and each text's number of bytes."""
     coded = [stream(t) for t in texts]
-    pad = bytes([END]) * DEPTH
+    pad = bytes([END]) * depth
     x = np.frombuffer(pad + pad.join(coded), np.uint8).astype(np.uint64)
-    key = x[DEPTH:].copy()
-    for d in range(1, DEPTH + 1):
-        key |= x[DEPTH - d : len(x) - d] << U(8 * d)
+    key = x[depth:].copy()
+    for d in range(1, depth + 1):
+        key |= x[depth - d : len(x) - d] << U(8 * (depth + 1 - d))
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    own = np.repeat(np.tile([True, False], len(coded))[:-1], np.append(np.column_stack([sizes, np.full(len(sizes), DEPTH)]).ravel()[:-1], []).astype(np.int64))
-    return key[own], np.repeat(np.arange(len(coded)), sizes)
+    gaps = np.column_stack([sizes, np.full(len(sizes), depth)]).ravel()[:-1]
+    own = np.repeat(np.tile([True, False], len(coded))[:-1], gaps)
+    return key[own], sizes
 
 
 def runs(key: np.ndarray) -> np.ndarray:
@@ -69,261 +64,341 @@ def runs(key: np.ndarray) -> np.ndarray:
 def log_gamma(z: np.ndarray) -> np.ndarray:
     """Stirling's series, after a shift by six."""
     y = z + 6
-    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
     return series - np.log(z * (z + 1) * (z + 2) * (z + 3) * (z + 4) * (z + 5))
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1)
-
-
-def node_of(gram: np.ndarray, depth: int, bit: int) -> np.ndarray:
-    """Node that decides ``bit`` of the gram's byte in its last ``depth`` context bytes: context and path, the path in 8 bits."""
-    context = (gram >> U(8)) & U((1 << (8 * depth)) - 1)
-    return (context << U(8)) | (U(1) << U(bit)) | ((gram & U(255)) >> U(8 - bit))
-
-
-def slot_of(node: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of a node among all depths' slots, and the eight bits by which it is known there."""
-    with np.errstate(over="ignore"):
-        h = (node + U(depth + 1)) * U(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
-    if depth == 0:
-        slot = node & U(255)
-    elif depth == 1:
-        slot = node & U(0xFFFF)
-    else:
-        slot = h >> U(64 - SLOT_BITS[depth])
-    return slot.astype(np.int64) + OFFSETS[depth], (h & U(255)).astype(np.int64)
-
+    out = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1)
+    return np.where(zeros + ones > 0, out, 0.0)
 
-def entries(node: np.ndarray, depth: int, zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
-    """Rows ``slot, entry``: the entry's high half is the node's count, its low half check bits, estimate and weight."""
-    n = zeros + ones
-    slot, check = slot_of(node, depth)
-    p = np.clip(np.rint((ones + 0.5) / (n + 1) * 65536), 1, 65535).astype(np.int64)
-    w = np.rint(weight * 255).astype(np.int64)
-    return pd.DataFrame({"slot": slot, "entry": np.minimum(n, (1 << 30) - 1).astype(np.int64) << 32 | check << 24 | p << 8 | w})
 
-
-def climb(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def climb(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Weight of each node's own estimate against its longer contexts, and the logarithm of its weighted probability."""
     own = log_kt(zeros, ones)
     if below is None:
         return np.ones(len(own)), own
-    return 1 / (1 + np.exp(-np.clip(own - below, -50, 50))), np.logaddexp(own, below) - math.log(2)
+    return 1 / (1 + np.exp(np.clip(below - own, -700, 700))), np.logaddexp(own, below) - math.log(2)
 
 
-def _summed(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+def summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their values."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     at = runs(key)
-    return [key[at], *(np.add.reduceat(v[order], at) for v in values)]
-
-
-def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entries of the nodes at depths DEPTH to 3 of whole lots, and what their parents at depth 2 need."""
-    gram, n = pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(float)
-    parts, below, node = [], None, None
-    for depth in range(DEPTH, 2, -1):
-        own = np.concatenate([node_of(gram, depth, k) for k in range(8)])
-        bit = np.concatenate([((gram >> U(7 - k)) & U(1)).astype(float) for k in range(8)])
-        count = np.tile(n, 8)
-        keys, zeros, ones = _summed(own, count * (1 - bit), count * bit)
-        if node is not None:
-            _, below = _summed(_parent(node, depth + 1), weighted)
-        weight, weighted = climb(keys, zeros, ones, below)
-        node = keys
-        parts.append(entries(keys, depth, zeros, ones, weight).assign(parent=-1, zeros=0.0, ones=0.0, below=0.0))
-    up, zeros, ones, below = _summed(_parent(node, 3), zeros, ones, weighted)
-    parts.append(pd.DataFrame({"slot": -1, "entry": 0, "parent": up.view(np.int64), "zeros": zeros, "ones": ones, "below": below}))
-    return pd.concat(parts)
-
-
-def _parent(node: np.ndarray, depth: int) -> np.ndarray:
-    """The node of the same path in a context shorter by its oldest byte."""
-    return (((node >> U(8)) & U((1 << (8 * (depth - 1))) - 1)) << U(8)) | (node & U(255))
-
-
-def crown(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entries of depths 2, 1 and 0 from the sums at depth 2 (65,536 contexts at most, whatever the corpus)."""
-    node = pdf["parent"].to_numpy(np.int64).view(np.uint64)
-    zeros, ones, below = (pdf[c].to_numpy(float) for c in ("zeros", "ones", "below"))
+    return key[at], np.add.reduceat(values[order], at) if len(at) else values[:0]
+
+
+class Subtree:
+    """The nodes of contexts of TOP to ``depth`` bytes above distinct grams, which hold all grams of their contexts of TOP + 1 bytes."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int = DEPTH):
+        order = np.argsort(gram)
+        self.depth, self.order = depth, order
+        self.key, self.n, self.up = {depth: gram[order]}, {depth: n[order].astype(float)}, {}
+        for d in range(depth - 1, TOP - 1, -1):
+            k = self.key[d + 1]
+            self.key[d], self.up[d + 1] = np.unique(((k >> U(16)) << U(8)) | (k & U(255)), return_inverse=True)
+            self.n[d] = np.bincount(self.up[d + 1], weights=self.n[d + 1], minlength=len(self.key[d]))
+
+    def levels(self, bit: int) -> dict[int, tuple[np.ndarray, ...]]:
+        """For each depth: first gram of each node that decides ``bit``, each gram's node, zeros, ones, weight, and the parent's node; at TOP the last two are what lies below and nothing."""
+        out: dict[int, tuple[np.ndarray, ...]] = {}
+        weighted = first = None
+        for d in range(self.depth, TOP - 1, -1):
+            key = self.key[d]
+            start = runs(key >> U(8 - bit))
+            node = np.zeros(len(key), np.int64)
+            node[start] = 1
+            node = np.cumsum(node) - 1
+            is_one = ((key >> U(7 - bit)) & U(1)).astype(float)
+            zeros, ones = np.add.reduceat(self.n[d] * (1 - is_one), start), np.add.reduceat(self.n[d] * is_one, start)
+            below = None
+            if weighted is not None:
+                parent = node[self.up[d + 1][first]]
+                out[d + 1] = (*out[d + 1], parent)
+                below = np.bincount(parent, weights=weighted, minlength=len(start))
+            if d == TOP:
+                out[d] = (start, node, zeros, ones, below)
+            else:
+                weight, weighted = climb(zeros, ones, below)
+                out[d], first = (start, node, zeros, ones, weight), start
+        return out
+
+    def names(self, bit: int, start: np.ndarray) -> np.ndarray:
+        """Context and path of the nodes of TOP bytes, as one number."""
+        key = self.key[TOP][start]
+        return ((key >> U(8)) << U(8)) | (U(1) << U(bit)) | ((key & U(255)) >> U(8 - bit))
+
+    def tops(self) -> tuple[np.ndarray, ...]:
+        """Name, zeros, ones and what lies below of all nodes of TOP bytes."""
+        parts = []
+        for bit in range(8):
+            start, _, zeros, ones, below = self.levels(bit)[TOP]
+            parts.append((self.names(bit, start), zeros, ones, below))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def values(self, name: np.ndarray, done: np.ndarray, left: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Decimal logarithm of each gram's probability, in the order that the grams came in, from the states at TOP."""
+        by = np.argsort(name)
+        name, state = name[by], [x[by] for x in (done, left, last)]
+        out = np.zeros(len(self.order))
+        for bit in range(8):
+            levels = self.levels(bit)
+            at = np.searchsorted(name, self.names(bit, levels[TOP][0]))
+            done, left, last = (x[at] for x in state)
+            for d in range(TOP + 1, self.depth + 1):
+                _, _, zeros, ones, weight, parent = levels[d]
+                seen, p = zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1)
+                done, left, last = done[parent], left[parent], np.where(seen, p, last[parent])
+                done = done + np.where(seen, left * weight * p, 0.0)
+                left = np.where(seen, left * (1 - weight), left)
+            one = (done + left * last)[levels[self.depth][1]]
+            is_one = ((self.key[self.depth] >> U(7 - bit)) & U(1)).astype(bool)
+            out += np.log10(np.where(is_one, one, 1 - one))
+        back = np.empty_like(out)
+        back[self.order] = out
+        return back
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = key * U(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
+    return ((h >> U(32)) % U(buckets)).astype(np.int64)
+
+
+def spread(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by bucket, and where each bucket's part ends in it."""
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))
+
+
+def planes(a: np.ndarray) -> bytes:
+    """An array's bytes, all first ones first and so on, which compress well where numbers ascend or are small."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def from_planes(b: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of texts, sorted, with their counts."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in batches(iter(texts), CHUNK, lambda t: len(t) + DEPTH):
+        key = np.sort(grams(part)[0])
+        at = runs(key)
+        held.append((key[at], np.diff(np.append(at, len(key)))))
+        if len(held) == 4:
+            held[:] = [summed(*map(np.concatenate, zip(*held)))]
+    return summed(*map(np.concatenate, zip(*held))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def block_words(texts: list[bytes], learned: list[bool]) -> tuple[list[bytes], Counter]:
+    """The distinct words of texts, sorted, and the counts of those in learned ones; the end token is the empty word."""
+    count, others = Counter(), set()
+    for t, known in zip(texts, learned):
+        ws = t.lower().split()
+        (count.update if known else others.update)(ws)
+        if known:
+            count[b""] += 1
+    return sorted(count.keys() | others | {b""}), count
+
+
+def _asks(block: pa.Table, buckets: int) -> pa.Table:
+    """A block's distinct grams and words with their counts in learned texts, by bucket: grams in the lower half, words in the upper."""
+    texts, learned = as_bytes(block.column("text")), block.column("learned").to_pylist()
+    known, other = distinct([t for t, y in zip(texts, learned) if y]), distinct([t for t, y in zip(texts, learned) if not y])[0]
+    key, n = summed(np.concatenate([known[0], other]), np.concatenate([known[1], np.zeros(len(other), np.int64)]))
+    order, ends = spread(bucket_of(key, buckets), buckets)
+    key, n, cut = key[order], n[order].astype(np.uint32), ends[:-1]
+    blobs = [(b, planes(k), planes(c)) for b, (k, c) in enumerate(zip(np.split(key, cut), np.split(n, cut))) if len(k)]
+    words, count = block_words(texts, learned)
+    order, ends = spread(bucket_of(word_hashes(words), buckets), buckets)
+    n = np.fromiter((count[w] for w in words), np.uint32, len(words))[order]
+    low = 0
+    for b, high in enumerate(ends.tolist()):
+        if high > low:
+            blobs.append((buckets + b, b" ".join([words[k] for k in order[low:high].tolist()]), planes(n[low:high])))
+        low = high
+    of = [block.column("block")[0].as_py()] * len(blobs)
+    return pa.table({"bucket": pa.array([b for b, _, _ in blobs], pa.int64()), "block": pa.array(of, pa.int64()), "keys": pa.array([k for _, k, _ in blobs], pa.binary()), "counts": pa.array([c for _, _, c in blobs], pa.binary())})
+
+
+def _blobs(asks: pa.Table) -> tuple[list[int], list[bytes], list[np.ndarray]]:
+    return asks.column("block").to_pylist(), asks.column("keys").to_pylist(), [from_planes(c, np.uint32) for c in asks.column("counts").to_pylist()]
+
+
+def _counted(asks: pa.Table, buckets: int) -> pa.Table:
+    """The distinct grams of a bucket with their counts in the corpus; nothing for a bucket of words."""
+    key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if asks.column("bucket")[0].as_py() < buckets:
+        _, keys, counts = _blobs(asks)
+        key, n = summed(np.concatenate([from_planes(k, np.uint64) for k in keys]), np.concatenate(counts).astype(np.int64))
+    return pa.table({"gram": pa.array(key.view(np.int64)), "n": pa.array(n)})
+
+
+def _answers(asks: pa.Table, values: pa.Table, buckets: int) -> pa.Table:
+    """To each block of a bucket what it asked for, in its order: code lengths of grams, or counts of words; and once the bucket's number of learned words."""
+    if not asks.num_rows:
+        return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "found": pa.array([], pa.binary()), "n_learned": pa.array([], pa.int64())})
+    bucket, (blocks, keys, counts) = asks.column("bucket")[0].as_py(), _blobs(asks)
+    n_learned = 0
+    if bucket < buckets:
+        key, value = values.column("gram").to_numpy().view(np.uint64), values.column("value").to_numpy()
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        found = [value[np.searchsorted(key, from_planes(k, np.uint64))].tobytes() for k in keys]
+    else:
+        total: dict[bytes, int] = {}
+        for k, c in zip(keys, counts):
+            for w, x in zip(k.split(b" "), c.tolist()):
+                total[w] = total.get(w, 0) + x
+        found = [np.fromiter(map(total.__getitem__, k.split(b" ")), np.int64, len(c)).tobytes() for k, c in zip(keys, counts)]
+        n_learned = sum(x > 0 for x in total.values())
+    return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(blocks), pa.int64()), "found": pa.array(found, pa.binary()), "n_learned": pa.array([n_learned] + [0] * (len(blocks) - 1), pa.int64())})
+
+
+def text_scores(texts: list[bytes], answer) -> np.ndarray:
+    """Sums over each text of its grams' code lengths; ``answer`` gives those of all distinct grams, sorted."""
     parts = []
-    for depth in (2, 1, 0):
-        weight, weighted = climb(node, zeros, ones, below)
-        parts.append(entries(node, depth, zeros, ones, weight))
-        if depth:
-            node, zeros, ones, below = _summed(_parent(node, depth), zeros, ones, weighted)
-    return pd.concat(parts)
+    for part in batches(iter(texts), CHUNK, lambda t: len(t) + DEPTH):
+        key, sizes = grams(part)
+        order = np.argsort(key)
+        key = key[order]
+        at = runs(key)
+        parts.append((key[at], at, order.astype(np.int32), sizes))
+    if not parts:
+        return np.zeros(0)
+    every = parts[0][0] if len(parts) == 1 else np.unique(np.concatenate([p[0] for p in parts]))
+    value = answer(every)
+    out = []
+    for u, at, order, sizes in parts:
+        each = np.empty(len(order))
+        each[order] = np.repeat(value[np.searchsorted(every, u)], np.diff(np.append(at, len(order))))
+        out.append(np.add.reduceat(each, np.cumsum(sizes) - sizes))
+    return np.concatenate(out)
+
+
+def _scores(block: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+    """The rows of a block with their scores, from the answers of all buckets."""
+    texts, learned = as_bytes(block.column("text")), block.column("learned").to_pylist()
+    found = dict(zip(answers.column("bucket").to_pylist(), answers.column("found").to_pylist()))
+    n_learned = sum(answers.column("n_learned").to_pylist())
+
+    def gathered(bucket: np.ndarray, first: int, kind) -> np.ndarray:
+        order, _ = spread(bucket, buckets)
+        out = np.empty(len(bucket), kind)
+        out[order] = np.frombuffer(b"".join([found[first + b] for b in range(buckets) if first + b in found]), kind)
+        return out
+
+    score = text_scores(texts, lambda key: gathered(bucket_of(key, buckets), 0, np.float64))
+    words, _ = block_words(texts, learned)
+    c = gathered(bucket_of(word_hashes(words), buckets), buckets, np.int64)
+    index = {w: k for k, w in enumerate(words)}
+    logs, end = np.log10(c + 0.5), index[b""]
+    n, known, base, size = [], [], [], []
+    for t in texts:
+        ws = t.lower().split()
+        i = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
+        i = np.append(i, end)
+        n.append(len(i))
+        known.append(int((c[i] > 0).sum()))
+        base.append(float(logs[i].sum()))
+        size.append(sum(map(len, ws)) + max(len(ws), 1))
+    new = {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_sum": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "n_coded": pa.array(size, pa.int64())}
+    return pa.table({"doc_id": block.column("doc_id"), "learned": block.column("learned"), **new, "v_share": pa.array([n_learned] + [0] * (len(texts) - 1), pa.int64())})
+
+
+def _above(tops: DataFrame) -> DataFrame:
+    """States at TOP, ``node, done, left, last``, from the sums ``node, zeros, ones, below`` there.
+
+    A level has a row for each context of that many bytes and path: 255 at depth 0, 65,280 at depth 1, whatever the corpus.
+    """
+    @F.arrow_udf("struct<weight:double,weighted:double>")
+    def climbed(zeros: pa.Array, ones: pa.Array, below: pa.Array) -> pa.Array:
+        weight, weighted = climb(*(x.to_numpy(zero_copy_only=False) for x in (zeros, ones, below)))
+        return pa.StructArray.from_arrays([pa.array(weight), pa.array(weighted)], ["weight", "weighted"])
 
+    # the name of a parent: its context without the oldest byte, which is the lowest, and the same path
+    parent = F.shiftleft(F.shiftright("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(255))
 
-def train(texts: DataFrame, text: str = "text") -> np.ndarray:
-    """The frozen predictor of all rows' texts: one 32-bit entry for each slot, 0 where no node is."""
-    spark = texts.sparkSession
-    bounded_batches(spark)
+    def level(sums: DataFrame) -> DataFrame:
+        c = sums.withColumn("c", climbed("zeros", "ones", "below"))
+        return c.select("node", "zeros", "ones", F.col("c.weight").alias("weight"), F.col("c.weighted").alias("weighted"))
 
-    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, n = (np.concatenate(x) for x in zip(*held))
-            return tuple(_summed(key, n))
-
-        rows = (t for b in it for t in as_bytes(b.column(0)))
-        for part in batches(rows, CHUNK, lambda t: len(t) + DEPTH):
-            key = np.sort(grams(part)[0])
-            at = runs(key)
-            held.append((key[at], np.diff(np.append(at, len(key)))))
-            if len(held) == 8:
-                held[:] = [merged()]
-        if held:
-            key, n = merged()
-            for k in range(0, len(key), 100_000):
-                yield pa.record_batch([pa.array(key[k : k + 100_000].view(np.int64)), pa.array(n[k : k + 100_000])], ["gram", "n"])
-
-    counts = texts.select(F.col(text).alias("text")).mapInArrow(counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    lot = F.pmod(F.hash(F.shiftright("gram", 8).bitwiseAND(0xFFFFFF)), F.lit(LOTS))
-    below = counts.groupBy(lot.alias("lot")).applyInPandas(subtree, "slot bigint, entry bigint, parent bigint, zeros double, ones double, below double")
-    below = staged(below, "nodes")
-    tops = below.where("parent >= 0").groupBy("parent").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
-    above = tops.groupBy(F.lit(0).alias("all")).applyInPandas(crown, "slot bigint, entry bigint")
-    best = below.where("slot >= 0").select("slot", "entry").union(above).groupBy("slot").agg(F.max("entry").alias("entry"))
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        slots = np.zeros(1 << PAGE_BITS, np.uint32)
-        slots[pdf["slot"].to_numpy() % (1 << PAGE_BITS)] = pdf["entry"].to_numpy() & 0xFFFFFFFF
-        return pd.DataFrame({"page": [int(pdf["slot"].iloc[0]) >> PAGE_BITS], "slots": [slots.tobytes()]})
-
-    pages = best.groupBy(F.shiftright("slot", PAGE_BITS).alias("of")).applyInPandas(page, "page bigint, slots binary")
-    table = np.zeros(-(-OFFSETS[-1] >> PAGE_BITS << PAGE_BITS) + (1 << PAGE_BITS), np.uint32)
-    for r in pages.toLocalIterator():  # a fixed number of pages of 64 KB
-        table[r.page << PAGE_BITS : (r.page + 1) << PAGE_BITS] = np.frombuffer(r.slots, np.uint32)
-    return table
-
-
-def log10_probabilities(gram: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Of each gram (sorted, distinct) the probability of its byte in its context, as a decimal logarithm."""
-    out = np.zeros(len(gram))
-    # the states of short contexts are worked out once for the grams that share them
-    levels, back = [gram], []
-    for depth in range(DEPTH - 1, -1, -1):
-        u, inverse = np.unique(levels[-1] & U((1 << (8 * (depth + 1))) - 1), return_inverse=True)
-        levels.append(u)
-        back.append(inverse)
-    for k in range(8):
-        done = left = last = None
-        for depth in range(DEPTH + 1):
-            g = levels[DEPTH - depth]
-            node = node_of(g, depth, k)
-            slot, check = slot_of(node, depth)
-            e = table[slot].astype(np.int64)
-            seen = (e >> 24 == check) & (e & 0xFFFFFF > 0)
-            p, w = ((e >> 8) & 0xFFFF) / 65536, (e & 255) / 255
-            if depth:
-                i = back[DEPTH - depth]
-                done, left, last = done[i], left[i], last[i]
-            else:
-                done, left, last = np.zeros(len(g)), np.ones(len(g)), np.full(len(g), 0.5)
-            # past a context that was never seen all longer ones are unseen too, or belong to another node
-            seen &= last >= 0
-            done = np.where(seen, done + left * w * p, np.where(last >= 0, done + left * np.abs(last), done))
-            left = np.where(seen, left * (1 - w), 0.0)
-            last = np.where(seen, p, -np.abs(last))
-        one = np.clip(np.where(last >= 0, done + left * last, done), 1e-9, 1 - 1e-9)
-        bit = ((gram >> U(7 - k)) & U(1)).astype(bool)
-        out += np.log10(np.where(bit, one, 1 - one))
-    return out
-
-
-class Scorer:
-    """Scores texts with a frozen predictor; grams met before are kept, up to a bound."""
-
-    KEPT = 1 << 21
-
-    def __init__(self, table: np.ndarray):
-        self.table, self.gram, self.value = table, np.zeros(0, np.uint64), np.zeros(0)
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        out = []
-        for part in batches(iter(texts), CHUNK, lambda t: len(t) + DEPTH):
-            for some in ([part[k : k + 60_000] for k in range(0, len(part), 60_000)]):
-                key, doc = grams(some)
-                both = np.sort(key << U(16) | doc.astype(np.uint64))
-                key, doc = both >> U(16), (both & U(0xFFFF)).astype(np.int64)
-                at = runs(key)
-                u = key[at]
-                i = np.minimum(np.searchsorted(self.gram, u), max(len(self.gram) - 1, 0))
-                known = self.gram[i] == u if len(self.gram) else np.zeros(len(u), bool)
-                value = np.zeros(len(u))
-                value[known] = self.value[i[known]]
-                if not known.all():
-                    value[~known] = log10_probabilities(u[~known], self.table)
-                    if len(self.gram) + int((~known).sum()) > self.KEPT:
-                        self.gram, self.value = u, value
-                    else:
-                        merged = np.concatenate([self.gram, u[~known]])
-                        order = np.argsort(merged, kind="stable")
-                        self.gram, self.value = merged[order], np.concatenate([self.value, value[~known]])[order]
-                out.append(np.bincount(doc, weights=np.repeat(value, np.diff(np.append(at, len(key)))), minlength=len(some)))
-        return np.concatenate(out) if out else np.zeros(0)
+    levels = {TOP: level(tops)}
+    for depth in range(TOP, 0, -1):
+        sums = levels[depth].groupBy(parent.alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+        levels[depth - 1] = level(sums)
+
+    def entered(rows: DataFrame, done: Column, left: Column, last: Column) -> DataFrame:
+        n = F.col("zeros") + F.col("ones")
+        p = (F.col("ones") + 0.5) / (n + 1)
+        w = F.when(n > 0, F.col("weight")).otherwise(0.0)
+        return rows.select("node", (done + left * w * p).alias("done"), (left * (1 - w)).alias("left"), F.when(n > 0, p).otherwise(last).alias("last"))
+
+    states = entered(levels[0], F.lit(0.0), F.lit(1.0), F.lit(0.5))
+    for depth in range(1, TOP + 1):
+        before = states.select(F.col("node").alias("of"), F.col("done").alias("d"), F.col("left").alias("l"), F.col("last").alias("q"))
+        states = entered(levels[depth].join(F.broadcast(before), parent == F.col("of")), F.col("d"), F.col("l"), F.col("q"))
+    return states
 
 
 def model_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learned: str = "learned") -> DataFrame:
-    """``doc_id, learned, n_tokens, n_known, base_sum, score`` of each row of ``docs`` (with a boolean column ``learned``).
+    """``doc_id, learned, n_tokens, n_known, base_sum, score, n_coded, v_share`` of each row of ``docs`` (with a boolean ``learned``).
 
-    score is the model's log10 probability of the whole text, base_sum the sum of log10(count + 0.5) over its tokens, and
-    ``v_share`` adds up to the number of distinct training tokens over all rows.  Null and empty texts are one end token;
-    repeated rows count each; null ids are ids; an empty table gives an empty table; extra columns aren't read.
+    score is the model's log10 probability of the whole text and n_coded the number of bytes that it codes, base_sum the sum of
+    log10(count + 0.5) over its tokens, and ``v_share`` adds up to the number of distinct training tokens over all rows.  Null
+    and empty texts are one end token; a null in ``learned`` counts as false; repeated rows count each and score alike; null ids
+    are ids; ties don't arise; an empty table gives an empty table.  A very long text is coded whole, in one block, CHUNK bytes
+    or one text at a time.  Only the three named columns are read, so others can't clash.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    table = spark.sparkContext.broadcast(train(docs.where(F.col(learned)), text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(learned).alias("learned"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(learned), F.lit(False)).alias("learned"))
     n_blocks = blocks_for(rows, "text", BLOCK_BYTES)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(n_blocks))).repartition(parts, "block")
+    buckets = 64 + n_blocks // 4
+    # one exchange of the texts feeds the asks and the scores, one of the asks the counts and the answers
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(n_blocks))).repartition(partitions_for(spark, n_blocks, 4), "block")
 
     def asked(block: pa.Table) -> pa.Table:
-        # the end token is the empty word: no word is empty
-        count, others = Counter(), set()
-        for t, known in zip(as_bytes(block.column("text")), block.column("learned").to_pylist()):
-            ws = t.lower().split()
-            if known:
-                count.update(ws)
-                count[b""] += 1
-            else:
-                others.update(ws)
-                others.add(b"")
-        names = list(count.keys() | others)
-        of = block.column("block")[0].as_py()
-        return pa.table({"block": pa.array([of] * len(names), pa.int64()), "word": pa.array(names, pa.binary()), "n": pa.array([count[w] for w in names], pa.int64())})
-
-    word = Window.partitionBy("word")
-    asks = dealt.groupBy("block").applyInArrow(asked, "block bigint, word binary, n bigint")
-    told = asks.withColumn("c", F.sum("n").over(word)).withColumn("lead", F.row_number().over(word.orderBy("block")) == 1).select("block", "word", "c", "lead")
-
-    def answered(block: pa.Table, words: pa.Table) -> pa.Table:
-        c = np.array(words.column("c").to_pylist(), np.int64)
-        index = {w: k for k, w in enumerate(words.column("word").to_pylist())}
-        lead = int(((c > 0) & np.array(words.column("lead").to_pylist(), bool)).sum())
-        logs, texts = np.log10(c + 0.5), as_bytes(block.column("text"))
-        n, known, base = [], [], []
-        for t in texts:
-            ws = t.lower().split()
-            i = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-            i = np.append(i, index[b""])
-            n.append(len(i))
-            known.append(int((c[i] > 0).sum()))
-            base.append(float(logs[i].sum()))
-        score = Scorer(table.value).score(texts)
-        shares = [lead] + [0] * (len(texts) - 1)
-        new = {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_sum": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "v_share": pa.array(shares[: len(texts)], pa.int64())}
-        return pa.table({"doc_id": block.column("doc_id"), "learned": block.column("learned"), **new})
-
+        return _asks(block, buckets)
+
+    def counted(asks: pa.Table) -> pa.Table:
+        return _counted(asks, buckets)
+
+    def answered(asks: pa.Table, values: pa.Table) -> pa.Table:
+        return _answers(asks, values, buckets)
+
+    def scored(block: pa.Table, answers: pa.Table) -> pa.Table:
+        return _scores(block, answers, buckets)
+
+    def subtree(rows: pa.Table) -> Subtree:
+        return Subtree(rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy())
+
+    def topped(lot: pa.Table) -> pa.Table:
+        name, zeros, ones, below = subtree(lot).tops()
+        return pa.table({"lot": pa.array(np.full(len(name), lot.column("lot")[0].as_py())), "node": pa.array(name.view(np.int64)), "zeros": pa.array(zeros), "ones": pa.array(ones), "below": pa.array(below)})
+
+    def valued(lot: pa.Table, states: pa.Table) -> pa.Table:
+        name, *state = (states.column(c).to_numpy() for c in ("node", "done", "left", "last"))
+        gram = lot.column("gram").to_numpy()
+        value = subtree(lot).values(name.view(np.uint64), *state)
+        return pa.table({"bucket": pa.array(bucket_of(gram.view(np.uint64), buckets)), "gram": pa.array(gram), "value": pa.array(value)})
+
+    asks = dealt.groupBy("block").applyInArrow(asked, "bucket bigint, block bigint, keys binary, counts binary").repartition(partitions_for(spark, buckets, 1), "bucket").groupBy("bucket")
+    counts = asks.applyInArrow(counted, "gram bigint, n bigint")
+    lots = counts.withColumn("lot", F.pmod(F.xxhash64(F.shiftright("gram", 8 * (DEPTH - TOP))), F.lit(buckets))).groupBy("lot")
+    tops = lots.applyInArrow(topped, "lot bigint, node bigint, zeros double, ones double, below double")
+    states = _above(tops.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))))
+    back = tops.select("lot", F.col("node").alias("of_node")).join(states.hint("merge"), F.col("of_node") == F.col("node")).select("lot", "node", "done", "left", "last")
+    values = lots.cogroup(back.groupBy("lot")).applyInArrow(valued, "bucket bigint, gram bigint, value double")
+    answers = asks.cogroup(values.groupBy("bucket")).applyInArrow(answered, "block bigint, bucket bigint, found binary, n_learned bigint")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answered, f"doc_id {kind}, learned boolean, n_tokens bigint, n_known bigint, base_sum double, score double, v_share bigint")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, f"doc_id {kind}, learned boolean, n_tokens bigint, n_known bigint, base_sum double, score double, n_coded bigint, v_share bigint")
 
 
 def op4_lm_scoring(spark, sf_dir):
@@ -333,4 +408,5 @@ def op4_lm_scoring(spark, sf_dir):
     total = rows.agg(F.coalesce(F.sum(F.when(F.col("learned"), F.col("n_tokens"))), F.lit(0)).alias("n"), F.coalesce(F.sum("v_share"), F.lit(0)).alias("v")).first()
     floor = math.log10(total.n + 0.5 * (total.v + 1))
     base = F.col("base_sum") - F.col("n_tokens") * F.lit(floor)
-    return rows.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(total.n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+    bits = -F.col("score") * math.log2(10) / F.col("n_coded")
+    return rows.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(total.n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))

@@ -140,7 +140,76 @@ def test_packing_balances_cost():
     assert max(room.values()) <= 2048 and len(room) == -(-sum(room.values()) // 2048)
 
 
-def test_op4_base_is_exact_and_model_is_a_distribution(spark, small, docs, odd, empty):
+def coded_steps(text, depth):
+    """Context, path and bit of each binary decision that codes a text."""
+    x = bytes([10]) * depth + context_tree.stream((text or "").encode())
+    for i in range(depth, len(x)):
+        for k in range(8):
+            yield x[i - depth : i], (1 << k) | (x[i] >> (8 - k)), (x[i] >> (7 - k)) & 1
+
+
+def context_tree_scores(texts, learned, depth=context_tree.DEPTH):
+    """log10 probabilities by a context tree in plain dictionaries, node by node."""
+    counts, kids = defaultdict(lambda: [0, 0]), defaultdict(list)
+    for t, known in zip(texts, learned):
+        for c, p, b in coded_steps(t, depth) if known else ():
+            for d in range(depth + 1):
+                counts[c[depth - d :], p][b] += 1
+    for c, p in counts:
+        if c:
+            kids[c[1:], p].append((c, p))
+    weights = {}
+
+    def weighted(node):
+        z, o = counts[node]
+        own = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+        if len(node[0]) == depth:
+            weights[node] = 1.0
+            return own
+        below = math.fsum(map(weighted, kids[node]))
+        most = max(own, below)
+        both = most + math.log(math.exp(own - most) + math.exp(below - most))
+        weights[node] = math.exp(own - both)
+        return both - math.log(2)
+
+    for node in [n for n in counts if not n[0]]:
+        weighted(node)
+    out = []
+    for t in texts:
+        total = 0.0
+        for c, p, b in coded_steps(t, depth):
+            done, left, last = 0.0, 1.0, 0.5
+            for d in range(depth + 1):
+                node = (c[depth - d :], p)
+                if node not in counts:
+                    break
+                z, o = counts[node]
+                last = (o + 0.5) / (z + o + 1)
+                done, left = done + left * weights[node] * last, left * (1 - weights[node])
+            one = done + left * last
+            total += math.log10(one if b else 1 - one)
+        out.append(total)
+    return out
+
+
+def test_op4_equals_a_plain_context_tree(spark, docs, empty):
+    texts = ["the cat sat on the mat", "The DOG sat on the log  and the cat", "", None, "un deux trois the cat", "zzz é the mat", "the cat sat on the mat", "abcabcabc " * 30]
+    texts += [docs[i].text[:1500] for i in sorted(docs)[:6]]
+    learned = [k % 4 != 1 for k in range(len(texts))]
+    rows = [(k, t, y) for k, (t, y) in enumerate(zip(texts, learned))]
+    got = {r.doc_id: r for r in context_tree.model_scores(spark.createDataFrame(rows, "doc_id long, text string, learned boolean").repartition(3)).collect()}
+    for k, want in enumerate(context_tree_scores(texts, learned)):
+        assert abs(got[k].score - want) < 1e-9 * max(1, abs(want))
+        assert got[k].n_coded == len(context_tree.stream((texts[k] or "").encode()))
+    # nothing learned: each decision is even
+    none = context_tree.model_scores(spark.createDataFrame([(1, "abc", None), (2, None, False)], "doc_id long, text string, learned boolean")).collect()
+    assert {r.doc_id: round(r.score, 9) for r in none} == {1: round(-32 * math.log10(2), 9), 2: round(-8 * math.log10(2), 9)}
+    clash = spark.createDataFrame([(1, "a b", True, 1, "x", 2.0)], "doc_id long, text string, learned boolean, block long, lot string, node double")
+    assert context_tree.model_scores(clash).count() == 1
+    assert context_tree.model_scores(empty.withColumn("learned", F.lit(True))).count() == 0
+
+
+def test_op4_base_is_exact_and_the_model_beats_it(spark, small, docs, odd):
     rows = QUERIES["op4_lm_scoring"](spark, small).collect()
     toks = {i: [*((d.text or "").encode().lower().split()), b"\n"] for i, d in docs.items()}
     train = [i for i in docs if zlib.crc32(str(i).encode()) % 5 != 1]
@@ -152,17 +221,11 @@ def test_op4_base_is_exact_and_model_is_a_distribution(spark, small, docs, odd,
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t)
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(x in c for x in t), n, r.doc_id not in train)
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
-    table = context_tree.train(documents(spark, small))
-    for text in (b"the of", b"que la", b"\xc3\xa9"):
-        gram = context_tree.grams([text])[0][-1] & ~np.uint64(255)
-        every = np.sort(gram | np.arange(256, dtype=np.uint64))
-        assert abs((10 ** context_tree.log10_probabilities(every, table)).sum() - 1) < 1e-6
-    scorer = context_tree.Scorer(table)
-    one = scorer.score([b"The OF and", b"", b"zq zq"])
-    assert np.allclose(one, context_tree.Scorer(table).score([b"the of and", b"", b"zq zq"])) and one[2] < one[1] < 0
+        assert abs(r.bits_per_byte + r.score * math.log2(10) / len(context_tree.stream((docs[r.doc_id].text or "").encode()))) < 1e-9
     got = context_tree.model_scores(odd.withColumn("learned", F.lit(True)))
     assert sorted(r.n_tokens for r in got.collect()) == sorted(len(words(r[1])) + 1 for r in ODD)
-    assert context_tree.model_scores(empty.withColumn("learned", F.lit(True))).count() == 0
+    total = QUERIES["op4_lm_scoring"](spark, "/root/testdata/sf0.01").groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).collect()
+    assert len(total) == 2 and all(r.score > r.base for r in total)
 
 
 def test_kt_weights_match_sequential_coding():
