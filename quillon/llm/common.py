@@ -109,6 +109,13 @@ def word_hashes(ws: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh64_digest, ws)), ">u8").astype(np.uint64)
 
 
+def wide_word_hashes(ws: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each word, halves of one of 128 bits."""
+    import xxhash
+
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, ws)), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
 def blocks_for(df: DataFrame, text: str, block_bytes: int) -> int:
     """How many blocks of about ``block_bytes`` of text hold ``df``; it grows with the input."""
     total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

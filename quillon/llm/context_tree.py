@@ -6,7 +6,7 @@ zeros and ones; its Krichevsky-Trofimov estimate is mixed with the weighted esti
 prior and by what the training texts coded shorter by posterior.  A decision in a context that was never seen takes the
 estimate of the longest context that was.
 
-No node is dropped and nothing is rounded.  Documents are dealt into blocks of bounded size; a block asks once for each of its
+No node is dropped, and counts, estimates and weights are exact.  Documents are dealt into blocks of bounded size; a block asks once for each of its
 distinct grams (a context and the byte after it) and for each of its distinct words.  Asks of one gram or word meet in a bucket,
 where counts are summed over the corpus.  The grams then form the tree, level by level from the longest contexts up and from the
 shortest down; contexts meet by their last three bytes, and what lies above is summed with plain aggregates.  A gram's code
@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,9 @@ DEPTH = 6
 TOP = 2
 BLOCK_BYTES = 16 << 20
 #: Bytes that are sorted at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Code lengths travel in whole multiples of this.
+UNIT = 2.0**-33
 END = 10
 
 U = np.uint64
@@ -174,14 +177,14 @@ def spread(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))
 
 
-def planes(a: np.ndarray) -> bytes:
+def packed(a: np.ndarray) -> bytes:
     """An array's bytes, all first ones first and so on, which compress well where numbers ascend or are small."""
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
 
 
-def from_planes(b: bytes, kind) -> np.ndarray:
+def unpacked(b: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,17 +199,6 @@ def distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return summed(*map(np.concatenate, zip(*held))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def block_words(texts: list[bytes], learned: list[bool]) -> tuple[list[bytes], Counter]:
-    """The distinct words of texts, sorted, and the counts of those in learned ones; the end token is the empty word."""
-    count, others = Counter(), set()
-    for t, known in zip(texts, learned):
-        ws = t.lower().split()
-        (count.update if known else others.update)(ws)
-        if known:
-            count[b""] += 1
-    return sorted(count.keys() | others | {b""}), count
-
-
 def _asks(block: pa.Table, buckets: int) -> pa.Table:
     """A block's distinct grams and words with their counts in learned texts, by bucket: grams in the lower half, words in the upper."""
     texts, learned = as_bytes(block.column("text")), block.column("learned").to_pylist()
@@ -214,21 +206,25 @@ def _asks(block: pa.Table, buckets: int) -> pa.Table:
     key, n = summed(np.concatenate([known[0], other]), np.concatenate([known[1], np.zeros(len(other), np.int64)]))
     order, ends = spread(bucket_of(key, buckets), buckets)
     key, n, cut = key[order], n[order].astype(np.uint32), ends[:-1]
-    blobs = [(b, planes(k), planes(c)) for b, (k, c) in enumerate(zip(np.split(key, cut), np.split(n, cut))) if len(k)]
-    words, count = block_words(texts, learned)
+    blobs = [(b, packed(k), packed(c)) for b, (k, c) in enumerate(zip(np.split(key, cut), np.split(n, cut))) if len(k)]
+    # the end token is the empty word: no word is empty
+    count, others = Counter({b"": sum(learned)}), set()
+    for t, y in zip(texts, learned):
+        (count.update if y else others.update)(t.lower().split())
+    words = sorted(count.keys() | others)
     order, ends = spread(bucket_of(word_hashes(words), buckets), buckets)
     n = np.fromiter((count[w] for w in words), np.uint32, len(words))[order]
     low = 0
     for b, high in enumerate(ends.tolist()):
         if high > low:
-            blobs.append((buckets + b, b" ".join([words[k] for k in order[low:high].tolist()]), planes(n[low:high])))
+            blobs.append((buckets + b, zstandard.compress(b" ".join([words[k] for k in order[low:high].tolist()]), 1), packed(n[low:high])))
         low = high
     of = [block.column("block")[0].as_py()] * len(blobs)
     return pa.table({"bucket": pa.array([b for b, _, _ in blobs], pa.int64()), "block": pa.array(of, pa.int64()), "keys": pa.array([k for _, k, _ in blobs], pa.binary()), "counts": pa.array([c for _, _, c in blobs], pa.binary())})
 
 
 def _blobs(asks: pa.Table) -> tuple[list[int], list[bytes], list[np.ndarray]]:
-    return asks.column("block").to_pylist(), asks.column("keys").to_pylist(), [from_planes(c, np.uint32) for c in asks.column("counts").to_pylist()]
+    return asks.column("block").to_pylist(), asks.column("keys").to_pylist(), [unpacked(c, np.uint32) for c in asks.column("counts").to_pylist()]
 
 
 def _counted(asks: pa.Table, buckets: int) -> pa.Table:
@@ -236,7 +232,7 @@ def _counted(asks: pa.Table, buckets: int) -> pa.Table:
     key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if asks.column("bucket")[0].as_py() < buckets:
         _, keys, counts = _blobs(asks)
-        key, n = summed(np.concatenate([from_planes(k, np.uint64) for k in keys]), np.concatenate(counts).astype(np.int64))
+        key, n = summed(np.concatenate([unpacked(k, np.uint64) for k in keys]), np.concatenate(counts).astype(np.int64))
     return pa.table({"gram": pa.array(key.view(np.int64)), "n": pa.array(n)})
 
 
@@ -250,13 +246,15 @@ def _answers(asks: pa.Table, values: pa.Table, buckets: int) -> pa.Table:
         key, value = values.column("gram").to_numpy().view(np.uint64), values.column("value").to_numpy()
         order = np.argsort(key)
         key, value = key[order], value[order]
-        found = [value[np.searchsorted(key, from_planes(k, np.uint64))].tobytes() for k in keys]
+        value = np.rint(value / UNIT).astype(np.int64)
+        found = [packed(value[np.searchsorted(key, unpacked(k, np.uint64))]) for k in keys]
     else:
         total: dict[bytes, int] = {}
+        words = lambda k: zstandard.decompress(k).split(b" ")
         for k, c in zip(keys, counts):
-            for w, x in zip(k.split(b" "), c.tolist()):
+            for w, x in zip(words(k), c.tolist()):
                 total[w] = total.get(w, 0) + x
-        found = [np.fromiter(map(total.__getitem__, k.split(b" ")), np.int64, len(c)).tobytes() for k, c in zip(keys, counts)]
+        found = [packed(np.fromiter(map(total.__getitem__, words(k)), np.int64, len(c))) for k, c in zip(keys, counts)]
         n_learned = sum(x > 0 for x in total.values())
     return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(blocks), pa.int64()), "found": pa.array(found, pa.binary()), "n_learned": pa.array([n_learned] + [0] * (len(blocks) - 1), pa.int64())})
 
@@ -269,7 +267,7 @@ def text_scores(texts: list[bytes], answer) -> np.ndarray:
         order = np.argsort(key)
         key = key[order]
         at = runs(key)
-        parts.append((key[at], at, order.astype(np.int32), sizes))
+        parts.append((key[at], at.astype(np.int32), order.astype(np.int32), sizes))
     if not parts:
         return np.zeros(0)
     every = parts[0][0] if len(parts) == 1 else np.unique(np.concatenate([p[0] for p in parts]))
@@ -284,19 +282,19 @@ def text_scores(texts: list[bytes], answer) -> np.ndarray:
 
 def _scores(block: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """The rows of a block with their scores, from the answers of all buckets."""
-    texts, learned = as_bytes(block.column("text")), block.column("learned").to_pylist()
+    texts = as_bytes(block.column("text"))
     found = dict(zip(answers.column("bucket").to_pylist(), answers.column("found").to_pylist()))
     n_learned = sum(answers.column("n_learned").to_pylist())
 
-    def gathered(bucket: np.ndarray, first: int, kind) -> np.ndarray:
+    def gathered(bucket: np.ndarray, first: int) -> np.ndarray:
         order, _ = spread(bucket, buckets)
-        out = np.empty(len(bucket), kind)
-        out[order] = np.frombuffer(b"".join([found[first + b] for b in range(buckets) if first + b in found]), kind)
+        out = np.empty(len(bucket), np.int64)
+        out[order] = np.concatenate([unpacked(found.pop(first + b), np.int64) for b in range(buckets) if first + b in found])
         return out
 
-    score = text_scores(texts, lambda key: gathered(bucket_of(key, buckets), 0, np.float64))
-    words, _ = block_words(texts, learned)
-    c = gathered(bucket_of(word_hashes(words), buckets), buckets, np.int64)
+    score = text_scores(texts, lambda key: gathered(bucket_of(key, buckets), 0) * UNIT)
+    words = sorted({b""}.union(*(t.lower().split() for t in texts)))
+    c = gathered(bucket_of(word_hashes(words), buckets), buckets)
     index = {w: k for k, w in enumerate(words)}
     logs, end = np.log10(c + 0.5), index[b""]
     n, known, base, size = [], [], [], []
