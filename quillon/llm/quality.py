@@ -1,7 +1,8 @@
 """Host-level quality rules in DataFrame functions alone.
 
 Each document is judged by its own rules; failures are counted by host (the ``source`` column), each host's rate is shrunk
-towards the corpus by a beta prior that is fitted to all hosts by moments, and the host's verdict is joined back.
+towards the corpus by a beta prior that is fitted to all hosts by moments, and the host's verdict is joined back.  A host goes
+if its posterior lies, by two standard deviations, above the rate whose odds are MAX_ODDS times those of the corpus.
 """
 
 from __future__ import annotations
@@ -9,61 +10,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, sized, staged, words
+from .common import documents, fresh, sized, staged, words
 
 MIN_WORDS = 10
 #: Largest share, in hundredths, of words in repeated windows of five words.
 MAX_REPEATED = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: A host goes if its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: Odds of failure, as a multiple of the corpus's, above which a host goes; standard deviations that make it certain.
+MAX_ODDS, CERTAIN = 4.0, 2.0
 #: Hosts whose verdicts are broadcast; more are joined by sort-merge.
 BROADCAST_HOSTS = 100_000
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all of them by default) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
     n_repeat_words counts the words that lie in a window of five words which occurs twice or more in the text.  Equal windows
-    are found by sorting each text's window hashes with their places; texts without equal windows skip that.
+    are found by sorting each text's window hashes with their places; texts without equal windows skip that.  Columns with the
+    added names are replaced; any other name may occur.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    keep = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = docs.select(*keep, words(F.col(text)).alias("__ws"), lines.alias("__lines"), (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"))
-    ws = F.col("__ws")
-    hashes = F.when(F.size(ws) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(ws, i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+    keep = [c for c in (keep or docs.columns) if c not in MEASURES]
+    ws, lines, symbols, h, p, q, at = (fresh(docs, c) for c in ("ws", "lines", "symbols", "h", "p", "q", "at"))
+    lined = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    step = docs.select(*keep, words(F.col(text)).alias(ws), lined.alias(lines), (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint").alias(symbols))
+    w = F.col(ws)
+    hashes = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
     step = step.select(
         *keep,
-        "n_symbols",
-        F.size(ws).cast("bigint").alias("n_words"),
-        F.length(F.array_join(ws, "")).cast("bigint").alias("word_chars"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-        hashes.alias("__h"),
+        F.size(w).cast("bigint").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+        F.col(symbols).alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
+        hashes.alias(h),
     )
-    placed = F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    step = step.withColumn("__p", F.when(F.size("__h") > F.size(F.array_distinct("__h")), placed))
+    placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    step = step.withColumn(p, F.when(F.size(h) > F.size(F.array_distinct(h)), placed))
     # each window beside the one before it in the order of hashes; both of an equal pair are repeated
-    p = F.col("__p")
-    step = step.withColumn("__q", F.zip_with(p, F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), p), lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
-    pairs = F.filter("__q", lambda q: q["x"]["h"] == q["y"]["h"])
-    places = F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, lambda q: F.array(q["x"]["i"], q["y"]["i"])))))
-    step = step.withColumn("__at", places)
-    at = F.col("__at")
+    pc = F.col(p)
+    step = step.withColumn(q, F.zip_with(pc, F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), pc), lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
+    pairs = F.filter(q, lambda z: z["x"]["h"] == z["y"]["h"])
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, lambda z: F.array(z["x"]["i"], z["y"]["i"])))))
+    step = step.withColumn(at, places)
+    ac = F.col(at)
     # the union of the windows: each adds five words, or as many as lie before the next one
-    gaps = F.zip_with(at, F.slice(at, F.lit(2), F.greatest(F.size(at), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    gaps = F.zip_with(ac, F.slice(ac, F.lit(2), F.greatest(F.size(ac), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     total = F.aggregate(gaps, F.lit(0), lambda s, g: s + g)
     step = step.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("bigint"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return step.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return step.select(*keep, *MEASURES[:-1], failed.alias("base_failed"))
 
 
-def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
-    """``host, n_docs, n_failed, rate``: each host's failure rate, shrunk by the beta prior of all hosts.
+def host_rates(judged: DataFrame, host: str = "source", max_odds: float = MAX_ODDS, certain: float = CERTAIN) -> DataFrame:
+    """``host, n_docs, n_failed, rate, bad``: each host's failure rate, shrunk by the beta prior of all hosts, and the verdict.
 
     The prior's mean is the corpus rate and its weight follows from how much host rates vary beyond chance (moments of all
-    hosts, between 1 and 10,000 documents).  Rows without a host form one host.
+    hosts, between 1 and 10,000 documents).  A host is bad if its posterior mean less ``certain`` posterior standard deviations
+    is above the rate with ``max_odds`` times the corpus's odds.  Rows without a host form one host.
     """
     hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("n_failed"))
     part = F.col("n_failed") / F.col("n_docs")
@@ -75,26 +80,34 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
     excess = F.greatest(between - chance * F.col("k") / F.col("n"), F.lit(0.0))
     weight = F.when(excess > 0, chance / excess - 1).otherwise(F.lit(10000.0))
     prior = total.select(mean.alias("mean"), F.least(F.greatest(weight, F.lit(1.0)), F.lit(10000.0)).alias("weight"))
-    rate = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"))
+    size = F.col("n_docs") + F.col("weight")
+    rate = (F.col("n_failed") + F.col("mean") * F.col("weight")) / size
+    low = rate - certain * F.sqrt(rate * (1 - rate) / (size + 1))
+    limit = max_odds * F.col("mean") / (1 - F.col("mean") + max_odds * F.col("mean"))
+    # the prior is one row
+    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), (low > limit).alias("bad"))
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Every row of ``docs`` with its measures, base_failed, host_rate and kept.
+def judged(docs: DataFrame, text: str = "text", host: str = "source", max_odds: float = MAX_ODDS, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` (all by default) with its measures, base_failed, host_rate and kept.
 
-    kept is false for documents that fail the rules and for all documents of a host whose shrunk failure rate is above
-    ``max_host_rate``.  Null and empty texts have no words and fail; repeated rows count each; an empty table gives an empty
-    table; rows without a host are one host.  Columns with the added names are replaced.
+    kept is false for documents that fail the rules and for all documents of a bad host (``host_rates``).  Null and empty texts
+    have no words and fail; a very long text is measured whole, in a row of its own; repeated rows count each, and ties don't
+    arise; an empty table gives an empty table; rows without a host are one host.  Columns with the added names are replaced;
+    working columns take names that ``docs`` doesn't have.  What is written between the steps holds ``keep``, not the text.
     """
-    narrow = docs.drop("host_rate", "kept")
-    rows = staged(measured(narrow, text), "measured")
-    hosts = staged(host_rates(rows, host).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate")), "hosts")
-    out = rows.join(sized(hosts, BROADCAST_HOSTS), rows[host].eqNullSafe(hosts["__host"]))
-    return out.drop("__host").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
+    added = (*MEASURES, "host_rate", "kept")
+    keep = [c for c in (keep or docs.columns) if c not in added]
+    own, of, rate, bad = (fresh(docs, c) for c in ("own_host", "of_host", "of_rate", "of_bad"))
+    rows = staged(measured(docs.select(*docs.columns, F.col(host).alias(own)), text, [*keep, own]), "measured")
+    verdicts = host_rates(rows, own, max_odds).select(F.col("host").alias(of), F.col("rate").alias(rate), F.col("bad").alias(bad))
+    verdicts = staged(verdicts, "hosts")
+    out = rows.join(sized(verdicts, BROADCAST_HOSTS), F.col(own).eqNullSafe(F.col(of)))
+    return out.select(*keep, *MEASURES, F.col(rate).alias("host_rate"), (~F.col("base_failed") & ~F.col(bad)).alias("kept"))
 
 
 def op10_quality_rules(spark, sf_dir):
-    out = judged(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    out = judged(documents(spark, sf_dir).select("doc_id", "source", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -124,9 +137,11 @@ WITH d AS (
 ), p AS (
   SELECT mean, CASE WHEN sq - mean * mean - mean * (1 - mean) * k / n > 0
     THEN least(greatest(mean * (1 - mean) / (sq - mean * mean - mean * (1 - mean) * k / n) - 1, 1.0), 10000.0) ELSE 10000.0 END AS w FROM t
+), r AS (
+  SELECT source, (f + mean * w) / (n + w) AS rate, n + w AS size, 4.0 * mean / (1 - mean + 4.0 * mean) AS most FROM h, p
 ), v AS (
-  SELECT source, (f + mean * w) / (n + w) AS rate FROM h, p
+  SELECT source, rate - 2.0 * sqrt(rate * (1 - rate) / (size + 1)) > most AS bad FROM r
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
 """
