@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, sized, text_key, words
+from .common import documents, fresh, sized, staged, text_key, words
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -38,8 +38,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
 
     Containment is the share of the item's distinct shingles that the document holds; words are lower-cased in A-Z, and an
     item of fewer than ``width`` words is one shingle of them all, which only a text of just these words holds.  Null and
-    empty texts and items hold nothing and match nothing.  Rows that repeat in id and text, or items that do, give one row;
-    null ids are ids like others.  Empty tables give an empty table.  Extra columns aren't read.
+    empty texts and items hold nothing and match nothing.  Rows that repeat in id and text, or items that do, give one row; items
+    of one id and several texts are judged text by text; null ids are ids like others.  Ties don't arise.  A very long text is
+    one row of hashes for each of its shingles at first and one row of all of them if it is a candidate.  Empty tables give an
+    empty table.  Extra columns aren't read, so they can't clash.
     """
     lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     item = items.select(F.col(item_id).alias("item_id"), words(lower(F.col(item_text))).alias("ws")).where(F.size("ws") > 0).distinct()
@@ -52,9 +54,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
     doc = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_hash"))
     # the words are a column of their own, so that no expression splits a text again for each of its shingles
     found = doc.select("doc_id", "text_hash", words(lower(F.col("text"))).alias("ws")).select("doc_id", "text_hash", F.explode(shingle_hashes(F.col("ws"), width)).alias("hash"))
-    candidates = found.join(sized(sketch, BROADCAST_ROWS), "hash").select("doc_id", "text_hash", "item_id").distinct()
+    # written out: a count decides whether they go to the texts, which then aren't shuffled, or the texts to them
+    candidates = staged(found.join(sized(sketch, BROADCAST_ROWS), "hash").select("doc_id", "text_hash", "item_id").distinct(), "candidates")
     c = candidates.select(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), F.col("item_id").alias("c_item"))
-    whole = doc.join(c.hint("merge"), doc["doc_id"].eqNullSafe(c["c_doc"]) & (doc["text_hash"] == c["c_hash"])).select("doc_id", "text_hash", "c_item", words(lower(F.col("text"))).alias("ws"))
+    whole = doc.join(sized(c, BROADCAST_ROWS), doc["doc_id"].eqNullSafe(c["c_doc"]) & (doc["text_hash"] == c["c_hash"])).select("doc_id", "text_hash", "c_item", words(lower(F.col("text"))).alias("ws"))
     whole = whole.select("doc_id", "text_hash", "c_item", shingles(F.col("ws"), width).alias("doc_shingles"))
     full = item.select("item_id", "item_shingles")
     checked = whole.join(sized(full, BROADCAST_ROWS), whole["c_item"].eqNullSafe(full["item_id"]))
@@ -64,11 +67,16 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that hold no item at ``threshold``; all their columns, repeats and rows without text included."""
-    bad = contained_items(docs, items, threshold, width, text, doc_id).select(F.col("doc_id").alias("bad_doc"), F.col("text_hash").alias("bad_hash")).distinct()
-    key = fresh(docs, "text_key")
+    """The rows of ``docs`` that hold no item at ``threshold``; all their columns, repeats and rows without text included.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives an empty table; working columns take
+    names that ``docs`` doesn't have.
+    """
+    of_doc, of_hash, key = (fresh(docs, c) for c in ("bad_doc", "bad_hash", "text_key"))
+    found = contained_items(docs, items, threshold, width, text, doc_id)
+    bad = staged(found.select(F.col("doc_id").alias(of_doc), F.col("text_hash").alias(of_hash)).distinct(), "contaminated")
     keyed = docs.withColumn(key, text_key(F.col(text)))
-    return keyed.join(bad.hint("merge"), keyed[doc_id].eqNullSafe(bad["bad_doc"]) & (keyed[key] == bad["bad_hash"]), "left_anti").select(*docs.columns)
+    return keyed.join(sized(bad, BROADCAST_ROWS), F.col(doc_id).eqNullSafe(F.col(of_doc)) & (F.col(key) == F.col(of_hash)), "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark, sf_dir):
@@ -83,18 +91,20 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM d
 ), iw AS (
-  SELECT DISTINCT item_id,
-    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark
+  SELECT row_number() OVER () AS q, item_id, ws FROM (SELECT DISTINCT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark)
 ), ds AS (
   SELECT DISTINCT r, doc_id, CASE WHEN len(ws) >= 5 THEN array_to_string(ws[i:i + 4], ' ') ELSE array_to_string(ws, ' ') END AS s
   FROM (SELECT r, doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM dw WHERE len(ws) > 0)
 ), its AS (
-  SELECT DISTINCT item_id, CASE WHEN len(ws) >= 5 THEN array_to_string(ws[i:i + 4], ' ') ELSE array_to_string(ws, ' ') END AS s
-  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM iw WHERE len(ws) > 0)
+  SELECT DISTINCT q, item_id, CASE WHEN len(ws) >= 5 THEN array_to_string(ws[i:i + 4], ' ') ELSE array_to_string(ws, ' ') END AS s
+  FROM (SELECT q, item_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM iw WHERE len(ws) > 0)
 ), n AS (
-  SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id
+  SELECT q, count(*) AS n_item FROM its GROUP BY q
+), hits AS (
+  SELECT DISTINCT r, doc_id, item_id, n_item, n_shared FROM (
+    SELECT r, doc_id, q, item_id, n_item, count(*) AS n_shared FROM ds JOIN its USING (s) JOIN n USING (q)
+    GROUP BY r, doc_id, q, item_id, n_item HAVING count(*) >= 0.8 * n_item)
 )
-SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
-FROM ds JOIN its USING (s) JOIN n USING (item_id)
-GROUP BY r, doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM hits
 """
