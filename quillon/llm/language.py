@@ -20,12 +20,12 @@ from .common import batches, bounded_batches, documents, fold
 FOLDS, HELD_OUT = 4, 2
 #: Trigrams are hashed into this many counters for each language, which bounds the model.
 BINS = 1 << 14
-#: Languages that a document may be a mixture of at most, and rounds of expectation-maximisation.
-MAX_LANGUAGES, ROUNDS = 3, 8
+#: Expectation-maximisation ends for a document when no proportion moves by more than this between looks, EVERY rounds apart.
+STEADY, EVERY = 0.005, 4
 #: Weight of the penalty for each language beyond the first.
 PENALTY = 1.0
-#: Distinct trigrams that are worked on at once.
-CHUNK = 1 << 20
+#: Trigrams, each times the number of languages, that are worked on at once.
+CHUNK = 1 << 22
 
 _letter = re.compile(r"[^\W\d_]")
 #: ASCII bytes that aren't letters count as a space.
@@ -71,43 +71,75 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     return names, np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BINS))
 
 
+class Mixture:
+    """Documents as counts of trigrams, with the likelihood of each trigram in each language, relative to its best one."""
+
+    def __init__(self, like: np.ndarray, n: np.ndarray, doc: np.ndarray):
+        self.like, self.n, self.doc = like, n, doc
+        self.first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        self.total = np.add.reduceat(n, self.first).astype(float)
+
+    def of(self, some: np.ndarray) -> Mixture:
+        """The documents where ``some`` is true, numbered anew."""
+        if some.all():
+            return self
+        inside = some[self.doc]
+        return Mixture(self.like[:, inside], self.n[inside], (np.cumsum(some) - 1)[self.doc[inside]])
+
+    def gain(self, p: np.ndarray) -> np.ndarray:
+        """Log likelihood of each document under proportions ``p``, over that of its trigrams' best languages."""
+        mixed = (p[:, self.doc] * self.like).sum(axis=0)
+        return np.add.reduceat(self.n * np.log(np.maximum(mixed, 1e-300)), self.first)
+
+    def fitted(self, p: np.ndarray) -> np.ndarray:
+        """Proportions after expectation-maximisation from ``p``; a document leaves when its own are steady.  Each round raises the likelihood, so all do."""
+        out, at, m = p.copy(), np.arange(p.shape[1]), self
+        while len(at):
+            before = p
+            for _ in range(EVERY):
+                part = p[:, m.doc] * m.like
+                part *= m.n / np.maximum(part.sum(axis=0), 1e-300)
+                p = np.add.reduceat(part, m.first, axis=1) / m.total
+            out[:, at] = p
+            moving = np.abs(p - before).max(axis=0) > STEADY
+            at, p = at[moving], p[:, moving]
+            m = m.of(moving) if len(at) else m
+        return out
+
+
 def mixtures(grams: list[np.ndarray], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each document (with at least one trigram): proportions of all languages, and those of the chosen set, which sum to 1."""
+    """For each document (with at least one trigram): proportions of all languages, and those of the chosen set, which sum to 1.
+
+    The set grows by the language next in proportion as long as the penalised likelihood rises, up to all languages.
+    """
     sizes = np.array([len(g) for g in grams])
     key = np.repeat(np.arange(len(grams)), sizes) * BINS + np.concatenate(grams)
     key, n = np.unique(key, return_counts=True)
     doc, bin_ = key // BINS, key % BINS
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     log = logs[:, bin_]
-    top = log.max(axis=0)
-    like = np.exp(log - top)
-    total = np.add.reduceat(n, first).astype(float)
-    base = np.add.reduceat(n * top, first)
-
-    def rounds(p: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(times):
-            part = p[:, doc] * like
-            part *= n / np.maximum(part.sum(axis=0), 1e-300)
-            p = np.add.reduceat(part, first, axis=1) / total
-        mixed = (p[:, doc] * like).sum(axis=0)
-        return p, base + np.add.reduceat(n * np.log(np.maximum(mixed, 1e-300)), first)
-
+    log -= log.max(axis=0)
+    m = Mixture(np.exp(log), n, doc)
     k = len(logs)
-    free, _ = rounds(np.full((k, len(grams)), 1.0 / k), ROUNDS)
-    order = np.argsort(-free, axis=0, kind="stable")
-    rank = np.argsort(order, axis=0, kind="stable")
+    free = m.fitted(np.full((k, len(grams)), 1.0 / k))
+    rank = np.argsort(np.argsort(-free, axis=0, kind="stable"), axis=0, kind="stable")
     # one language: no mixture to fit, and all are tried
-    alone = base + np.add.reduceat(n * (log - top), first, axis=1)
-    best = alone.argmax(axis=0)
+    alone = np.add.reduceat(n * log, m.first, axis=1)
     chosen = np.zeros_like(free)
-    chosen[best, np.arange(len(grams))] = 1.0
+    chosen[alone.argmax(axis=0), np.arange(len(grams))] = 1.0
     value = alone.max(axis=0)
-    for m in range(2, min(MAX_LANGUAGES, k) + 1):
-        start = np.where(rank < m, np.maximum(free, 1e-3), 0.0)
-        p, fit = rounds(start / start.sum(axis=0), ROUNDS // 2)
-        fit -= PENALTY * (m - 1) * np.log(np.maximum(total / 3, 2))
-        better = fit > value
-        chosen[:, better], value = p[:, better], np.where(better, fit, value)
+    rising = np.ones(len(grams), bool)
+    for size in range(2, k + 1):
+        some = m.of(rising)
+        start = np.where(rank[:, rising] < size, np.maximum(free[:, rising], 1e-3), 0.0)
+        p = some.fitted(start / start.sum(axis=0))
+        fit = some.gain(p) - PENALTY * (size - 1) * np.log(np.maximum(some.total / 3, 2))
+        at = np.flatnonzero(rising)
+        better = fit > value[at]
+        at = at[better]
+        chosen[:, at], value[at] = p[:, better], fit[better]
+        rising = np.isin(np.arange(len(grams)), at)
+        if not len(at):
+            break
     return free, chosen
 
 
@@ -116,8 +148,9 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str =
 
     lang_pred is the language with the largest proportion in the chosen set, score that proportion; ``proportions`` maps the
     chosen languages to theirs.  Null texts, and texts without a letter, are ``und`` with score 0 and no proportions, as all
-    are if nothing was learned.  Ties go to the first language by name; repeated rows are alike; an empty table gives an empty
-    table; a column of that name is replaced.  The model holds BINS numbers for each language.
+    are if nothing was learned.  Ties go to the first language by name; repeated rows are alike; a very long text is looked at
+    whole, by itself if need be; an empty table gives an empty table; a column of that name is replaced, and there are no other
+    working columns.  The model holds BINS numbers for each language.
     """
     bounded_batches(docs.sparkSession)
     names, logs = model
@@ -129,7 +162,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str =
         table = sent.value
         for texts in it:
             out: list[dict] = []
-            for part in batches((trigrams(t or "") if names else np.zeros(0, np.int64) for t in texts.to_pylist()), CHUNK, len):
+            for part in batches((trigrams(t or "") if names else np.zeros(0, np.int64) for t in texts.to_pylist()), CHUNK // max(len(names), 1), len):
                 some = [g for g in part if len(g)]
                 chosen = iter(mixtures(some, table)[1].T if some else ())
                 for g in part:
