@@ -5,7 +5,8 @@ for letters to those letters), then an Aho-Corasick automaton finds all terms an
 an exception phrase doesn't count.  The hits' weights, alone and by the length of the text, give a score between 0 and 1.
 
 The lexicon is learned: terms are words, and beginnings of words, whose documents are labelled toxic far more often than
-others; a term's weight is its log odds.  Counting runs on Spark over a bounded sample of labelled rows.
+others; a term's weight is its log odds.  Exception phrases are learned too: a hit with the word before or after it, found in
+documents that are labelled clean and hardly ever in toxic ones.  Counting runs on Spark over a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -25,14 +26,12 @@ from .common import bounded_batches, documents, fold
 FOLDS, HELD_OUT = 4, 2
 #: Labelled rows that the lexicon is learned from at most, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
-#: Terms that the lexicon holds at most.
-MAX_TERMS = 1_000
 #: A term is in at least this many toxic documents, and this share of them; its log odds are at least MIN_ODDS.
 MIN_DOCS, MIN_SHARE, MIN_ODDS = 3, 0.01, 3.0
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.3
-#: Phrases that hold a term without abuse (fixed values); " " stands for white space and other signs between words.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "circus clown", "sore loser", "worthless currency")
+#: An exception phrase is in at least this many clean documents, and its log odds of being toxic are at most this.
+SPARED_DOCS, SPARED_ODDS = 3, -1.0
 
 #: Look-alikes (fixed values): Cyrillic and Greek letters drawn like Latin ones.
 LOOKALIKES = dict(zip("абвеёіјкмнорсѕтухһԁԛԝαβεηικνορτυχϲ", "abbeeijkmhopcstyxhdqwabenikvoptuxc"))
@@ -49,7 +48,7 @@ _spaced = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def folded(text: str) -> str:
-    """``text`` in folded form: words between spaces; digits and signs are letters where they touch letters."""
+    """``text`` in folded form: words between single spaces; digits and signs are letters where they touch letters."""
     t = text.lower()
     if not t.isascii():
         if _foreign.search(t):
@@ -58,12 +57,12 @@ def folded(text: str) -> str:
     if _digits.search(t):
         beside = lambda m: t[m.start() - 1 : m.start()].isalpha() or t[m.end() : m.end() + 1].isalpha()
         t = _digits.sub(lambda m: m[0].translate(_to_letters) if beside(m) else m[0], t)
-    return " " + t.encode("utf-8", "replace").translate(_spaced).decode() + " "
+    return " " + b" ".join(t.encode("utf-8", "replace").translate(_spaced).split()).decode() + " "
 
 
 def terms(text: str) -> set[str]:
     """The terms that a text could give the lexicon: `` word `` and `` beginning``."""
-    ws = {w for w in folded(text).split() if 3 <= len(w) <= 30}
+    ws = set(folded(text).split(" ")) - {""}
     return {f" {w} " for w in ws} | {f" {w[:n]}" for w in ws for n in PREFIXES if len(w) > n}
 
 
@@ -79,35 +78,57 @@ def choose(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> di
     vague = {p for t in odds for p in beginnings(t) if odds[t][1] >= 0.8 * odds[p][1]}
     odds = {t: x for t, x in odds.items() if t not in vague}
     kept = {t: w for t, (w, _) in odds.items() if not any(t[:n] in odds for n in range(2, len(t)))}
-    best = sorted(kept, key=lambda t: (-odds[t][1] * kept[t], t))[:MAX_TERMS]
-    return {t: kept[t] for t in sorted(best)}
+    return {t: kept[t] for t in sorted(kept)}
 
 
 class Lexicon:
     """Terms with weights and exception phrases in one automaton, and the score's coefficients."""
 
-    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, coefficients: tuple[float, float, float] = (-4.0, 1.5, 1.5)):
+    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = (), coefficients: tuple[float, float, float] = (-4.0, 1.5, 1.5)):
         import ahocorasick
 
-        self.weights, self.coefficients = weights, coefficients
+        self.weights, self.exceptions, self.coefficients = weights, tuple(exceptions), coefficients
         self.automaton = ahocorasick.Automaton()
         for t, w in weights.items():
             self.automaton.add_word(t, (len(t), w))
-        for e in exceptions:
+        for e in self.exceptions:
             self.automaton.add_word(f" {e} ", (len(e) + 2, None))
         self.automaton.make_automaton()
         self.any = bool(len(self.automaton))
 
+    def hits(self, t: str) -> list[tuple[int, int, float]]:
+        """First and last place and weight of each hit in a folded text, in order; of several that begin at one place the heaviest.
+
+        A hit that lies inside an exception phrase is none.
+        """
+        found = sorted(((end - n + 1, end, w) for end, (n, w) in self.automaton.iter(t)), key=lambda x: (x[0], x[2] is not None, -(x[2] or 0))) if self.any else []
+        out, reach, seen = [], -1, -1
+        for a, b, w in found:  # phrases come before the terms that begin where they do
+            if w is None:
+                reach = max(reach, b)
+            elif a > seen and b > reach:
+                out.append((a, b, w))
+                seen = a
+        return out
+
+    def phrases(self, text: str) -> set[str]:
+        """Each hit's words with the word before them, and with the word after them."""
+        t = folded(text)
+        out = set()
+        for a, b, _ in self.hits(t):
+            # a hit begins with the space before its word and ends with the one after it, or inside the word
+            hi = t.index(" ", b)
+            if a:
+                out.add(t[t.rindex(" ", 0, a) + 1 : hi])
+            if hi < len(t) - 1:
+                out.add(t[a + 1 : t.index(" ", hi + 1)])
+        return out
+
     def measures(self, text: str) -> tuple[float, float]:
         """Logarithms of one plus the summed weights, and of one plus the same by hundred words."""
         t = folded(text)
-        hits = [(end - n + 1, end, w) for end, (n, w) in self.automaton.iter(t)] if self.any else []
-        spared = [(a, b) for a, b, w in hits if w is None]
-        total, seen = 0.0, -1
-        for a, b, w in sorted((x for x in hits if x[2] is not None), key=lambda x: (x[0], -x[2])):
-            if a > seen and not any(lo <= a and b <= hi for lo, hi in spared):
-                total, seen = total + w, a
-        return math.log1p(total), math.log1p(100 * total / max(len(t.split()), 1))
+        total = sum(w for _, _, w in self.hits(t))
+        return math.log1p(total), math.log1p(100 * total / max(t.count(" ") - 1, 1))
 
     def score(self, text: str) -> float:
         a, b = self.measures(text)
@@ -125,59 +146,68 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 0.05) ->
     return tuple(map(float, b))
 
 
-def learn(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> Lexicon:
-    """A lexicon from at most SAMPLE_ROWS rows ``(text, toxic)``; rows with a null in either aren't learned from.
-
-    Without a toxic or a clean row the lexicon is empty.
-    """
-    spark = labelled.sparkSession
-    bounded_batches(spark)
-    rows = labelled.select(F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic")).where("text is not null and toxic is not null")
+def counts(rows: DataFrame, kinds) -> DataFrame:
+    """``kind, a, c``: toxic and clean documents of ``rows(text, toxic)`` that have each of ``kinds(text)``; the empty kind is in all."""
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {0: Counter(), 1: Counter()}
+        found, of = {0: Counter(), 1: Counter()}, kinds()
         for b in it:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found[int(y > 0)].update(terms(t))
+                found[int(y > 0)].update(of(t))
                 found[int(y > 0)][""] += 1
-        # terms that no toxic document of this task has are sent too: others may have them
+        # kinds that no toxic document of this task has are sent too: others may have them
         names = list(found[0].keys() | found[1].keys())
         for k in range(0, len(names), 50_000):
             part = names[k : k + 50_000]
-            yield pa.record_batch([pa.array(part), pa.array([found[1][t] for t in part], pa.int64()), pa.array([found[0][t] for t in part], pa.int64())], ["term", "a", "c"])
+            yield pa.record_batch([pa.array(part), pa.array([found[1][t] for t in part], pa.int64()), pa.array([found[0][t] for t in part], pa.int64())], ["kind", "a", "c"])
+
+    return rows.mapInArrow(counted, "kind string, a bigint, c bigint").groupBy("kind").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
 
-    sums = rows.mapInArrow(counted, "term string, a bigint, c bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
-    n_toxic, n_clean = next(((r.a, r.c) for r in sums.where("term = ''").collect()), (0, 0))
+
+def learn(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> Lexicon:
+    """A lexicon from the rows ``(text, toxic)``; rows with a null in either aren't learned from.
+
+    Without a toxic or a clean row the lexicon is empty.  The rows are a bounded sample (``labelled_sample``); terms and phrases
+    that reach the driver are those of it that meet the thresholds above.
+    """
+    from .common import staged
+
+    bounded_batches(labelled.sparkSession)
+    rows = labelled.select(F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic")).where("text is not null and toxic is not null")
+    sums = staged(counts(rows, lambda: terms), "terms")
+    n_toxic, n_clean = next(((r.a, r.c) for r in sums.where("kind = ''").collect()), (0, 0))
     least = max(MIN_DOCS, MIN_SHARE * n_toxic)
-    often = sums.where((F.col("term") != "") & (F.col("a") >= least)).where(F.col("a") * max(n_clean, 1) > 3 * F.col("c") * max(n_toxic, 1))
-    best = often.orderBy((F.col("a") - F.col("c") * (n_toxic / max(n_clean, 1))).desc(), "term").limit(20 * MAX_TERMS).collect()
-    lexicon = Lexicon(choose([(r.term, r.a, r.c) for r in best], n_toxic, n_clean) if n_clean else {})
-    if not lexicon.weights:
+    often = sums.where((F.col("kind") != "") & (F.col("a") >= least)).where(F.col("a") * max(n_clean, 1) > 3 * F.col("c") * max(n_toxic, 1))
+    weights = choose([(r.kind, r.a, r.c) for r in often.collect()], n_toxic, n_clean) if n_clean else {}
+    if not weights:
         return Lexicon({})
-    weights = lexicon.weights
+    seen = counts(rows, lambda: Lexicon(weights).phrases).where((F.col("kind") != "") & (F.col("c") >= SPARED_DOCS)).collect()
+    odds = lambda r: math.log((r.a + 0.5) / (n_toxic - r.a + 0.5)) - math.log((r.c + 0.5) / (n_clean - r.c + 0.5))
+    exceptions = tuple(sorted(r.kind for r in seen if odds(r) <= SPARED_ODDS))
 
-    def seen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(weights)
+    def measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Lexicon(weights, exceptions)
         for b in it:
             m = [own.measures(t) for t in b.column(0).to_pylist()]
             yield pa.record_batch([pa.array([x for x, _ in m], pa.float64()), pa.array([x for _, x in m], pa.float64()), b.column(1)], ["x", "z", "y"])
 
-    sample = rows.mapInArrow(seen, "x double, z double, y int").toPandas()
-    return Lexicon(weights, coefficients=fit(sample[["x", "z"]].to_numpy(), (sample["y"] > 0).to_numpy(float)))
+    sample = rows.mapInArrow(measured, "x double, z double, y int").toPandas()
+    return Lexicon(weights, exceptions, fit(sample[["x", "z"]].to_numpy(), (sample["y"] > 0).to_numpy(float)))
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "score") -> DataFrame:
     """Every row of ``docs`` with the score of its whole text.
 
-    Null and empty texts have no hit and the score of a text without one; repeated rows score alike; an empty table gives an
-    empty table; a column of that name is replaced.  The broadcast lexicon holds MAX_TERMS terms at most.
+    Null and empty texts have no hit and the score of a text without one; a very long text is scored whole, in time that follows
+    its length and hits; repeated rows score alike; of hits that begin at one place the heaviest counts; an empty table gives an
+    empty table; a column of that name is replaced, and there are no other working columns.
     """
     bounded_batches(docs.sparkSession)
-    weights, coefficients = lexicon.weights, lexicon.coefficients
+    weights, exceptions, coefficients = lexicon.weights, lexicon.exceptions, lexicon.coefficients
 
     @F.arrow_udf("double")
     def score(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Lexicon(weights, coefficients=coefficients)
+        own = Lexicon(weights, exceptions, coefficients)
         for texts in it:
             yield pa.array([own.score(t or "") for t in texts.to_pylist()], pa.float64())
 
