@@ -98,30 +98,50 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> DataFrame:
-    """Edges ``(u, v)`` that connect the distinct fingerprints ``nodes(fp bigint)`` within ``radius`` bits."""
-    spark = nodes.sparkSession
-    tile = nodes.select("fp", (F.bit_count(F.shiftrightunsigned("fp", 32)) * 64 + F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF))).alias("tile"))
-    sizes = {r.tile: r.n for r in tile.groupBy("tile").agg(F.count("*").alias("n")).collect()}  # 33 x 33 tiles at most
+def tile_plan(tiled: DataFrame, key: str, slice_rows: int, lot_size: int, partners, cost) -> DataFrame | None:
+    """``tiled`` (with ``key`` and a column ``tile``) dealt into slices, each beside the slices that it is to be compared with.
+
+    Adds ``lot, pair, side, own``: a pair is two slices (or one and itself, ``own``), its rows are of side 0 and 1, and a lot is
+    some pairs in a row.  ``partners(s)`` are the tiles from ``s`` on that a tile meets and ``cost(m, n)`` what two slices of these
+    sizes cost, of which a lot holds about ``lot_size``.  What is on the driver has a row for each pair of tiles, whose number
+    doesn't depend on the input; the pairs of slices are made on Spark.
+    """
+    spark = tiled.sparkSession
+    sizes = {r.tile: r.n for r in tiled.groupBy("tile").agg(F.count("*").alias("n")).collect()}
     slices = {t: -(-n // slice_rows) for t, n in sizes.items()}
-    plan, lot, pair, filled = [], 0, 0, 0
+    pairs, first, filled = [], 0, 0
     for s in sorted(sizes):
-        for t in sorted(sizes):
-            if s <= t and abs(s // 64 - t // 64) + abs(s % 64 - t % 64) <= radius:
-                for i in range(slices[s]):
-                    for j in range(i if s == t else 0, slices[t]):
-                        own = (s, i) == (t, j)
-                        plan += [(s, i, lot, pair, 0, own)] + ([] if own else [(t, j, lot, pair, 1, own)])
-                        pair, filled = pair + 1, filled + sizes[s] // slices[s] + sizes[t] // slices[t]
-                        if filled >= LOT:
-                            lot, filled = lot + 1, 0
-    if not plan:
-        return spark.createDataFrame([], "u bigint, v bigint")
+        for t in partners(s):
+            if t in sizes:
+                each = max(cost(sizes[s] // slices[s], sizes[t] // slices[t]), 1)
+                n = slices[s] * slices[t]
+                pairs.append((s, t, slices[s], slices[t], first, filled, each))
+                first, filled = first + n, filled + n * each
+    if not pairs:
+        return None
+    plan = spark.createDataFrame(pairs, "s int, t int, ns bigint, nt bigint, first bigint, filled bigint, each bigint")
+    plan = plan.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ns") - 1)))
+    plan = plan.withColumn("j", F.explode(F.sequence(F.when(F.col("s") == F.col("t"), F.col("i")).otherwise(F.lit(0)).cast("bigint"), F.col("nt") - 1)))
+    at = F.col("i") * F.col("nt") + F.col("j")
+    lot = F.expr(f"(filled + (i * nt + j) * each) div {lot_size}")
+    plan = plan.select("s", "i", "t", "j", (F.col("first") + at).alias("pair"), lot.alias("lot"), ((F.col("s") == F.col("t")) & (F.col("i") == F.col("j"))).alias("own"))
+    sides = F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    steps = plan.withColumn("side", sides).select(F.when(F.col("side") == 0, F.col("s")).otherwise(F.col("t")).alias("tile"), F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")).alias("slice"), "lot", "pair", "side", "own")
     cut = F.create_map(*[x for t, n in slices.items() for x in (F.lit(t), F.lit(n))])
-    dealt = tile.withColumn("slice", F.pmod(F.xxhash64("fp"), cut[F.col("tile")]).cast("int"))
-    steps = spark.createDataFrame(plan, "tile int, slice int, lot int, pair int, side int, own boolean")
-    # the plan has one row for each slice of a pair of tiles: its size follows the number of slices, not of rows
-    joined = dealt.join(F.broadcast(steps) if len(plan) <= 100_000 else steps.hint("merge"), ["tile", "slice"])
+    dealt = tiled.withColumn("slice", F.pmod(F.xxhash64(key), cut[F.col("tile")]).cast("bigint"))
+    # two rows for each pair of slices at most: few are broadcast, many are joined by sort-merge
+    return dealt.join(F.broadcast(steps) if first <= 50_000 else steps.hint("merge"), ["tile", "slice"])
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> DataFrame:
+    """Edges ``(u, v)`` that connect the distinct fingerprints ``nodes(fp bigint)`` within ``radius`` bits."""
+    tiled = nodes.select("fp", (F.bit_count(F.shiftrightunsigned("fp", 32)) * 64 + F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF))).cast("int").alias("tile"))
+    # 33 x 33 tiles at most; each meets those whose counts differ by ``radius`` in sum
+    steps = [(h, k) for h in range(radius + 1) for k in range(h - radius, radius - h + 1) if (h, k) >= (0, 0)]
+    near = lambda s: [s + 64 * h + k for h, k in steps if s // 64 + h <= 32 and 0 <= s % 64 + k <= 32]
+    joined = tile_plan(tiled, "fp", slice_rows, LOT, near, lambda m, n: m + n)
+    if joined is None:
+        return nodes.sparkSession.createDataFrame([], "u bigint, v bigint")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pair, side = pdf["pair"].to_numpy(), pdf["side"].to_numpy()
@@ -163,7 +183,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     component_id is the smallest id of all rows whose fingerprints are linked, directly or by a chain, at ``radius`` or
     fewer differing bits.  A null or empty text has no word and fingerprint zero, which links like any other.  Repeated rows
     share a fingerprint; null ids are passed over by the minimum (null where a group has no other).  Ties don't arise: the
-    minimum is a value.  An empty table gives an empty table.  Columns of those two names are replaced.
+    minimum is a value.  A very long text is hashed whole, 65,536 shingles at a time.  An empty table gives an empty table.
+    Columns of those two names are replaced; working columns take names that ``docs`` doesn't have.
     """
     keep = [c for c in docs.columns if c not in ("fingerprint", "component_id")]
     hashed, member, name = _grouped(docs.select(*keep), text, doc_id, radius, width)
@@ -244,26 +265,11 @@ def similar_links(nodes: DataFrame, texts: DataFrame, alike: float = ALIKE, widt
     A pair of slices first gives the texts that have a candidate in it; those alone are fetched from ``texts(row, text)`` and
     verified.  Both steps return texts or a spanning forest, never all pairs.
     """
-    spark = nodes.sparkSession
+    # one tile for each quarter more shingles; two tiles on only by rounding
     tiled = nodes.withColumn("tile", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / alike)) + 1e-9).cast("int"))
-    sizes = {r.tile: r.n for r in tiled.groupBy("tile").agg(F.count("*").alias("n")).collect()}  # one for each quarter more shingles
-    slices = {t: -(-n // slice_rows) for t, n in sizes.items()}
-    plan, lot, pair, filled = [], 0, 0, 0
-    for s in sorted(sizes):
-        for t in (s, s + 1, s + 2):  # two tiles on only by rounding
-            for i in range(slices[s] if t in sizes else 0):
-                for j in range(i if s == t else 0, slices[t]):
-                    own = (s, i) == (t, j)
-                    plan += [(s, i, lot, pair, 0, own)] + ([] if own else [(t, j, lot, pair, 1, own)])
-                    pair, filled = pair + 1, filled + sizes[s] // slices[s] * (sizes[t] // slices[t]) // (2 if own else 1)
-                    if filled >= COPY_LOT:
-                        lot, filled = lot + 1, 0
-    if not plan:
-        return spark.createDataFrame([], "u bigint, v bigint")
-    cut = F.create_map(*[x for t, n in slices.items() for x in (F.lit(t), F.lit(n))])
-    dealt = tiled.withColumn("slice", F.pmod(F.xxhash64("key"), cut[F.col("tile")]).cast("int"))
-    steps = spark.createDataFrame(plan, "tile int, slice int, lot int, pair int, side int, own boolean")
-    joined = dealt.join(F.broadcast(steps) if len(plan) <= 100_000 else steps.hint("merge"), ["tile", "slice"])
+    joined = tile_plan(tiled, "key", slice_rows, COPY_LOT, lambda s: (s, s + 1, s + 2), lambda m, n: m * n)
+    if joined is None:
+        return nodes.sparkSession.createDataFrame([], "u bigint, v bigint")
 
     def sides(pdf: pd.DataFrame) -> Iterator[tuple]:
         pdf = pdf.sort_values(["pair", "side", "n", "key"], ignore_index=True)
@@ -283,7 +289,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, alike: float = ALIKE, widt
                 hit[js] = True
         return of.loc[hit, ["pair", "side", "own", "key", "hi", "lo", "n", "row"]]
 
-    kinds = "pair int, side int, own boolean, key bigint, hi bigint, lo bigint, n bigint, row bigint"
+    kinds = "pair bigint, side int, own boolean, key bigint, hi bigint, lo bigint, n bigint, row bigint"
     members = staged(joined.groupBy("lot").applyInPandas(met, kinds), "members")
     wanted = members.select("row").distinct()
     told = staged(texts.join(sized(wanted, 500_000), "row", "left_semi"), "texts")
@@ -316,8 +322,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, alike: float = ALIKE, widt
 def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alike: float = ALIKE, width: int = COPY_WIDTH) -> DataFrame:
     """The rows of ``docs`` of which one of each group stays: texts with Jaccard similarity ``alike`` are linked, and chains of them.
 
-    The similarity is that of the sets of ``width``-word shingles, lower-cased; texts without a word are alike.  Which row stays
-    is as in ``first_of_each``.
+    The similarity is that of the sets of ``width``-word shingles, lower-cased; null and empty texts, which have no word, are
+    alike.  Of a group the row with the smallest id stays; a row without id only where there is no other; among equal ids, and
+    repeated rows, the one that was read first.  A very long text is compared by its fingerprint and fetched only if it has a
+    candidate.  An empty table gives an empty table; working columns take names that ``docs`` doesn't have.
     """
     bounded_batches(docs.sparkSession)
     name = {k: fresh(docs, k) for k in ("sketch", "row", "of_key", "root")}
