@@ -7,8 +7,8 @@ thinned without loss: of every ``length`` words only the windows whose hash is s
 equal passages choose alike.
 
 Documents are dealt into blocks of bounded size by a hash of the row.  A block sends each level's window hashes, each once, in
-packed form to the buckets that count them, and gets back those that start more than once anywhere.  Windows are equal if
-their 64-bit hashes are.
+packed form to the buckets that count them, and gets back those that start more than once anywhere.  The levels before the last
+only narrow the search and go by 64 bits; windows of the full length are equal if 128 bits of hash are, words hashed to as many.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks_for, bounded_batches, documents, fresh, mix, text_key, word_hashes
+from .common import as_bytes, blocks_for, bounded_batches, documents, fresh, mix, partitions_for, text_key, wide_word_hashes
 
 LENGTH = 35
 BLOCK_BYTES = 2 << 20
@@ -51,8 +51,9 @@ class Block:
         self.length, self.levels = length, level_lengths(length)
         self.words = [t.split() for t in texts]
         self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        flat = [h for ws in self.words if ws for h in (word_hashes(ws),)]
-        self.h = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+        flat = [h for ws in self.words if ws for h in (wide_word_hashes(ws),)]
+        both = np.concatenate(flat) if flat else np.zeros((0, 2), np.uint64)
+        self.h, self.other = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
         n = len(self.h)
         ends = np.cumsum(self.sizes)
         self.end = np.repeat(ends, self.sizes)
@@ -60,21 +61,28 @@ class Block:
         self.left = self.end - np.arange(n)
         self.spans: dict[int, np.ndarray] = {}
 
-    def span(self, length: int) -> np.ndarray:
+    def rolled(self, h: np.ndarray, length: int) -> np.ndarray:
         """Hash of the ``length`` words from each position, 0 where the document ends before."""
+        step = 1
+        while 2 * step <= length:
+            h = mix(h[:-step], h[step:])
+            step *= 2
+        if rest := length - step:
+            h = mix(h[: max(len(h) - rest, 0)], h[rest:])
+        full = np.zeros(len(self.h), np.uint64)
+        full[: len(h)] = h | np.uint64(1)
+        full[self.left < length] = 0
+        return full
+
+    def span(self, length: int) -> np.ndarray:
         if length not in self.spans:
-            h, step = self.h, 1
-            while 2 * step <= length:
-                h = mix(h[:-step], h[step:])
-                step *= 2
-            if rest := length - step:
-                h = mix(h[: max(len(h) - rest, 0)], h[rest:])
-            full = np.zeros(len(self.h), np.uint64)
-            full[: len(h)] = h | np.uint64(1)
-            full[self.left < length] = 0
-            self.spans[length] = full
+            self.spans[length] = self.rolled(self.h, length)
         return self.spans[length]
 
+    def wide(self, at: np.ndarray) -> np.ndarray:
+        """Both hashes of the windows of the full length at these positions."""
+        return np.column_stack([self.span(self.length)[at], self.rolled(self.other, self.length)[at]])
+
     def anchors(self) -> np.ndarray:
         """First-level windows with the smallest hash among those of some passage of the full length."""
         first, n = self.levels[0], len(self.h)
@@ -109,17 +117,41 @@ class Block:
 
     def covered(self, repeated: np.ndarray) -> np.ndarray:
         """Words that some repeated window of the full length covers."""
-        hit = np.flatnonzero(np.isin(self.span(self.length), repeated)) if len(repeated) else np.zeros(0, np.int64)
+        at = np.flatnonzero(np.isin(self.span(self.length), repeated[:, 0])) if len(repeated) else np.zeros(0, np.int64)
+        hit = at[among(self.wide(at), repeated)] if len(at) else at
         edge = np.zeros(len(self.h) + 1, np.int64)
         edge[hit] += 1
         np.add.at(edge, hit + self.length, -1)
         return np.cumsum(edge[:-1]) > 0
 
 
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of an array of one or two columns, sorted by its columns, with how often each occurs."""
+    if a.ndim == 1:
+        return np.unique(a, return_counts=True)
+    a = a[np.lexsort((a[:, 1], a[:, 0]))]
+    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]).any(axis=1))) if len(a) else np.zeros(0, np.int64)
+    return a[at], np.diff(np.append(at, len(a)))
+
+
+def among(a: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which rows of ``a`` are rows of ``some``."""
+    if a.ndim == 1:
+        return np.isin(a, some)
+    both = np.concatenate([a, some])
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    run = np.cumsum(np.append(True, (both[order][1:] != both[order][:-1]).any(axis=1))) - 1
+    has = np.zeros(run[-1] + 1, bool)
+    has[run[order >= len(a)]] = True
+    out = np.empty(len(both), bool)
+    out[order] = has[run]
+    return out[: len(a)]
+
+
 def _blobs(block: int, found: np.ndarray, buckets: int) -> pa.Table:
     """Window hashes of a block, each once, by bucket; those that the block holds twice or more come again in ``twice``."""
-    u, n = np.unique(found, return_counts=True)
-    bucket = (u >> np.uint64(40)) % np.uint64(buckets)
+    u, n = distinct(found)
+    bucket = ((u if u.ndim == 1 else u[:, 0]) >> np.uint64(40)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     u, n, bucket = u[order], n[order], bucket[order].astype(np.int64)
     cut = np.flatnonzero(np.diff(bucket)) + 1
@@ -134,28 +166,30 @@ def _blobs(block: int, found: np.ndarray, buckets: int) -> pa.Table:
     )
 
 
-def _repeated(blobs: pa.Table) -> pa.Table:
+def _hashes(blobs: list[bytes], columns: int) -> np.ndarray:
+    a = np.frombuffer(b"".join(blobs), np.uint64)
+    return a.reshape(-1, 2) if columns == 2 else a
+
+
+def _repeated(blobs: pa.Table, columns: int) -> pa.Table:
     """For a bucket: of each block's hashes those that start more than once."""
-    once = [np.frombuffer(b, np.uint64) for b in blobs.column("once").to_pylist()]
-    twice = [np.frombuffer(b, np.uint64) for b in blobs.column("twice").to_pylist()]
-    u, n = np.unique(np.concatenate([*once, *twice]), return_counts=True)
+    once = blobs.column("once").to_pylist()
+    u, n = distinct(_hashes([*once, *blobs.column("twice").to_pylist()], columns))
     u = u[n > 1]
-    back = [h[np.isin(h, u, assume_unique=True)].tobytes() for h in once]
+    own = [_hashes([b], columns) for b in once]
+    back = [h[among(h, u)].tobytes() if len(u) else b"" for h in own]
     table = pa.table({"block": blobs.column("block"), "hashes": pa.array(back, pa.binary())})
     return table.filter(pa.array([len(b) > 0 for b in back], pa.bool_()))
 
 
-def _hashes(answers: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(answers.column("hashes").to_pylist()), np.uint64)
-
-
 def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_removed`` and ``kept_text``, the words left joined by single spaces.
 
     A word goes if a window of ``length`` consecutive words of its document covers it whose word sequence also starts
     elsewhere, in the same document or another.  All windows are judged on the input.  A null or empty text has no words; a
-    text with fewer words than ``length`` keeps all; repeated rows remove each other's words; an empty table gives an empty
-    table.  Ids may be null.  Columns with those three names are replaced.
+    text with fewer words than ``length`` keeps all; a very long text is judged whole, in one block; repeated rows remove each
+    other's words, and ties don't arise: of equal passages none stays; an empty table gives an empty table.  Ids may be null.
+    Columns with those three names are replaced; the working column takes a name that ``docs`` doesn't have.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -165,35 +199,40 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", d
     block = fresh(docs, "block")
     n_blocks = blocks_for(docs, text, BLOCK_BYTES)
     buckets = 64 + n_blocks // 128
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the same exchange feeds all levels and the output
-    dealt = docs.withColumn(block, F.pmod(F.xxhash64(F.col(doc_id), text_key(F.col(text))), F.lit(n_blocks))).repartition(parts, block)
+    dealt = docs.withColumn(block, F.pmod(F.xxhash64(F.col(doc_id), text_key(F.col(text))), F.lit(n_blocks))).repartition(partitions_for(spark, n_blocks, 16), block)
+    parts = partitions_for(spark, buckets, 1)
     levels = level_lengths(length)
+    last = len(levels) - 1
     schema = "bucket int, block bigint, once binary, twice binary"
 
     def look(rows: pa.Table, level: int, repeated: np.ndarray) -> pa.Table:
         b = Block(as_bytes(rows.column(text)), length)
-        return _blobs(rows.column(block)[0].as_py() if rows.num_rows else 0, b.span(levels[level])[b.starts(level, repeated)], buckets)
+        at = b.starts(level, repeated)
+        return _blobs(rows.column(block)[0].as_py() if rows.num_rows else 0, b.wide(at) if level == last else b.span(levels[level])[at], buckets)
 
     def first(rows: pa.Table) -> pa.Table:
         return look(rows, 0, np.zeros(0, np.uint64))
 
     def further(level: int):
         def at(rows: pa.Table, known: pa.Table) -> pa.Table:
-            return look(rows, level, _hashes(known))
+            return look(rows, level, _hashes(known.column("hashes").to_pylist(), 1))
 
         return at
 
+    def repeated_of(columns: int):
+        return lambda blobs: _repeated(blobs, columns)
+
     for level in range(len(levels)):
         blocks = dealt.groupBy(block)
         sent = blocks.cogroup(answers.groupBy("block")).applyInArrow(further(level), schema) if level else blocks.applyInArrow(first, schema)
-        answers = sent.groupBy("bucket").applyInArrow(_repeated, "block bigint, hashes binary")
+        answers = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(repeated_of(2 if level == last else 1), "block bigint, hashes binary")
 
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words bigint, n_removed bigint, kept_text string"])
 
     def cut(rows: pa.Table, known: pa.Table) -> pa.Table:
         b = Block(as_bytes(rows.column(text)), length)
-        gone = b.covered(_hashes(known))
+        gone = b.covered(_hashes(known.column("hashes").to_pylist(), 2))
         ends = np.cumsum(b.sizes)
         masks = np.split(gone, ends[:-1]) if len(ends) else []
         kept = [b" ".join(compress(ws, (~m).tolist())) if m.any() else b" ".join(ws) for ws, m in zip(b.words, masks)]
