@@ -132,7 +132,29 @@ def test_op3_holds_every_id_once(spark, small, docs, odd, empty):
 
 def test_packing_balances_cost():
     rng = np.random.default_rng(0)
-    pieces = packing.pack(rng.integers(0, 700, 500), 2048)
+    lengths = rng.integers(0, 700, 500)
+    pieces = packing.pack(lengths, 2048)
+
+    def spread(pieces):
+        cost = defaultdict(float)
+        for _, _, n, s, _ in pieces:
+            cost[s] += n + n * n / 2048
+        return np.std(list(cost.values())) / np.mean(list(cost.values()))
+
+    # the same sequences filled first-fit, by descending length
+    fill, room = [], []
+    for d, n in sorted(enumerate(lengths.tolist()), key=lambda x: -x[1]):
+        s = next((k for k, r in enumerate(room) if r >= n), len(room))
+        room[s:] = room[s:] or [2048]
+        fill.append((d, 0, n, s, 2048 - room[s]))
+        room[s] -= n
+    assert spread(pieces) < 0.5 * spread(fill)
+    # each piece went to the sequence that was cheapest of those with room, as long as one had room
+    whole = sorted((p for p in pieces if p[2] == lengths[p[0]]), key=lambda p: (-p[2], p[0]))
+    left, cost = [2048] * (max(p[3] for p in pieces) + 1), [0.0] * (max(p[3] for p in pieces) + 1)
+    for _, _, n, s, _ in whole[:200]:
+        assert cost[s] == min(c for c, r in zip(cost, left) if r >= n)
+        left[s], cost[s] = left[s] - n, cost[s] + n + n * n / 2048
     room = Counter()
     for d, start, n, s, offset in pieces:
         assert n > 0
@@ -289,6 +311,13 @@ def test_op7_equals_the_library(spark, small, docs, odd, empty):
     for (i, d), ids in zip(docs.items(), library_ids([d.text for d in docs.values()])):
         assert (rows[i].n_tokens, rows[i].n_bytes, rows[i].over_limit) == (len(ids), len((d.text or "").encode()), len(ids) > 2048)
     table = tokens.merge_table(vocabulary("word_bpe_49k.json"))
+    rng = np.random.default_rng(2)
+    long = ["".join(rng.choice(list(a), n)) for a in ("ab", "etaoin", "aaab", "é中a") for n in (255, 256, 257, 3000)]
+    assert tokens.count_texts([h.encode() for h in long], table, {}) == [len(i) for i in library_ids(long)]
+    import time
+
+    began, huge = time.time(), "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz+/"), 1_000_000))
+    assert tokens.count_texts([huge.encode()], table, {}) == [len(library_ids([huge])[0])] and time.time() - began < 30
     hard = ["", "aaaa aaaaaaaaa", "it's I'M don't", "12345 a1b2", "<|endoftext|>x<|startoftext|>", "<|ENDOFTEXT|>", "ΣΑΣ İstanbul straße", "中文字 \U0001f600\U0001f600", "a b c", "école école", "x!!!??? ---"]
     assert tokens.count_texts([h.encode() for h in hard], table, {}) == [len(i) for i in library_ids(hard)]
     got = Counter((r.doc_id, r.n_tokens) for r in tokens.token_counts(odd, vocabulary("word_bpe_49k.json")).collect())
@@ -328,11 +357,43 @@ def test_op9_learns_languages(spark, odd, empty):
     mixed = spark.createDataFrame([(" ".join(two),), (two[0],), (None,), ("12 !!",), ("",)], "text string")
     a, b, *rest = [r.language for r in language.identified(mixed, model).collect()]
     assert len(a.proportions) == 2 and 0.3 < a.score < 0.7 and b.score > 0.95 and [r.lang_pred for r in rest] == ["und"] * 3
+    # every language once: all that hold a fair share are found, none is capped away
+    one = {r.lang: r.text for r in documents(spark, folder).where("n_chars between 1500 and 1600").dropDuplicates(["lang"]).collect()}
+    every = language.identified(spark.createDataFrame([(" ".join(one.values()),)], "text string"), model).first().language
+    assert len(one) == 4 and set(every.proportions) == set(one) and all(0.15 < p < 0.35 for p in every.proportions.values())
     assert language.identified(odd, model).count() == len(ODD) and language.identified(empty, model).count() == 0
     nothing = language.learn(empty)
     assert {r.language.lang_pred for r in language.identified(odd, nothing).collect()} == {"und"}
 
 
+def test_op9_mixture_against_plain_rounds():
+    """The fit of one document against expectation-maximisation term by term, and the set against all sets of leading languages."""
+    rng = np.random.default_rng(7)
+    logs = np.log(rng.dirichlet(np.full(language.BINS, 0.05), 4) + 1e-9)
+    like = np.exp(logs)
+    for share in ([1, 0, 0, 0], [0.5, 0.5, 0, 0], [0.4, 0.3, 0.3, 0], [0.25, 0.25, 0.25, 0.25]):
+        lang = rng.choice(4, 3000, p=share)
+        grams = np.concatenate([rng.choice(language.BINS, int((lang == k).sum()), p=like[k] / like[k].sum()) for k in range(4)])
+
+        def fit(some, times=400):
+            p = np.array([1.0 if k in some else 0.0 for k in range(4)]) / len(some)
+            for _ in range(times):
+                part = p[:, None] * like[:, grams]
+                p = (part / part.sum(axis=0)).mean(axis=1)
+            return p, np.log((p[:, None] * like[:, grams]).sum(axis=0)).sum()
+
+        free, chosen = language.mixtures([grams], logs)
+        exact = fit(range(4))[0]
+        assert np.abs(free[:, 0] - exact).max() < 0.02
+        order, best = np.argsort(-exact), None
+        for m in range(1, 5):
+            p, value = fit(order[:m].tolist())
+            value -= language.PENALTY * (m - 1) * math.log(1000)
+            if best is None or value > best[1]:
+                best = p, value
+        assert np.abs(chosen[:, 0] - best[0]).max() < 0.02 and ((chosen[:, 0] > 0) == (best[0] > 0)).all()
+
+
 def test_op1_finds_toxic_documents(spark, odd, empty):
     folder = "/root/testdata/sf0.1"
     rows = QUERIES["op1_toxicity"](spark, folder)
@@ -340,7 +401,7 @@ def test_op1_finds_toxic_documents(spark, odd, empty):
     toxic, clean = [r for r in held if r.toxic], [r for r in held if not r.toxic]
     assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
     assert all(r.predicted == (r.score >= 0.3) for r in held)
-    lexicon = toxicity.Lexicon({" idiot ": 8.0, " trash ": 8.0, " veju": 6.0})
+    lexicon = toxicity.Lexicon({" idiot ": 8.0, " trash ": 8.0, " veju": 6.0}, ("trash can",))
     hit, none = lexicon.score("You Idiot!"), lexicon.score("You fool")
     assert hit > 0.3 > none
     assert all(lexicon.measures(t)[0] > 0 for t in ("1diot", "ІDІОТ", "ｉｄｉｏｔ", "id1ot.", "vejuté")) and lexicon.measures("trash can, 3 idiots")[0] == 0
@@ -349,6 +410,39 @@ def test_op1_finds_toxic_documents(spark, odd, empty):
     assert toxicity.learn(empty.withColumn("toxic", F.lit(1))).weights == {}
 
 
+def plain_measures(lexicon, text):
+    """The scorer's measures by looking for each term and phrase at each place."""
+    t = toxicity.folded(text)
+    at = lambda x: [k for k in range(len(t)) if t.startswith(x, k)]
+    spans = [(k, k + len(e) + 2) for e in lexicon.exceptions for k in at(f" {e} ")]
+    total = 0.0
+    for k in range(len(t)):
+        here = [w for x, w in lexicon.weights.items() if t.startswith(x, k) and not any(a <= k and k + len(x) <= b for a, b in spans)]
+        total += max(here, default=0.0)
+    return math.log1p(total), math.log1p(100 * total / max(len(t.split()), 1))
+
+
+def test_op1_measures_against_every_place(docs):
+    lexicon = toxicity.Lexicon({" idiot ": 8.0, " trash ": 7.5, " idi": 2.0, " can": 1.0, " trash can b": 9.0}, ("trash can", "no idiot here", "can idiot"))
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["trash", "can", "idiot", "no", "here", "idiom", "b", "Tr4sh", "c@n,"], int(n))) for n in rng.integers(0, 40, 200)]
+    for t in [*texts, *(d.text or "" for d in list(docs.values())[:40])]:
+        assert np.allclose(lexicon.measures(t), plain_measures(lexicon, t))
+    assert lexicon.phrases("the idiot, said") == {"the idiot", "idiot said"} and lexicon.phrases("idiot") == set()
+    import time
+
+    began = time.time()
+    lexicon.measures("trash can idiot " * 80_000)
+    assert lexicon.measures("x" * 2_000_000)[0] == 0 and time.time() - began < 10
+
+
+def test_op1_learns_exceptions(spark):
+    rows = [(f"what a trash person number {k} is", 1) for k in range(30)] + [(f"put it in the trash can number {k} please", 0) for k in range(20)] + [(f"a quiet day number {k}", 0) for k in range(400)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert " trash " in lexicon.weights and "trash can" in lexicon.exceptions
+    assert lexicon.score("the trash can") < 0.3 < lexicon.score("what a trash person")
+
+
 def test_op10_against_brute_force(spark, small, docs, odd, empty):
     def measure(t):
         t = t or ""
@@ -363,6 +457,12 @@ def test_op10_against_brute_force(spark, small, docs, odd, empty):
         m = measure(docs[r.doc_id].text)
         assert tuple(r[n] for n in names) == m
         assert r.base_failed == (m[0] < 10 or 100 * m[4] > 20 * m[0]) and not (r.base_failed and r.kept)
+    taken = odd
+    for c in ("ws", "lines", "h", "p", "q", "at", "host", "own_host", "of_host", "__p", "__host", "rate", "host_rate"):
+        taken = taken.withColumn(c, F.lit(f"mine {c}"))
+    held = quality.judged(taken)
+    assert held.columns == [c for c in taken.columns if c != "host_rate"] + [*quality.MEASURES, "host_rate", "kept"]
+    assert all(r["__p"] == "mine __p" and r["of_host"] == "mine of_host" and r["ws"] == "mine ws" for r in held.collect())
     rows = quality.judged(odd).collect()
     assert Counter(tuple(r[n] for n in names) for r in rows) == Counter(measure(r[1]) for r in ODD) and quality.judged(empty).count() == 0
     bad = spark.createDataFrame([(k, "short", "spam") for k in range(200)] + [(1000 + k, " ".join(f"w{j}" for j in range(50)), "spam" if k < 10 else f"s{k % 20}") for k in range(2000)], "doc_id long, text string, source string")
