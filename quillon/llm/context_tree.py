@@ -17,7 +17,7 @@ Neither the tree nor the vocabulary is ever in one place.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +49,10 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     """For each coded byte: its context, the latest byte highest, and the byte itself lowest; and each text's number of bytes."""
     coded = [stream(t) for t in texts]
     pad = bytes([END]) * depth
-    x = np.frombuffer(pad + pad.join(coded), np.uint8).astype(np.uint64)
-    key = x[depth:].copy()
-    for d in range(1, depth + 1):
-        key |= x[depth - d : len(x) - d] << U(8 * (depth + 1 - d))
+    x = pad + pad.join(coded)
+    # eight bytes from each place on, of which the first ``depth`` are the context, the latest one highest
+    eight = np.ndarray(len(x) - depth, "<u8", x + bytes(8), strides=(1,))
+    key = ((eight & U((1 << (8 * depth)) - 1)) << U(8)) | ((eight >> U(8 * depth)) & U(255))
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     gaps = np.column_stack([sizes, np.full(len(sizes), depth)]).ravel()[:-1]
     own = np.repeat(np.tile([True, False], len(coded))[:-1], gaps)
@@ -259,8 +259,8 @@ def _answers(asks: pa.Table, values: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(blocks), pa.int64()), "found": pa.array(found, pa.binary()), "n_learned": pa.array([n_learned] + [0] * (len(blocks) - 1), pa.int64())})
 
 
-def text_scores(texts: list[bytes], answer) -> np.ndarray:
-    """Sums over each text of its grams' code lengths; ``answer`` gives those of all distinct grams, sorted."""
+def text_scores(texts: list[bytes], answer) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over each text of its grams' code lengths, and its coded bytes; ``answer`` gives those of all distinct grams, sorted."""
     parts = []
     for part in batches(iter(texts), CHUNK, lambda t: len(t) + DEPTH):
         key, sizes = grams(part)
@@ -268,16 +268,15 @@ def text_scores(texts: list[bytes], answer) -> np.ndarray:
         key = key[order]
         at = runs(key)
         parts.append((key[at], at.astype(np.int32), order.astype(np.int32), sizes))
-    if not parts:
-        return np.zeros(0)
-    every = parts[0][0] if len(parts) == 1 else np.unique(np.concatenate([p[0] for p in parts]))
+    every = np.sort(np.concatenate([p[0] for p in parts]))
+    every = every[runs(every)]
     value = answer(every)
     out = []
     for u, at, order, sizes in parts:
         each = np.empty(len(order))
         each[order] = np.repeat(value[np.searchsorted(every, u)], np.diff(np.append(at, len(order))))
         out.append(np.add.reduceat(each, np.cumsum(sizes) - sizes))
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate([p[3] for p in parts])
 
 
 def _scores(block: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
@@ -292,20 +291,22 @@ def _scores(block: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         out[order] = np.concatenate([unpacked(found.pop(first + b), np.int64) for b in range(buckets) if first + b in found])
         return out
 
-    score = text_scores(texts, lambda key: gathered(bucket_of(key, buckets), 0) * UNIT)
-    words = sorted({b""}.union(*(t.lower().split() for t in texts)))
-    c = gathered(bucket_of(word_hashes(words), buckets), buckets)
-    index = {w: k for k, w in enumerate(words)}
-    logs, end = np.log10(c + 0.5), index[b""]
-    n, known, base, size = [], [], [], []
+    score, size = text_scores(texts, lambda key: gathered(bucket_of(key, buckets), 0) * UNIT)
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    number[b""]  # the end token
+    ids, n = [], []
     for t in texts:
         ws = t.lower().split()
-        i = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-        i = np.append(i, end)
-        n.append(len(i))
-        known.append(int((c[i] > 0).sum()))
-        base.append(float(logs[i].sum()))
-        size.append(sum(map(len, ws)) + max(len(ws), 1))
+        ids.append(np.fromiter(map(number.__getitem__, ws), np.int32, len(ws)))
+        n.append(len(ws) + 1)
+    words = list(number)
+    order = np.array(sorted(range(len(words)), key=words.__getitem__))
+    c = np.empty(len(words), np.int64)
+    c[order] = gathered(bucket_of(word_hashes([words[k] for k in order.tolist()]), buckets), buckets)
+    each = c[np.concatenate([x for i in ids for x in (i, [0])])]
+    first = np.cumsum(n) - n
+    known, base = np.add.reduceat((each > 0).astype(np.int64), first), np.add.reduceat(np.log10(each + 0.5), first)
     new = {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_sum": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "n_coded": pa.array(size, pa.int64())}
     return pa.table({"doc_id": block.column("doc_id"), "learned": block.column("learned"), **new, "v_share": pa.array([n_learned] + [0] * (len(texts) - 1), pa.int64())})
 
