@@ -79,8 +79,28 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
     return F.concat_ws("-", *parts)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """``x`` with so many decimals, ``nan`` for NaN: the exact binary value is rounded, a tie between two to the even digit.
+
+    So 0.5005, whose binary value is a little less, gives 0.500, and 0.0625 with three digits gives 0.062.  The value is split
+    in two halves whose products with the power of ten are exact.  It holds for numbers below 2^53 / 10^digits.
+    """
+    power = float(10**digits)
+    a = F.abs(x.cast("double"))
+    big = a * F.lit(134217729.0)  # 2^27 + 1: the upper half of the digits stays
+    hi = big - (big - a)
+    s, t = hi * power, (a - hi) * power
+    down = F.floor(s + t)
+    # twice the rest, less one: its sign is exact, since each sum of two doubles has the right sign
+    over = ((s - down) - 0.5) + t
+    units = down + F.when((over > 0) | ((over == 0) & (down % 2 == 1)), 1).otherwise(0)
+    whole, rest = F.floor(units / int(power)).cast("bigint"), (units % int(power)).cast("bigint")
+    shown = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
+    return F.when(F.isnan(x), F.lit("nan")).otherwise(shown)
+
+
 def three_decimals(x: Column) -> Column:
-    return F.when(F.isnan(x), F.lit("nan")).otherwise(F.format_string("%.3f", F.round(x, 3)))
+    return fixed(x, 3)
 
 
 def nan_to_null(x: Column) -> Column:
@@ -89,7 +109,7 @@ def nan_to_null(x: Column) -> Column:
 
 def share_text(part: Column, total: Column) -> Column:
     """One decimal and a percent sign, ``n/a`` on a zero total."""
-    return F.when(total == 0, F.lit("n/a")).otherwise(F.concat(F.format_string("%.1f", F.round(F.lit(100.0) * part / F.when(total != 0, total), 1)), F.lit("%")))
+    return F.when(total == 0, F.lit("n/a")).otherwise(F.concat(fixed(F.lit(100.0) * part / F.when(total != 0, total), 1), F.lit("%")))
 
 
 def rank_text(rank: Column, limit: int) -> Column:

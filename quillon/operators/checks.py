@@ -11,7 +11,7 @@ CONFIDENT = TIERS[2:]
 
 
 def citations(answer: Column) -> Column:
-    """Ids in square brackets, split at commas and semicolons, trimmed, each once, in order."""
+    """Ids in square brackets (the pattern is a fixed value), split at commas and semicolons, trimmed, each once, in order."""
     bodies = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
     parts = F.flatten(F.transform(bodies, lambda b: F.split(b, "[,;]")))
     return F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""))
@@ -29,7 +29,11 @@ def structure(cited: Column, evidence: Column) -> dict[str, Column]:
     return {"unknown": unknown, "has_citation": F.size(cited) > 0, "passed": (F.size(cited) > 0) & (F.size(unknown) == 0)}
 
 
-def parse_judgment(raw: Column, labels: tuple[str, ...] = ("pertinent", "partiellement pertinent", "non pertinent")) -> Column:
+#: Labels of judgments (fixed values).
+LABELS = ("pertinent", "partiellement pertinent", "non pertinent")
+
+
+def parse_judgment(raw: Column, labels: tuple[str, ...] = LABELS) -> Column:
     """Label and justification from the text between the first ``{`` and the last ``}``, with a validity flag in place of an error."""
     body = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), "label string, justification string")
     why = F.trim(body["justification"])
@@ -48,7 +52,7 @@ def claim_verdicts(claims: DataFrame, evidence_terms: DataFrame, threshold: floa
     ``claims(answer_id, pos, tokens)``, ``evidence_terms(answer_id, token)`` with each token once.
     """
     words = claims.select("answer_id", "pos", F.explode_outer("tokens").alias("token"))
-    found = words.join(evidence_terms.withColumn("here", F.lit(1)), ["answer_id", "token"], "left")
+    found = words.join(evidence_terms.withColumn("here", F.lit(1)).hint("merge"), ["answer_id", "token"], "left")
     share = found.groupBy("answer_id", "pos").agg((F.count("here") / F.greatest(F.count("token"), F.lit(1))).alias("share"))
     return share.withColumn("supported", F.col("share") >= threshold)
 
@@ -56,7 +60,7 @@ def claim_verdicts(claims: DataFrame, evidence_terms: DataFrame, threshold: floa
 def faithfulness(verdicts: DataFrame, answers: DataFrame) -> DataFrame:
     """Share of supported claims for each answer; NaN and no claims where there are none."""
     sums = verdicts.groupBy("answer_id").agg(F.avg(F.col("supported").cast("int")).alias("score"), F.count("*").alias("n_claims"), F.count_if(~F.col("supported")).alias("n_unsupported"))
-    out = answers.join(sums, "answer_id", "left")
+    out = answers.join(sums.hint("merge"), "answer_id", "left")
     return out.withColumns({"score": F.coalesce("score", F.lit(float("nan"))), "n_claims": F.coalesce("n_claims", F.lit(0)), "n_unsupported": F.coalesce("n_unsupported", F.lit(0))})
 
 

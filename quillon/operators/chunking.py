@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.ranks import fresh, ranked
+
 FULL, OVERSIZE, TRAILING = 500, 750, 80
 
 
@@ -30,13 +32,13 @@ def grouped(paras: DataFrame, full: int = FULL, oversize: int = OVERSIZE, traili
     """
     rows = F.array_sort(F.collect_list(F.struct("index", "words")))
     g = paras.groupBy("work_id", "section").agg(fold(rows, full, oversize).alias("out")).select("work_id", "section", F.explode("out").alias("o")).select("work_id", "section", "o.index", "o.g")
-    out = paras.join(g, ["work_id", "section", "index"])
+    out = paras.join(g.hint("merge"), ["work_id", "section", "index"])
     if not merge:
         return out
     sizes = out.groupBy("work_id", "section", "g").agg(F.sum("words").alias("size"))
     last = sizes.groupBy("work_id", "section").agg(F.max("g").alias("last"), F.max_by("size", "g").alias("last_size"))
     small = (F.col("g") == F.col("last")) & (F.col("last") > 0) & (F.col("last_size") < trailing)
-    return out.join(last, ["work_id", "section"]).withColumn("g", F.when(small, F.col("g") - 1).otherwise(F.col("g"))).drop("last", "last_size")
+    return out.join(last.hint("merge"), ["work_id", "section"]).withColumn("g", F.when(small, F.col("g") - 1).otherwise(F.col("g"))).drop("last", "last_size")
 
 
 def built(members: DataFrame) -> DataFrame:
@@ -47,6 +49,7 @@ def built(members: DataFrame) -> DataFrame:
 
 
 def renumbered(chunks: DataFrame) -> DataFrame:
-    """Chunk ids that count through a work in the order of its sections."""
-    n = F.row_number().over(Window.partitionBy("work_id").orderBy("section", "g"))
-    return chunks.withColumn("chunk_id", F.concat(F.col("work_id").cast("string"), F.lit("_c"), n.cast("string")))
+    """Chunk ids that count through a work in the order of its sections; a work may hold any share of all chunks."""
+    number = fresh(chunks, "number")
+    rows = ranked(chunks, ["section", "g"], "work_id", number)
+    return rows.withColumn("chunk_id", F.concat(F.col("work_id").cast("string"), F.lit("_c"), F.col(number).cast("string"))).drop(number)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.sources import files
 
 CUTS = (1, 3, 5, 10)
 
@@ -13,18 +14,27 @@ CUTS = (1, 3, 5, 10)
 def passages_in(docs: DataFrame, items: DataFrame, width: int = 5) -> DataFrame:
     """``item_id, chunk_id`` of each document that holds an item's text verbatim.
 
-    Documents and items meet on the hash of the item's first tokens, then the text itself decides; items shorter than that
-    are looked up by their first token.
+    Documents and items meet on the hash of the item's first inner tokens, ``width`` of them or as many as it has, then the text
+    itself decides; the outer tokens may go on in the document.  Items of one or two tokens, which have no inner ones, are
+    looked for in each document, all in one pass.
     """
     d = docs.select("chunk_id", "text", T.tokens(F.col("text")).alias("t"))
-    i = items.select("item_id", F.col("text").alias("item_text"), T.tokens(F.col("text")).alias("t")).where(F.size("t") > 1)
-    # the last token of a passage may go on in the document, and so may the first have begun before: inner tokens only
-    lead = i.select("item_id", "item_text", F.slice("t", 2, width).alias("lead"), F.size("t").alias("n")).where(F.col("n") >= width + 2)
-    lead = lead.select("item_id", "item_text", F.xxhash64("lead").alias("h"))
-    windows = F.transform(F.sequence(F.lit(1), F.size("t") - (width - 1)), lambda k: F.xxhash64(F.slice("t", k, F.lit(width))))
-    found = d.where(F.size("t") >= width).select("chunk_id", "text", F.explode(F.array_distinct(windows)).alias("h"))
-    found = found.join(F.broadcast(lead) if lead.limit(200_001).count() <= 200_000 else lead.hint("merge"), "h")
-    return found.where(F.col("text").contains(F.col("item_text"))).select("item_id", "chunk_id").distinct()
+    i = items.select("item_id", F.col("text").alias("item_text"), T.tokens(F.col("text")).alias("t")).withColumn("w", F.least(F.size("t") - 2, F.lit(width)))
+    lead = files.staged(i.where("w > 0").select("item_id", "item_text", "w", F.xxhash64(F.slice("t", 2, F.col("w"))).alias("h")), "leads")
+    widths = [r.w for r in lead.select("w").distinct().collect()]  # ``width`` of them at most
+    none = F.array().cast("array<struct<w:int,h:bigint>>")
+
+    def windows(w: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size("t") - (w - 1)), lambda k: F.struct(F.lit(w).alias("w"), F.xxhash64(F.slice("t", k, F.lit(w))).alias("h")))
+        return F.when(F.size("t") >= w, each).otherwise(none)
+
+    found = d.select("chunk_id", "text", F.explode(F.array_distinct(F.concat(*map(windows, widths), none))).alias("x")).select("chunk_id", "text", "x.w", "x.h")
+    found = found.join(F.broadcast(lead) if lead.limit(200_001).count() <= 200_000 else lead.hint("merge"), ["w", "h"])
+    out = found.where(F.col("text").contains(F.col("item_text"))).select("item_id", "chunk_id")
+    # one row that holds the shortest items
+    short = i.where("w <= 0 and item_text <> ''").agg(F.collect_list(F.struct("item_id", "item_text")).alias("short"))
+    held = docs.select("chunk_id", "text").crossJoin(F.broadcast(short)).select("chunk_id", F.explode(F.filter("short", lambda x: F.contains("text", x["item_text"]))).alias("x"))
+    return out.unionByName(held.select("x.item_id", "chunk_id")).distinct()
 
 
 def hit_ranks(items: DataFrame, hits: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,7 +43,7 @@ def hit_ranks(items: DataFrame, hits: DataFrame, gold: DataFrame, keys: list[str
     ``hits(*keys, chunk_id, rank)`` and ``gold(item_id, chunk_id)``; any gold chunk will do.
     """
     first = hits.join(gold, ["item_id", "chunk_id"]).groupBy(*keys).agg(F.min("rank").alias("hit_rank"))
-    return items.join(first, keys, "left")
+    return items.join(first.hint("merge"), keys, "left")
 
 
 def recall(k: int, rank: Column) -> Column:

@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.ranks import fresh, ranked
 from quillon.sources import files
 
 
-def numbered(rows: DataFrame, order: str, name: str = "number") -> DataFrame:
-    """``rows`` with 1, 2, 3 ... in ``order``: sorted by range over many tasks, numbered in each, and moved by what lies before."""
-    spread = rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    spread = files.staged(spread, "numbered")
-    inside = spread.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    sizes = spread.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__part", before.alias("__before"))  # a row for each partition
-    return inside.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
-
-
 def resolve_turns(requests: DataFrame, turns: DataFrame, conversations: DataFrame) -> DataFrame:
     """``request_id, status, conversation_id, turn_id`` for ``requests(request_id, turn_id, conversation_id)``.
 
@@ -27,7 +17,7 @@ def resolve_turns(requests: DataFrame, turns: DataFrame, conversations: DataFram
     """
     t = turns.select(F.col("turn_id").alias("known_turn"), F.col("conversation_id").alias("turn_conversation"))
     c = conversations.select(F.col("conversation_id").alias("known_conversation"))
-    top = turns.agg(F.coalesce(F.max("turn_id"), F.lit(0)).alias("top_turn")).crossJoin(conversations.agg(F.coalesce(F.max("conversation_id"), F.lit(0)).alias("top_conversation")))
+    top = turns.agg(F.coalesce(F.max("turn_id"), F.lit(0)).alias("top_turn")).crossJoin(F.broadcast(conversations.agg(F.coalesce(F.max("conversation_id"), F.lit(0)).alias("top_conversation"))))  # one row each
     r = requests.join(t, requests["turn_id"] == t["known_turn"], "left").join(c, requests["conversation_id"] == c["known_conversation"], "left")
     given, in_conversation = F.col("turn_id").isNotNull(), F.col("conversation_id").isNotNull()
     status = (
@@ -35,8 +25,8 @@ def resolve_turns(requests: DataFrame, turns: DataFrame, conversations: DataFram
         .when(in_conversation & F.col("known_conversation").isNull(), "rejected").when(in_conversation, "new_turn").otherwise("new_conversation")
     )
     r = files.staged(r.select("request_id", status.alias("status"), F.coalesce("turn_conversation", "known_conversation").alias("conversation_id"), F.col("known_turn").alias("turn_id")), "requests")
-    turns_new = numbered(r.where(F.col("status").isin("new_turn", "new_conversation")).select("request_id"), "request_id", "turn_no")
-    conv_new = numbered(r.where("status = 'new_conversation'").select("request_id"), "request_id", "conversation_no")
+    turns_new = ranked(r.where(F.col("status").isin("new_turn", "new_conversation")).select("request_id"), ["request_id"], name="turn_no")
+    conv_new = ranked(r.where("status = 'new_conversation'").select("request_id"), ["request_id"], name="conversation_no")
     out = r.join(turns_new, "request_id", "left").join(conv_new, "request_id", "left").crossJoin(F.broadcast(top))
     rejected = F.col("status") == "rejected"
     return out.select(
@@ -62,7 +52,8 @@ def with_parent(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 
 def found_or_rejected(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return ids.join(known.select(key, F.lit(True).alias("__known")).distinct(), key, "left").withColumn("found", F.coalesce("__known", F.lit(False))).drop("__known")
+    mark = fresh(ids, "mark")
+    return ids.join(known.select(key, F.lit(True).alias(mark)).distinct(), key, "left").withColumn("found", F.coalesce(mark, F.lit(False))).drop(mark)
 
 
 def first_of(rows: DataFrame, key: str, value: str, order: str, name: str) -> DataFrame:
@@ -71,8 +62,8 @@ def first_of(rows: DataFrame, key: str, value: str, order: str, name: str) -> Da
 
 def renamed(rows: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
     """``rows`` with ``column`` from ``updates`` where the key has one."""
-    u = updates.select(key, F.col(column).alias("__new"))
-    return rows.join(u, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+    new = fresh(rows, "new")
+    return rows.join(updates.select(key, F.col(column).alias(new)), key, "left").withColumn(column, F.coalesce(new, column)).drop(new)
 
 
 def cascade(tables: dict[str, DataFrame], chain: list[tuple[str, str]], gone: DataFrame) -> dict[str, DataFrame]:

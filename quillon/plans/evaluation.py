@@ -17,27 +17,28 @@ CONFIGS = ["dense", "sparse", *(f"hybrid_k{k}" for k in RQ.SWEEP)]
 
 
 def _gold(spark, d):
-    return files.staged(E.passages_in(RQ._chunks(spark, d), table(spark, d, "benchmark").select("item_id", "text")), "gold")
+    found = lambda: E.passages_in(RQ._chunks(spark, d), table(spark, d, "benchmark").select("item_id", "text"))
+    return files.kept(spark, "gold", [f"{d}/documents.parquet", f"{d}/benchmark.parquet"], found)
 
 
 def _results(spark, d):
     """Both styles of each item that has gold, with its hit rank and attributes."""
     gold = _gold(spark, d)
     q = R.keyword_and_full(table(spark, d, "benchmark"))
-    hits = R.Corpus(RQ._chunks(spark, d)).retrieve(q.select("query_id", "text"), LIMIT).join(q.select("query_id", "item_id", "style"), "query_id")
+    hits = RQ._corpus(spark, d).retrieve(q.select("query_id", "text"), LIMIT)
+    hits = files.staged(hits, "hits").join(q.select("query_id", "item_id", "style"), "query_id")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source")
     about = gold.join(docs, "chunk_id").groupBy("item_id").agg(F.min_by("lang", "chunk_id").alias("lang"), F.min_by("source", "chunk_id").alias("source"))
-    items = q.select("item_id", "style").join(about, "item_id")
+    items = q.select("item_id", "style").join(about.hint("merge"), "item_id")
     return E.hit_ranks(items, hits.select("item_id", "style", "chunk_id", "rank"), gold, ["item_id", "style"])
 
 
 def _sweep_results(spark, d):
     gold = _gold(spark, d)
     hits = RQ.sweep_hits(spark, d).withColumnRenamed("query_id", "item_id")
-    configs = spark.createDataFrame([(c,) for c in CONFIGS], "config string")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
     about = gold.join(docs, "chunk_id").groupBy("item_id").agg(F.min_by("lang", "chunk_id").alias("lang"))
-    items = about.crossJoin(F.broadcast(configs))
+    items = about.withColumn("config", F.explode(F.array(*map(F.lit, CONFIGS))))
     return E.hit_ranks(items, hits, gold, ["item_id", "config"])
 
 
@@ -55,7 +56,8 @@ def _outcomes(spark, d):
 def scan_gold(spark, d):
     path = files.scratch(spark, "gold")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("chunk_id")), lambda x: x.cast("string")), ", ")
-    items = table(spark, d, "benchmark").select("item_id", "text").join(_gold(spark, d).groupBy("item_id").agg(ids.alias("chunk_ids")), "item_id", "left")
+    held = _gold(spark, d).groupBy("item_id").agg(ids.alias("chunk_ids"))
+    items = table(spark, d, "benchmark").select("item_id", "text").join(held.hint("merge"), "item_id", "left")
     files.write_csv(items.select("item_id", F.col("text").alias("query"), "chunk_ids"), path, sep=";")
     out = files.read_gold(spark, path, "item_id bigint, query string, chunk_ids string")
     return out.select("item_id", "query", F.array_join("chunk_ids", "|").alias("chunk_ids"), F.size("chunk_ids").cast("bigint").alias("n_chunks"))
@@ -99,8 +101,11 @@ def config_breakdown(spark, d):
 
 
 def determinism_check(spark, d):
-    """Two runs of the sweep, compared row by row; no row differs."""
-    return E.differences(RQ.sweep_hits(spark, d), RQ.sweep_hits(spark, d))
+    """Two runs of the sweep, compared row by row: hits of each configuration, and how many differ."""
+    one, two = files.staged(RQ.sweep_hits(spark, d), "first"), files.staged(RQ.sweep_hits(spark, d), "second")
+    other = E.differences(one, two).groupBy("config").agg(F.count("*").alias("n_different"))
+    hits = one.groupBy("config").agg(F.count("*").alias("n_hits"))
+    return hits.join(other.hint("merge"), "config", "left").select("config", "n_hits", F.coalesce("n_different", F.lit(0)).alias("n_different"))
 
 
 def outcome_match(spark, d):
@@ -137,9 +142,9 @@ def resume_pending(spark, d):
     """Pairs of mode and user that were planned (any event type, any user) and aren't checkpointed."""
     e = table(spark, d, "events")
     done = e.select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key")).distinct()
-    modes = e.select(F.col("event_type").alias("mode")).distinct()
-    planned = table(spark, d, "customer").select(F.col("c_custkey").alias("item_id")).crossJoin(R.checked(modes))
-    return planned.withColumn("key", F.concat_ws(":", "mode", F.col("item_id").cast("string"))).join(done, "key", "left_anti")
+    modes = e.agg(F.collect_set("event_type").alias("modes"))  # one row
+    planned = table(spark, d, "customer").select(F.col("c_custkey").alias("item_id")).crossJoin(F.broadcast(modes)).select("item_id", F.explode("modes").alias("mode"))
+    return planned.withColumn("key", F.concat_ws(":", "mode", F.col("item_id").cast("string"))).join(done.hint("merge"), "key", "left_anti")
 
 
 def _round(df, names):
@@ -216,7 +221,7 @@ ORACLES = {
     "rank_matrix": f"{_SW}, m AS (SELECT item_id, {', '.join(f'min(CASE WHEN config = {c!r} THEN hit_rank END) AS {c}' for c in CONFIGS)} FROM results GROUP BY item_id) SELECT *, CASE WHEN coalesce(dense, 11) = coalesce(hybrid_k1, 11) THEN '=' WHEN coalesce(dense, 11) > coalesce(hybrid_k1, 11) THEN '+' || CAST(coalesce(dense, 11) - coalesce(hybrid_k1, 11) AS VARCHAR) ELSE CAST(coalesce(dense, 11) - coalesce(hybrid_k1, 11) AS VARCHAR) END AS delta FROM m",
     "sweep_table": f"{_SW} SELECT config, {_M}, {_MRR}, count(*) AS n FROM results GROUP BY config",
     "config_breakdown": f"{_SW} {_sets(['lang'], head='config')}",
-    "determinism_check": f"SELECT *, 'first' AS run FROM ({RQ.ORACLES['config_sweep']}) WHERE false",
+    "determinism_check": f"SELECT config, count(*) AS n_hits, CAST(0 AS BIGINT) AS n_different FROM ({RQ.ORACLES['config_sweep']}) GROUP BY config",
     "outcome_match": f"WITH {_OUT}, a AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY mode, item_id ORDER BY batch) = 1), b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY mode, item_id ORDER BY batch DESC) = 1) SELECT a.mode, a.item_id, coalesce(a.answer = b.answer AND {_SAME}, false) AS matched FROM a LEFT JOIN b ON a.mode = b.mode AND a.item_id = b.item_id",
     "checkpoint_read": f"WITH {_OUT} SELECT mode || ':' || CAST(item_id AS VARCHAR) AS key, mode, item_id, batch, answer, round(recall, 6) AS recall FROM o QUALIFY row_number() OVER (PARTITION BY mode, item_id ORDER BY batch DESC) = 1",
     "checkpoint_append": "SELECT event_type AS mode, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type",
@@ -224,6 +229,6 @@ ORACLES = {
     "mean_ignore_nan": f"WITH {_OUT} SELECT item_id, round(avg(CASE WHEN NOT isnan(faithfulness) THEN faithfulness END), 6) AS faithfulness FROM o GROUP BY item_id",
     "quality_aggregate": f"WITH {_OUT} SELECT mode, {_NN}, count(*) AS n FROM o GROUP BY mode",
     "quality_breakdown": f"WITH {_OUT}, p AS (SELECT *, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, lpad(CAST(batch % 24 AS VARCHAR), 2, '0') AS hour FROM o) {_sets(['parity', 'hour'], _NN + ', count(*) AS n', 'p', 'mode')}",
-    "per_item_table": f"WITH {_OUT} SELECT batch, mode, replace(replace(CASE WHEN length(answer) > 6 THEN substr(answer, 1, 6) || '…' ELSE answer END, chr(10), ' '), '|', '\\|') AS preview, CASE WHEN isnan(faithfulness) THEN 'nan' ELSE printf('%.3f', round(faithfulness, 3)) END AS faithfulness FROM o",
+    "per_item_table": f"WITH {_OUT} SELECT batch, mode, replace(replace(CASE WHEN length(answer) > 6 THEN substr(answer, 1, 6) || '…' ELSE answer END, chr(10), ' '), '|', '\\|') AS preview, CASE WHEN isnan(faithfulness) THEN 'nan' ELSE printf('%.3f', faithfulness) END AS faithfulness FROM o",
     "gold_coverage": f"{_RES}, n AS (SELECT count(*) AS n, count(CASE WHEN style = 'keyword' THEN 1 END) AS k FROM results) SELECT 'few_items' AS warning, CAST(n AS VARCHAR) AS detail FROM n WHERE n < 50 UNION ALL SELECT 'few_keyword', CAST(k AS VARCHAR) FROM n WHERE k < 8 UNION ALL SELECT 'work_without_gold', source FROM (SELECT DISTINCT source FROM documents EXCEPT SELECT source FROM results)",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import history as H
+from quillon.operators.ranks import ranked
 from quillon.sources import files
 from quillon.sources.tables import table
 
@@ -108,9 +109,10 @@ def point_lookup(spark, d):
 
 
 def vector_lookup(spark, d):
-    """Vectors of the ids that are asked for, and nothing else of them."""
+    """Vectors of the ids that are asked for, whole, a row for each component."""
     wanted = table(spark, d, "events").select(F.col("user_id").alias("vec_id")).distinct()
-    return table(spark, d, "embeddings").select("vec_id", "embedding").join(wanted, "vec_id", "left_semi").select("vec_id", F.element_at("embedding", 1).cast("double").alias("first"), F.size("embedding").cast("bigint").alias("dim"))
+    found = table(spark, d, "embeddings").select("vec_id", "embedding").join(wanted, "vec_id", "left_semi")
+    return found.select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.col("x").cast("double").alias("x"))
 
 
 def turn_generations(spark, d):
@@ -138,7 +140,7 @@ def first_query(spark, d):
 def conversation_list(spark, d):
     """Conversations, newest first, with the query they began with."""
     c = _conversations(spark, d).join(first_query(spark, d), "conversation_id", "left")
-    return H.numbered(c.withColumn("newest", -F.col("conversation_id")), "newest", "place").select("conversation_id", "first_query", F.col("place").cast("bigint").alias("place"))
+    return ranked(c.withColumn("newest", -F.col("conversation_id")), ["newest"], name="place").select("conversation_id", "first_query", "place")
 
 
 def conversation_rename(spark, d):
@@ -172,10 +174,9 @@ def schema_backfill(spark, d):
 
 
 def index_upsert(spark, d):
-    """Points keyed by id: documents of even id are indexed, then all with a new mark; the second time again adds nothing."""
+    """Points keyed by id: documents of even id are in the index, then all are upserted with a new mark; the second time adds nothing."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "source")
-    old = docs.where("point_id % 2 = 0").withColumn("mark", F.lit("old"))
-    new = docs.where("point_id % 3 = 0").withColumn("mark", F.lit("new"))
+    old, new = docs.where("point_id % 2 = 0").withColumn("mark", F.lit("old")), docs.withColumn("mark", F.lit("new"))
     return H.upserted(H.upserted(old, new, ["point_id"]), new, ["point_id"])
 
 
@@ -207,7 +208,7 @@ ORACLES = {
     "generation_evidence": f"WITH {_B} SELECT * FROM evt",
     "chunk_rehydrate": f"WITH {_B} SELECT l_orderkey, pos, chunk_id, coalesce(score, 0.0) AS score, text FROM evt WHERE text IS NOT NULL",
     "point_lookup": f"WITH {_B} SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS place, chunk_id, text FROM evt WHERE text IS NOT NULL",
-    "vector_lookup": "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings WHERE vec_id IN (SELECT user_id FROM events)",
+    "vector_lookup": "SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id IN (SELECT user_id FROM events))",
     "turn_generations": f"WITH {_B} SELECT turn_id, generation_id, row_number() OVER (PARTITION BY turn_id ORDER BY generation_id) AS place FROM g",
     "turn_retrieved": f"WITH {_B} SELECT turn_id, chunk_id, row_number() OVER (PARTITION BY turn_id ORDER BY rank0) AS place FROM retrieved",
     "conversation_turns": f"WITH {_B} SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_id) AS place FROM t",
@@ -218,5 +219,5 @@ ORACLES = {
     "conversation_delete": f"WITH {_B}, x AS (SELECT user_id FROM e WHERE event_type = 'error' AND k % 10 = 0) SELECT 'conversations' AS of, conversation_id AS id FROM c WHERE conversation_id NOT IN (SELECT user_id FROM x) UNION ALL SELECT 'turns', turn_id FROM t WHERE conversation_id NOT IN (SELECT user_id FROM x) UNION ALL SELECT 'generations', generation_id FROM g WHERE conversation_id NOT IN (SELECT user_id FROM x)",
     "turn_detail": f"WITH {_B}, gg AS (SELECT turn_id, string_agg(CAST(generation_id AS VARCHAR), ',' ORDER BY generation_id) AS generations FROM g GROUP BY turn_id), rr AS (SELECT turn_id AS u, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank0) AS evidence FROM retrieved GROUP BY turn_id) SELECT t.turn_id, query, coalesce(generations, '') AS generations, coalesce(evidence, '') AS evidence, judgments FROM t LEFT JOIN gg ON gg.turn_id = t.turn_id LEFT JOIN rr ON rr.u = t.conversation_id LEFT JOIN jl ON jl.turn_id = t.conversation_id",
     "schema_backfill": "SELECT o_orderkey, o_custkey, coalesce(c_mktsegment, 'unknown') AS tier FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0",
-    "index_upsert": "SELECT doc_id AS point_id, source, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS mark FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "index_upsert": "SELECT doc_id AS point_id, source, 'new' AS mark FROM documents",
 }

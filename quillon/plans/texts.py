@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import checks as C
+from quillon.operators.ranks import ranked
 from quillon.plans import sql as S
 from quillon.sources.tables import table
 
@@ -91,7 +92,7 @@ def citations(spark, d):
 
 def structure_check(spark, d):
     ids = _evidence(spark, d).groupBy("conv_id").agg(F.collect_list("chunk_id").alias("ids"))
-    a = _answers(spark, d).select("answer_id", "conv_id", C.citations(F.col("answer")).alias("cited")).join(ids, "conv_id", "left")
+    a = _answers(spark, d).select("answer_id", "conv_id", C.citations(F.col("answer")).alias("cited")).join(ids.hint("merge"), "conv_id", "left")
     parts = C.structure(F.col("cited"), F.coalesce("ids", F.array().cast("array<string>")))
     return a.select("answer_id", F.array_join(parts["unknown"], "|").alias("unknown"), parts["has_citation"].alias("has_citation"), parts["passed"].alias("passed"))
 
@@ -115,7 +116,7 @@ def claim_extract(spark, d):
 def _verdicts(spark, d):
     claims = _claims(spark, d)
     seen = _evidence(spark, d).select("conv_id", F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
-    evidence = claims.select("answer_id", "conv_id").distinct().join(seen, "conv_id").select("answer_id", "token")
+    evidence = claims.select("answer_id", "conv_id").distinct().join(seen.hint("merge"), "conv_id").select("answer_id", "token")
     return C.claim_verdicts(claims.select("answer_id", "pos", F.array_distinct(T.tokens(F.col("statement"))).alias("tokens")), evidence)
 
 
@@ -127,7 +128,7 @@ def claim_join(spark, d):
     """Verdicts meet quotes by the statement's text; of a repeated statement the last quote counts."""
     claims = _claims(spark, d)
     quotes = claims.where("pos % 4 <> 1").groupBy("answer_id", "statement").agg(F.max_by(F.concat(F.lit("q"), F.col("pos").cast("string")), "pos").alias("quote"))
-    return claims.select("answer_id", F.col("pos").cast("bigint").alias("pos"), "statement").join(quotes, ["answer_id", "statement"], "left")
+    return claims.select("answer_id", F.col("pos").cast("bigint").alias("pos"), "statement").join(quotes.hint("merge"), ["answer_id", "statement"], "left")
 
 
 def faithfulness(spark, d):
@@ -142,7 +143,7 @@ def unsupported_claims(spark, d):
 def _evaluated(spark, d):
     tiers = F.element_at(F.array(*map(F.lit, C.TIERS)), (F.col("answer_id") % 4 + 1).cast("int"))
     f = C.faithfulness(_verdicts(spark, d), _answers(spark, d).select("answer_id")).withColumn("tier", tiers)
-    return f.join(structure_check(spark, d), "answer_id")
+    return f.join(structure_check(spark, d).hint("merge"), "answer_id")
 
 
 def auto_expand(spark, d):
@@ -159,15 +160,15 @@ def fully_endorsed(spark, d):
 
 def highlight_spans(spark, d):
     """Marked spans and the plain stretches between them, in order."""
-    bad = _claims(spark, d).join(_verdicts(spark, d).where("not supported"), ["answer_id", "pos"])
+    bad = _claims(spark, d).join(_verdicts(spark, d).where("not supported").hint("merge"), ["answer_id", "pos"])
     a = _answers(spark, d).select("answer_id", "answer")
-    spans = C.highlight(bad.select("answer_id", F.col("statement").alias("quote")).join(a, "answer_id"))
+    spans = C.highlight(bad.select("answer_id", F.col("statement").alias("quote")).join(a.hint("merge"), "answer_id"))
     w = Window.partitionBy("answer_id").orderBy("start")
     marked = spans.select("answer_id", "start", "end", F.lit(True).alias("marked"))
     gaps = spans.select("answer_id", F.col("end").alias("start"), F.lead("start").over(w).alias("end"), F.lit(False).alias("marked"))
-    ends = gaps.join(a, "answer_id").select("answer_id", "start", F.coalesce("end", F.length("answer")).alias("end"), "marked")
+    ends = gaps.join(a.hint("merge"), "answer_id").select("answer_id", "start", F.coalesce("end", F.length("answer")).alias("end"), "marked")
     heads = spans.groupBy("answer_id").agg(F.min("start").alias("end")).select("answer_id", F.lit(0).alias("start"), "end", F.lit(False).alias("marked"))
-    return marked.unionByName(ends).unionByName(heads).where("start < end").join(a, "answer_id").select("answer_id", "start", "end", "marked", F.substr("answer", F.col("start") + 1, F.col("end") - F.col("start")).alias("segment"))
+    return marked.unionByName(ends).unionByName(heads).where("start < end").join(a.hint("merge"), "answer_id").select("answer_id", "start", "end", "marked", F.substr("answer", F.col("start") + 1, F.col("end") - F.col("start")).alias("segment"))
 
 
 def metric_format(spark, d):
@@ -198,10 +199,10 @@ def pct(spark, d):
 def context_precision(spark, d):
     """Rank-weighted average precision of judged evidence: labels of documents, ranked by id within a source."""
     docs = _docs(spark, d).select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    r = docs.withColumn("rank", F.row_number().over(w)).withColumn("hits", F.sum("quality").over(w))
-    total = F.sum("quality")
-    return r.groupBy("source").agg(F.when(total > 0, F.sum(F.col("quality") * F.col("hits") / F.col("rank")) / total).otherwise(0.0).alias("p")).select("source", F.round("p", 6).alias("precision"))
+    # a source may hold any share of the rows: its ranks, and the number of hits up to each hit, come from sorts by range
+    r = ranked(docs, ["doc_id"], "source", "rank")
+    hits = ranked(r.where("quality > 0"), ["rank"], "source", "hits").groupBy("source").agg(F.avg(F.col("hits") / F.col("rank")).alias("p"))
+    return docs.select("source").distinct().join(hits.hint("merge"), "source", "left").select("source", F.round(F.coalesce("p", F.lit(0.0)), 6).alias("precision"))
 
 
 def context_recall(spark, d):
@@ -259,11 +260,17 @@ ORACLES = {
     "auto_expand": f"WITH {_CL} SELECT answer_id, {_GATE} AS should_auto_expand FROM evald",
     "evaluate_answers": f"WITH {_CL} SELECT answer_id, tier, has_citation, passed, score, n_unsupported, {_GATE} AS should_auto_expand FROM evald",
     "fully_endorsed": f"WITH {_CL} SELECT answer_id, n_claims > 0 AND n_unsupported = 0 AS fully_endorsed FROM evald",
-    "metric_format": f"SELECT event_id, CASE WHEN isnan({_NAN}) THEN 'nan' ELSE printf('%.3f', round({_NAN}, 3)) END AS shown FROM events",
+    "highlight_spans": f"""WITH RECURSIVE {_CL}, found AS (SELECT answer_id, instr(lower(answer), lower(statement)) - 1 AS st, length(statement) AS size FROM claims JOIN verdicts USING (answer_id, pos) JOIN answers USING (answer_id) WHERE NOT supported AND instr(lower(answer), lower(statement)) > 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY size DESC, st) AS rn FROM found),
+ walk AS (SELECT answer_id, rn, [struct_pack(s := st, e := st + size)] AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.answer_id, o.rn, CASE WHEN len(list_filter(w.kept, lambda k: o.st < k.e AND k.s < o.st + o.size)) > 0 THEN w.kept ELSE list_append(w.kept, struct_pack(s := o.st, e := o.st + o.size)) END FROM walk w JOIN o ON o.answer_id = w.answer_id AND o.rn = w.rn + 1),
+ sp AS (SELECT answer_id, k.s AS st, k.e AS en FROM (SELECT answer_id, unnest(kept) AS k FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY rn DESC) = 1))),
+ parts AS (SELECT answer_id, st, en, true AS marked FROM sp UNION ALL SELECT answer_id, en, coalesce(lead(st) OVER (PARTITION BY answer_id ORDER BY st), length(answer)), false FROM sp JOIN answers USING (answer_id) UNION ALL SELECT answer_id, 0, min(st), false FROM sp GROUP BY answer_id)
+ SELECT answer_id, CAST(st AS INTEGER) AS start, CAST(en AS INTEGER) AS "end", marked, substr(answer, st + 1, en - st) AS segment FROM parts JOIN answers USING (answer_id) WHERE st < en""",
+    "metric_format": f"SELECT event_id, CASE WHEN isnan({_NAN}) THEN 'nan' ELSE printf('%.3f', {_NAN}) END AS shown FROM events",
     "nan_to_null": f"SELECT event_id, CASE WHEN NOT isnan({_NAN}) THEN {_NAN} END AS value FROM events",
     "rank_format": "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 10 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ELSE '>10' END AS shown FROM lineitem",
     "rank_delta": "SELECT l_orderkey, l_linenumber, CASE WHEN g = 0 THEN '=' WHEN g > 0 THEN '+' || CAST(g AS VARCHAR) ELSE CAST(g AS VARCHAR) END AS delta FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 10 THEN CAST(l_quantity AS INTEGER) ELSE 11 END - CASE WHEN l_linenumber <= 5 THEN l_linenumber ELSE 11 END AS g FROM lineitem)",
-    "pct": "SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'n/a' ELSE printf('%.1f', round(100.0 * CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) / count(o_orderkey), 1)) || '%' END AS share FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
+    "pct": "SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'n/a' ELSE printf('%.1f', 100.0 * CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) / count(o_orderkey)) || '%' END AS share FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "context_precision": "WITH r AS (SELECT source, quality, row_number() OVER w AS rank, sum(quality) OVER w AS hits FROM documents JOIN labels USING (doc_id) WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT source, round(CASE WHEN sum(quality) > 0 THEN sum(CAST(quality * hits AS DOUBLE) / rank) / sum(quality) ELSE 0.0 END, 6) AS precision FROM r GROUP BY source",
     "context_recall": f"WITH {_CL} SELECT answer_id, round(avg(CAST(supported AS INTEGER)), 6) AS recall FROM verdicts GROUP BY answer_id",
     "safe_score": f"WITH {_RAW} SELECT conv_id, turn, CASE WHEN label IS NOT NULL THEN CAST(length(why) AS DOUBLE) END AS score, CASE WHEN label IS NULL THEN 'judge failed' END AS note FROM raw",

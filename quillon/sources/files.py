@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; the files go when the application ends."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own where it is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-files-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the files go when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
@@ -28,6 +38,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple, tuple[str, T.StructType]] = {}
+_turn = threading.RLock()
+
+
+def state_of(spark: SparkSession, paths: list[str]) -> tuple:
+    """Names, sizes and times of the files under ``paths``: another state is another input."""
+    found = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def kept(spark: SparkSession, name: str, paths: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the files under ``paths``, as an index is: written when first asked for, read by all that ask again.
+
+    It is written anew for another application, or if a file has changed.
+    """
+    key = (spark.sparkContext.applicationId, name, state_of(spark, paths))
+    with _turn:
+        if key not in _kept:
+            df, path = build(), scratch(spark, name)
+            df.write.parquet(path)
+            _kept[key] = path, df.schema
+    path, schema = _kept[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.csv(path, sep=sep, header=True, escape='"')
 
@@ -35,9 +76,9 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 def read_metadata(spark: SparkSession, path: str, schema: str, key: str = "id", order: str = "textorder") -> DataFrame:
     """A header CSV, one row for each key; of repeated keys the last in reading order stays."""
     rows = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
-    rows = rows.withColumn("__at", F.monotonically_increasing_id())
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "__at")]), "__at").alias("r"))
-    return last.select(key, "r.*").withColumn(order, F.col(order).cast("int"))
+    # all of a row but the key is one struct, so that no column of the file can clash with the place
+    at = rows.select(F.col(key).alias("key"), F.struct(*rows.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
+    return at.groupBy("key").agg(F.max_by("row", "at").alias("row")).select("row.*").withColumn(order, F.col(order).cast("int"))
 
 
 def read_gold(spark: SparkSession, path: str, schema: str, chunks: str = "chunk_ids") -> DataFrame:
