@@ -9,7 +9,7 @@ from quillon.functions import text as T
 from quillon.operators import markup as M
 
 #: Words that say nothing about a title (fixed values).
-STOP_WORDS = ("avec", "dans", "pour", "sans", "entre", "leur", "leurs", "autre", "autres")
+STOP_WORDS = ("le", "la", "les", "de", "des", "du", "et", "sur", "en", "l", "un", "une")
 #: Ligature characters (fixed values).
 LIGATURES = "œŒæÆ"
 
@@ -58,6 +58,7 @@ def title_matches(title: Column, description: Column) -> Column:
 def drift(counts: DataFrame) -> DataFrame:
     """``work_id, tag`` of the tags that not all works have; rows without a work are the tags of all works."""
     n = counts.select("work_id").distinct().agg(F.count("*").alias("works"))
+    # the number of works is one row
     common = counts.groupBy("tag").agg(F.count("*").alias("in_works")).crossJoin(F.broadcast(n)).where("in_works = works").select("tag")
-    extra = counts.select("work_id", "tag").join(common, "tag", "left_anti").select("work_id", "tag")
+    extra = counts.select("work_id", "tag").join(common.hint("merge"), "tag", "left_anti").select("work_id", "tag")
     return common.select(F.lit(None).cast("bigint").alias("work_id"), "tag").unionByName(extra)

@@ -1,7 +1,8 @@
 """Encoded books to works, sections and paragraphs, as windows over an ordered stream of tokens.
 
 A file is one row; its tags and texts become numbered rows, and depth, region, block, paragraph and page are running values
-over them.  Files must be well formed, with regions in document order.
+over them.  Files must be well formed.  Pages are named in the order of the file; sections, paragraphs and the page carried from
+one to the next go through front, body and back, in whatever order the file has them.
 """
 
 from __future__ import annotations
@@ -16,16 +17,33 @@ PARAGRAPHS = ("p", "lg", "l")
 #: Section labels by division type (fixed values).
 KINDS = {"chapter": "Chapitre", "art": "Article", "conf": "Conférence", "app": "Appendice", "conclusion": "Conclusion", "discours": "Discours", "essai": "Essai", "notice": "Notice", "preface": "Préface", "avant-propos": "Avant-propos"}
 NO_PAGE = "page non numérotée"
-EDITORIAL = ("note", "add", "del", "corr", "sic")
+#: Tags of editorial content (fixed values).
+EDITORIAL = ("note", "quote", "cit", "q", "bibl")
 
 
-def read_works(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file: ``path, markup``."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("markup"))
+def read_works(spark: SparkSession, path: str, between: str | None = None) -> DataFrame:
+    """``path, markup``: one row for each file, or for each work of files that hold many, parted by the sign ``between``."""
+    kind = {"lineSep": between} if between else {"wholetext": True}
+    return spark.read.text(path, **kind).select(F.input_file_name().alias("path"), F.col("value").alias("markup"))
+
+
+def local_name(tag: Column) -> Column:
+    """The name of a start or end tag without brackets, prefix and attributes."""
+    return F.regexp_extract(tag, r"^</?(?:[^\s:/>]+:)?([^\s/>]+)", 1)
 
 
 def plain(x: Column) -> Column:
-    """Text with the five named entities resolved."""
+    """Text with numeric character references and the five named entities resolved, each once."""
+    refs = F.array_distinct(F.regexp_extract_all(x, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1)))
+
+    def sign(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
+        code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int")
+        # only what is a character: no surrogates, nothing beyond the last plane
+        real = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(ref)
+
+    x = F.when(x.contains("&#"), F.aggregate(refs, x, lambda done, r: F.replace(done, r, sign(r)))).otherwise(x)
     for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
         x = F.replace(x, F.lit(f"&{name};"), F.lit(sign))
     return x
@@ -42,7 +60,7 @@ def token_stream(works: DataFrame) -> DataFrame:
     is_tag = F.col("tok").startswith("<")
     closes = F.col("tok").startswith("</")
     alone = F.col("tok").endswith("/>") & is_tag
-    t = t.withColumns({"tag": F.when(is_tag, F.regexp_extract("tok", r"^</?(?:[^\s:/>]+:)?([^\s/>]+)", 1)), "closes": closes, "alone": alone, "starts": is_tag & ~closes})
+    t = t.withColumns({"tag": F.when(is_tag, local_name(F.col("tok"))), "closes": closes, "alone": alone, "starts": is_tag & ~closes})
     step = F.when(F.col("starts") & ~F.col("alone"), 1).when(F.col("closes"), -1).otherwise(0)
     return t.withColumn("depth", F.sum(step).over(Window.partitionBy("work_id").orderBy("i")))
 
@@ -60,9 +78,20 @@ def annotated(stream: DataFrame) -> DataFrame:
     at = F.col("own") - F.col("base")
     new_region = F.col("starts") & (at == 1) & F.col("tag").isin(*REGIONS)
     t = t.withColumn("region", F.last(F.when(new_region, F.col("tag")).when(F.col("closes") & (at <= 1), ""), ignorenulls=True).over(upto))
+    # breaks inside a paragraph are no children, so the last child is still the paragraph
+    is_pb = F.col("starts") & (F.col("tag") == "pb") & (F.col("depth") >= F.col("base"))
+    t = t.withColumns({"new_region": new_region, "is_pb": is_pb}).withColumn("page_no", F.when(F.col("is_pb") & attribute("n").rlike("^[0-9]+$"), attribute("n").cast("bigint")))
+    prior, later = F.last("page_no", ignorenulls=True).over(before), F.first("page_no", ignorenulls=True).over(after)
+    t = t.withColumns({"prior": prior, "later": later})
+    a, b = F.col("prior").cast("string"), F.col("later").cast("string")
+    between = F.when(F.col("prior").isNotNull() & F.col("later").isNotNull(), F.concat(F.lit("entre les p. "), a, F.lit(" et "), b)).when(F.col("later").isNotNull(), F.concat(F.lit("avant la p. "), b)).when(F.col("prior").isNotNull(), F.concat(F.lit("après la p. "), a)).otherwise(NO_PAGE)
+    t = t.withColumn("label", F.when(F.col("is_pb"), F.coalesce(F.col("page_no").cast("string"), between)))
+    # from here on the order is that of the regions
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, REGIONS)), F.col("region")), F.lit(0))
+    t = t.withColumn("i", F.shiftleft(place.cast("bigint"), 40) + F.col("i"))
     inside = F.col("region").isin(*REGIONS)
     div = F.col("tag").isNotNull() & (F.col("tag") == "div") & (at == 2) & inside
-    t = t.withColumns({"new_region": new_region, "is_div": div & F.col("starts"), "end_div": div & F.col("closes")})
+    t = t.withColumns({"is_div": div & F.col("starts"), "end_div": div & F.col("closes")})
     t = t.withColumn("in_div", F.sum(F.when(F.col("is_div"), 1).when(F.col("end_div"), -1).otherwise(0)).over(upto))
     child = F.col("starts") & inside & ~F.col("new_region") & ~F.col("is_div") & (F.col("own") - F.col("base") == 2 + F.col("in_div"))
     kind = F.when(F.col("new_region"), "region").when(F.col("is_div"), "div").when(child & F.col("tag").isin(*PARAGRAPHS), "para").when(child & F.col("tag").isin("head", "pb"), F.col("tag")).when(child, "other")
@@ -84,14 +113,6 @@ def annotated(stream: DataFrame) -> DataFrame:
         "within": F.col("depth") - F.col("base") >= 2 + F.col("in_div"),
     })
     t = t.withColumns({"in_para": (F.col("kind") == "para") | ((F.col("last_kind") == "para") & F.col("within")), "in_head": (F.col("last_kind") == "head") & F.col("within")})
-    # breaks inside a paragraph are no children, so the last child is still the paragraph
-    is_pb = F.col("starts") & (F.col("tag") == "pb") & (F.col("depth") >= F.col("base"))
-    t = t.withColumn("page_no", F.when(is_pb & attribute("n").rlike("^[0-9]+$"), attribute("n").cast("bigint")))
-    prior, later = F.last("page_no", ignorenulls=True).over(before), F.first("page_no", ignorenulls=True).over(after)
-    t = t.withColumns({"is_pb": is_pb, "prior": prior, "later": later})
-    a, b = F.col("prior").cast("string"), F.col("later").cast("string")
-    between = F.when(F.col("prior").isNotNull() & F.col("later").isNotNull(), F.concat(F.lit("entre les p. "), a, F.lit(" et "), b)).when(F.col("later").isNotNull(), F.concat(F.lit("avant la p. "), b)).when(F.col("prior").isNotNull(), F.concat(F.lit("après la p. "), a)).otherwise(NO_PAGE)
-    t = t.withColumn("label", F.when(F.col("is_pb"), F.coalesce(F.col("page_no").cast("string"), between)))
     counts = (F.col("kind") == "pb") | F.col("in_para")
     return t.withColumn("page", F.last(F.when(F.col("is_pb") & counts, F.col("label")), ignorenulls=True).over(upto))
 
@@ -116,13 +137,13 @@ def sections(marked: DataFrame, paras: DataFrame, keep_empty: bool = False) -> D
     b = marked.where("block > 0 and kind is not null and kind <> 'region'").groupBy("work_id", F.col("block").alias("section")).agg(F.min_by("region", "i").alias("region"), F.max(kind).alias("div_type"))
     heads = marked.where("in_head").groupBy("work_id", F.col("block").alias("section"), "head_no").agg(_joined(F.lit(True)).alias("head"))
     heads = heads.groupBy("work_id", "section").agg(F.min_by("head", "head_no").alias("head"))
-    b = b.join(heads, ["work_id", "section"], "left").withColumn("head", F.nullif("head", F.lit("")))
+    b = b.join(heads.hint("merge"), ["work_id", "section"], "left").withColumn("head", F.nullif("head", F.lit("")))
     names = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     typed = F.col("head").isNull() & F.col("div_type").isin(*KINDS)
     nth = F.sum(F.when(typed, 1).otherwise(0)).over(Window.partitionBy("work_id", "div_type").orderBy("section"))
     label = F.when(F.col("head").isNotNull(), F.col("head")).when(typed, F.concat(names[F.col("div_type")], F.lit(" "), nth.cast("string"))).otherwise(F.concat(F.lit("Section "), F.col("section").cast("string")))
     pages = paras.groupBy("work_id", "section").agg(F.min_by("page_start", "index").alias("page_start"), F.max_by("page_end", "index").alias("page_end"), F.count("*").alias("n_paragraphs"))
-    return b.select("work_id", "section", "region", "div_type", label.alias("label")).join(pages, ["work_id", "section"], "left" if keep_empty else "inner")
+    return b.select("work_id", "section", "region", "div_type", label.alias("label")).join(pages.hint("merge"), ["work_id", "section"], "left" if keep_empty else "inner")
 
 
 def header(works: DataFrame) -> DataFrame:
@@ -131,7 +152,7 @@ def header(works: DataFrame) -> DataFrame:
     titles = F.transform(F.regexp_extract_all(F.regexp_extract(head, r"(?s)<titleStmt>(.*?)</titleStmt>", 1), F.lit(r"(?s)<title[^>]*>(.*?)</title>"), F.lit(1)), lambda t: T.clean_text(plain(F.regexp_replace(t, "<[^>]+>", ""))))
     within = lambda outer, tag: T.clean_text(plain(F.regexp_replace(F.regexp_extract(head, rf"(?s)<{outer}>.*?<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]+>", "")))
     t = works.select("work_id", F.col("markup").rlike(r"<text[\s>]").alias("has_text"), titles.alias("t"), within("publicationStmt", "date").alias("edition_date"), within("sourceDesc", "p").alias("source_desc"))
-    return t.select("work_id", "has_text", F.element_at(F.concat("t", F.array(F.lit(""))), 1).alias("title"), F.slice("t", 2, 1000).alias("alt_titles"), "edition_date", "source_desc")
+    return t.select("work_id", "has_text", F.element_at(F.concat("t", F.array(F.lit(""))), 1).alias("title"), F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(1))).alias("alt_titles"), "edition_date", "source_desc")
 
 
 def with_text(works: DataFrame) -> tuple[DataFrame, DataFrame]:

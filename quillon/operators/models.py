@@ -40,6 +40,33 @@ def with_fallback(prompts: DataFrame, first: Factory, second: Factory, names: tu
     return one.where("error is null").unionByName(infer(again, second, names[1], key))
 
 
+def offline_writer() -> Callable[[list[str]], list]:
+    """Offline generation: of each passage of a prompt (JSON of question and passages) the sentence that shares most words with the question, with the passage's id."""
+    import json
+    import re
+
+    words = lambda x: set(re.findall(r"\w+", x.lower()))
+
+    def answer(prompt: str) -> str:
+        p = json.loads(prompt)
+        asked, lines = words(p.get("question", "")), []
+        for e in p["evidence"]:
+            parts = [s.strip(" ") for s in re.split(r"[.!?\n]+", e.get("text", ""))]
+            best = max((s for s in parts if s), key=lambda s: len(words(s) & asked), default="")
+            lines.append(f"{best} [{e['chunk_id']}]")
+        return "\n".join(lines)
+
+    return lambda prompts: [answer(p) for p in prompts]
+
+
+def written(evidence: DataFrame, factory: Factory = offline_writer, key: str = "query_id") -> DataFrame:
+    """``key, answer`` of a model that is asked once for each key of ``evidence(key, rank, chunk_id, question, text)``, passages in rank order."""
+    passages = F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))))
+    asked = evidence.groupBy(key).agg(F.max("question").alias("question"), passages.alias("evidence"))
+    prompts = asked.select(key, F.to_json(F.struct(F.coalesce("question", F.lit("")).alias("question"), "evidence")).alias("prompt"))
+    return infer(prompts, factory, "writer", key).select(key, "answer")
+
+
 def best_sentence(question: Column, text: Column) -> Column:
     """Offline generation: the sentence that shares most tokens with the question, the first of equals."""
     q = T.tokens(question)
@@ -62,7 +89,7 @@ def judged(pairs: DataFrame, factory: Factory, corrected: str = "\nRéponds seul
 
 
 def overlap_judge() -> Callable[[list[str]], list]:
-    """Offline judge: label by the share of the question's words that the passage has; now and then no JSON at first."""
+    """Offline judge: label by the share of the question's words that the passage has."""
 
     def call(prompts: list[str]) -> list:
         out = []
@@ -71,8 +98,7 @@ def overlap_judge() -> Callable[[list[str]], list]:
             asked, there = set(q.lower().split()), set(t.lower().split())
             share = len(asked & there) / max(len(asked), 1)
             label = "pertinent" if share > 0.5 else "partiellement pertinent" if share > 0.2 else "non pertinent"
-            broken = len(p) % 9 == 0 and not p.endswith("JSON.")
-            out.append("je ne sais pas" if broken else f'{{"label": "{label}", "justification": "part commune {share:.2f}"}}')
+            out.append(f'{{"label": "{label}", "justification": "part commune {share:.2f}"}}')
         return out
 
     return call

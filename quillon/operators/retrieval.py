@@ -41,7 +41,8 @@ def sparse_topk(queries: DataFrame, posts: DataFrame, idf: DataFrame, limit: int
 
     ``queries(query_id, term)``, ``posts(chunk_id, term, weight)``, ``idf(term, idf)``.
     """
-    wanted = queries.select("query_id", "term").join(idf.select("term", "idf"), "term")
+    asked = queries.select("query_id", "term")
+    wanted = idf.select("term", "idf").join(checked(asked), "term")
     scored = posts.join(checked(wanted), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
     return top(scored, limit)
 
@@ -49,31 +50,35 @@ def sparse_topk(queries: DataFrame, posts: DataFrame, idf: DataFrame, limit: int
 def dense_topk(queries: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
     """Exact cosine top ``limit`` of ``vectors(chunk_id, vector)`` for each of ``queries(query_id, vector)``.
 
-    Both sides are packed into blocks of rows; blocks meet, one matrix product each, and only a block's best rows go on.
+    Both sides are packed into blocks of rows; each block of vectors meets each block of queries by number, one matrix product
+    for the two, and only a block's best rows go on.  Rows without a vector are left out; a vector of zeros has cosine 0.
     """
-    spark = queries.sparkSession
     kq, kv = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
-    n_q = spark.conf.get("spark.sql.shuffle.partitions")
-    blocks = lambda df, rows, key: df.where("vector is not null").withColumn("lot", F.pmod(F.xxhash64(key), F.lit(max(1, -(-df.count() // rows)))))
-    pack = lambda df, key: df.groupBy("lot").agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v"))).alias("rows")).select("rows")
-    left = pack(blocks(queries.select("query_id", "vector"), QUERY_BLOCK, "query_id"), "query_id").withColumnRenamed("rows", "qs")
-    right = pack(blocks(vectors.select("chunk_id", "vector"), VECTOR_BLOCK, "chunk_id"), "chunk_id").withColumnRenamed("rows", "vs")
-    pairs = right.repartition(int(n_q)).crossJoin(left)
-
-    def unit(rows) -> tuple[list, np.ndarray]:
+
+    def packed(df: DataFrame, rows: int, key: str, name: str) -> tuple[DataFrame, int]:
+        df = df.where("vector is not null").select(key, F.col("vector").cast("array<double>").alias("v"))
+        n = max(1, -(-df.count() // rows))
+        lots = df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"{name}_lot"))
+        return lots.agg(F.collect_list(F.struct(F.col(key).alias("id"), "v")).alias(name)), n
+
+    left, n_left = packed(queries.select("query_id", "vector"), QUERY_BLOCK, "query_id", "qs")
+    right, _ = packed(vectors.select("chunk_id", "vector"), VECTOR_BLOCK, "chunk_id", "vs")
+    right = right.withColumn("qs_lot", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    pairs = right.join(F.broadcast(left) if n_left * QUERY_BLOCK <= SMALL // 4 else left.hint("merge"), "qs_lot").select("qs", "vs")
+
+    def unit(rows) -> tuple[np.ndarray, np.ndarray]:
         m = np.array([r["v"] for r in rows], float)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return [r["id"] for r in rows], m / np.where(norm > 0, norm, 1.0)
+        return np.array([r["id"] for r in rows]), m / np.where(norm > 0, norm, 1.0)
 
     def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for qs, vs in zip(pdf["qs"], pdf["vs"]):
                 (qi, q), (vi, v) = unit(qs), unit(vs)
-                vi = np.array(vi)
-                cos = np.round(q @ v.T, 9)
-                for i, row in zip(qi, cos):
-                    best = np.lexsort((vi, -row))[:limit]
-                    yield pd.DataFrame({"query_id": i, "chunk_id": vi[best], "score": row[best]})
+                by = np.argsort(vi, kind="stable")
+                vi, cos = vi[by], np.round(q @ v[by].T, 9)
+                best = np.argsort(-cos, axis=1, kind="stable")[:, :limit]
+                yield pd.DataFrame({"query_id": np.repeat(qi, best.shape[1]), "chunk_id": vi[best].ravel(), "score": np.take_along_axis(cos, best, 1).ravel()})
 
     return top(pairs.mapInPandas(compare, f"query_id {kq}, chunk_id {kv}, score double"), limit)
 
@@ -90,11 +95,14 @@ def rrf_fuse(*channels: DataFrame, k: float | Column = RRF_K, limit: int = 10, p
 
 def coverage(queries: DataFrame, hits: DataFrame, posts: DataFrame, idf: DataFrame) -> DataFrame:
     """The offline reranker: the share of a query's idf that the chunk's terms cover, for each hit."""
-    wanted = queries.select("query_id", "term").join(idf.select("term", "idf"), "term", "left").select("query_id", "term", F.coalesce("idf", F.lit(0.0)).alias("idf"))
+    wanted = queries.select("query_id", "term").join(idf.select("term", "idf").hint("merge"), "term", "left").select("query_id", "term", F.coalesce("idf", F.lit(0.0)).alias("idf"))
+    wanted = files.staged(wanted, "wanted")
     total = wanted.groupBy("query_id").agg(F.sum("idf").alias("all_idf"))
-    pairs = hits.select("query_id", "chunk_id").join(wanted, "query_id").join(posts.select("chunk_id", "term"), ["chunk_id", "term"], "left_semi")
-    part = pairs.groupBy("query_id", "chunk_id").agg(F.sum("idf").alias("part"))
-    scored = hits.join(part, ["query_id", "chunk_id"], "left").join(total, "query_id", "left")
+    # a query has no more hits than were asked for, and no more terms than its text
+    pairs = files.staged(hits.select("query_id", "chunk_id").join(checked(wanted), "query_id"), "pairs")
+    found = posts.select("chunk_id", "term").join(checked(pairs), ["chunk_id", "term"])
+    part = found.groupBy("query_id", "chunk_id").agg(F.sum("idf").alias("part"))
+    scored = hits.join(part.hint("merge"), ["query_id", "chunk_id"], "left").join(total.hint("merge"), "query_id", "left")
     return scored.withColumn("rerank_score", F.coalesce(F.col("part") / F.when(F.col("all_idf") > 0, F.col("all_idf")), F.lit(0.0))).drop("part", "all_idf")
 
 
@@ -110,21 +118,21 @@ def payload(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 class Corpus:
-    """Postings and idf of a table of chunks, written out once for all that is asked of them."""
+    """Postings, idf and vectors of a table of chunks, each a table that is written once and read by all that is asked."""
 
-    def __init__(self, chunks: DataFrame):
-        self.chunks = chunks
-        self.posts = files.staged(W.postings(chunks), "postings")
-        self.idf = files.staged(W.term_idf(self.posts, chunks.agg(F.count("*").alias("n"))), "idf")
+    def __init__(self, chunks: DataFrame, kept=None):
+        """``kept(name, build)`` gives a table that may have been written before; by default each is written here."""
+        kept = kept or (lambda name, build: files.staged(build(), name))
+        self.posts = kept("postings", lambda: W.postings(chunks))
+        self.idf = kept("idf", lambda: W.term_idf(self.posts, chunks.agg(F.count("*").alias("n"))))
+        self.vectors = lambda: kept("vectors", lambda: W.vectors(chunks, "chunk_id"))
 
     def sparse(self, queries: DataFrame, limit: int = PREFETCH) -> DataFrame:
         return sparse_topk(W.query_terms(queries), self.posts, self.idf, limit)
 
-    def hashed(self, queries: DataFrame, limit: int = PREFETCH, dim: int = 64) -> DataFrame:
-        """Cosine of hashed term vectors, as an equi-join on the vectors' entries."""
-        q = W.hashed_vectors(queries, "query_id", "text", dim).withColumnRenamed("value", "q")
-        c = W.hashed_vectors(self.chunks, "chunk_id", "text", dim)
-        return top(c.join(checked(q), "dim").groupBy("query_id", "chunk_id").agg(F.sum(F.col("q") * F.col("value")).alias("score")), limit)
+    def hashed(self, queries: DataFrame, limit: int = PREFETCH) -> DataFrame:
+        """Cosine of hashed term vectors; chunks that share no bucket with the query are no hits."""
+        return dense_topk(W.vectors(queries, "query_id"), self.vectors(), limit).where("score > 0")
 
     def retrieve(self, queries: DataFrame, top_k: int = 10, pool: int = POOL, k: float = RRF_K, reranked: bool = True) -> DataFrame:
         """Both channels, fused to a pool of max(top_k, pool), reranked, cut at ``top_k``."""

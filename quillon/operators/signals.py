@@ -23,25 +23,29 @@ TEMPLATES = {
 }
 
 
-def works_of(evidence: DataFrame, key: str = "set_id") -> DataFrame:
-    """Sorted distinct works of each evidence set, their number, and whether there are several."""
-    w = evidence.groupBy(key).agg(F.array_sort(F.collect_set("work_id")).alias("works"))
-    return w.select(key, "works", F.size("works").cast("bigint").alias("num_works"), (F.size("works") > 1).alias("is_multi_work"))
+def works_of(evidence: DataFrame, key: str = "set_id", *more: Column) -> DataFrame:
+    """Sorted distinct works of each evidence set, their number, whether there are several, and ``more`` aggregates."""
+    w = evidence.groupBy(key).agg(F.array_sort(F.collect_set("work_id")).alias("works"), *more)
+    rest = [c for c in w.columns if c not in (key, "works")]
+    return w.select(key, "works", F.size("works").cast("bigint").alias("num_works"), (F.size("works") > 1).alias("is_multi_work"), *rest)
 
 
 def convergence(evidence: DataFrame, vectors: DataFrame, key: str = "set_id") -> DataFrame:
     """Mean cosine over the unordered pairs of each set's entries that have a vector; no row for sets with fewer than two.
 
-    ``evidence(set_id, pos, chunk_id)``, ``vectors(chunk_id, vector)``.  Unit vectors are summed by dimension, so pairs are
-    never formed: the sum over pairs of their products is half of (squared length of the sum, less the number of vectors).
+    ``evidence(set_id, pos, chunk_id)``, ``vectors(chunk_id, vector)``.  Unit vectors are summed, so pairs are never formed: the
+    sum over pairs of their products is half of (squared length of the sum, less the number of vectors).  A vector of zeros,
+    which has no direction, has cosine 0 with every other.
     """
     v = F.col("vector").cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = vectors.where("vector is not null").select("chunk_id", F.transform(v, lambda x: x / norm).alias("unit"))
-    entries = evidence.join(unit, "chunk_id").select(key, F.posexplode("unit").alias("dim", "x"))
-    sums = entries.groupBy(key, "dim").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    total = sums.groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("sq"), F.max("n").alias("n"))
-    return total.where("n > 1").select(key, ((F.col("sq") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("convergence"))
+    given = vectors.where("vector is not null").select("chunk_id", v.alias("v"), norm.alias("norm"))
+    unit = given.select("chunk_id", F.transform("v", lambda x: F.coalesce(F.try_divide(x, F.col("norm")), F.lit(0.0))).alias("unit"), (F.col("norm") > 0).cast("bigint").alias("real"))
+    dims = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    parts = [F.sum(F.get("unit", F.lit(k))).alias(f"s{k}") for k in range(dims)]
+    sums = evidence.join(unit.hint("merge"), "chunk_id").groupBy(key).agg(*parts, F.sum("real").alias("real"), F.count("*").alias("n"))
+    square = F.aggregate(F.array(*[F.coalesce(f"s{k}", F.lit(0.0)) for k in range(dims)], F.lit(0.0)), F.lit(0.0), lambda s, x: s + x * x)
+    return sums.where("n > 1").select(key, ((square - F.col("real")) / (F.col("n") * (F.col("n") - 1))).alias("convergence"))
 
 
 def is_convergent(c: Column) -> Column:
@@ -50,8 +54,7 @@ def is_convergent(c: Column) -> Column:
 
 def signals(evidence: DataFrame, vectors: DataFrame, key: str = "set_id") -> DataFrame:
     """Works, convergence, best rerank score, tier and the flags that follow, a row for each evidence set."""
-    best = evidence.groupBy(key).agg(F.max("rerank_score").alias("max_rerank"))
-    out = works_of(evidence, key).join(best, key).join(convergence(evidence, vectors, key), key, "left")
+    out = works_of(evidence, key, F.max("rerank_score").alias("max_rerank")).join(convergence(evidence, vectors, key).hint("merge"), key, "left")
     out = out.withColumn("tier", tier_of(F.round("max_rerank", 6)))
     return out.withColumns({"is_convergent": is_convergent(F.col("convergence")), "is_confident": F.col("tier").isin(*CONFIDENT)})
 

@@ -19,7 +19,8 @@ def postings(chunks: DataFrame, k: float = 1.2, b: float = 0.75, key: str = "chu
     counts = term_counts(chunks, key, text)
     sizes = counts.groupBy(key).agg(F.sum("tf").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean_size"))
-    scaled = counts.join(sizes, key).crossJoin(F.broadcast(mean))
+    # both come from one exchange by key; the mean is one row
+    scaled = counts.join(sizes.hint("merge"), key).crossJoin(F.broadcast(mean))
     weight = F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("size") / F.col("mean_size")))
     return scaled.select(key, "term", weight.alias("weight"))
 
@@ -42,12 +43,17 @@ def bucket_of(token, dim: int):
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
 
+def vectors(rows: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
+    """``key, vector``: unit-length vectors of hashed term frequencies, for the rows that have a token."""
+    words = rows.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("token")).select(key, bucket_of(F.col("token"), dim).alias("bucket"))
+    counts = words.groupBy(key).agg(F.array(*[F.count_if(F.col("bucket") == k).cast("double") for k in range(dim)]).alias("tf"))
+    norm = F.sqrt(F.aggregate("tf", F.lit(0.0), lambda s, x: s + x * x))
+    return counts.withColumn("norm", norm).select(key, F.transform("tf", lambda x: x / F.col("norm")).alias("vector"))
+
+
 def hashed_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
-    """``key, dim, value``: unit-length vectors of hashed term frequencies, one row for each non-zero entry."""
-    words = rows.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("token"))
-    entries = words.groupBy(key, bucket_of(F.col("token"), dim).alias("dim")).agg(F.count("*").alias("tf"))
-    norms = entries.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-    return entries.join(norms, key).select(key, "dim", (F.col("tf") / F.col("norm")).alias("value"))
+    """``key, dim, value``: the non-zero entries of ``vectors``."""
+    return vectors(rows, key, text, dim).select(key, F.posexplode("vector").alias("dim", "value")).where("value <> 0")
 
 
 def ensure_index(spark, path: str, schema: str) -> DataFrame:

@@ -14,7 +14,7 @@ from quillon.sources.tables import table
 
 
 def _stream(spark, d):
-    return M.token_stream(MP._works(spark, d))
+    return files.kept(spark, "stream", [f"{d}/documents.parquet"], lambda: M.token_stream(MP._works(spark, d)))
 
 
 def tag_histogram(spark, d):
@@ -37,14 +37,14 @@ def char_profile(spark, d):
 
 
 def editorial_profile(spark, d):
-    """Counts of emphasis and line-break tags of pages, where there are any, and of their divisions."""
-    return tag_histogram(spark, d).where(F.col("tag").isin("b", "br", "div", "li", "a") & (F.col("n") > 0))
+    """Counts of notes, quotes and citations in the books, of the tags that a book has."""
+    return A.tag_counts(_stream(spark, d)).where(F.col("tag").isin(*M.EDITORIAL))
 
 
 def biblio_profile(spark, d):
     m = _stream(spark, d).where("starts and tag = 'pb'").groupBy("work_id").agg(F.count("*").alias("pb_total"), F.count_if(M.attribute("n") != "").alias("pb_with_n"))
     h = M.header(MP._works(spark, d)).select("work_id", "edition_date", "source_desc")
-    return h.join(m, "work_id", "left").select("work_id", "edition_date", "source_desc", F.coalesce("pb_total", F.lit(0)).alias("pb_total"), F.coalesce("pb_with_n", F.lit(0)).alias("pb_with_n"))
+    return h.join(m.hint("merge"), "work_id", "left").select("work_id", "edition_date", "source_desc", F.coalesce("pb_total", F.lit(0)).alias("pb_total"), F.coalesce("pb_with_n", F.lit(0)).alias("pb_with_n"))
 
 
 def title_consistency(spark, d):
@@ -55,9 +55,9 @@ def title_consistency(spark, d):
 
 
 def audit_row(spark, d):
-    s = files.staged(_stream(spark, d), "stream")
+    s = _stream(spark, d)
     divs = A.div_profile(s).groupBy("work_id").agg(F.sum("n").alias("n_divs"), F.max("depth").alias("div_depth"))
-    out = A.sizes(s).join(divs, "work_id", "left").join(biblio_profile(spark, d), "work_id")
+    out = A.sizes(s).join(divs.hint("merge"), "work_id", "left").join(biblio_profile(spark, d).hint("merge"), "work_id")
     return out.select("work_id", F.coalesce("n_divs", F.lit(0)).alias("n_divs"), F.coalesce("div_depth", F.lit(0)).alias("div_depth"), "n_paragraphs", "n_words", "edition_date", "source_desc", "pb_total", "pb_with_n")
 
 
@@ -68,7 +68,7 @@ def schema_drift(spark, d):
 def audit_sink(spark, d):
     """Audit rows as JSON by work, read back."""
     path = files.scratch(spark, "audit")
-    tag_histogram(spark, d).coalesce(8).write.json(path)
+    tag_histogram(spark, d).write.json(path)
     return files.read_json(spark, path, "work_id bigint, tag string, n bigint").groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("works"))
 
 
@@ -97,11 +97,11 @@ ORACLES = {
     "div_profile": f"WITH {MP._L}, {_DV} SELECT * FROM dv",
     "size_profile": f"WITH {MP._L}, {_SZ} SELECT work_id, n_paragraphs, n_words FROM sz0",
     "char_profile": "SELECT doc_id, " + ", ".join(f"{_C(*xs)} AS {n}" for n, xs in (("straight_apostrophes", ["''"]), ("curly_apostrophes", ["’"]), ("double_quotes", ['"']), ("guillemets", ["«", "»"]), ("ligatures", list(A.LIGATURES)))) + " FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
-    "editorial_profile": f"WITH {_TAGS} SELECT * FROM th WHERE tag IN ('b', 'br', 'div', 'li', 'a')",
+    "editorial_profile": f"WITH {MP._L} SELECT work_id, CASE k WHEN 6 THEN 'quote' ELSE 'note' END AS tag, count(*) AS n FROM lb WHERE k IN (6, 7) GROUP BY ALL",
     "biblio_profile": f"WITH {MP._L}, {_PB} SELECT * FROM bib",
     "title_consistency": f"SELECT doc_id, turn, len(ws) = 0 OR len(list_filter(ws, lambda w: contains(descr, w))) > 0 AS consistent FROM (SELECT doc_id, turn, list_filter({_TT}, lambda w: length(w) > 3 AND w NOT IN {A.STOP_WORDS}) AS ws, regexp_replace(lower({S.plain('coalesce(d.text, chr(32))')}), '(?s)http.*', '') AS descr FROM conversations c JOIN documents d ON doc_id = conv_id)",
     "audit_row": f"WITH {MP._L}, {_PB}, {_DV}, {_SZ}, dd AS (SELECT work_id, CAST(sum(n) AS BIGINT) AS n_divs, max(depth) AS div_depth FROM dv GROUP BY work_id) SELECT bib.work_id, coalesce(n_divs, 0) AS n_divs, coalesce(div_depth, 0) AS div_depth, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_words, 0) AS n_words, edition_date, source_desc, pb_total, pb_with_n FROM bib LEFT JOIN dd ON dd.work_id = bib.work_id LEFT JOIN sz0 ON sz0.work_id = bib.work_id",
-    "schema_drift": f"""WITH {MP._L}, ev AS (SELECT work_id, unnest(CASE k WHEN 0 THEN ['head'] WHEN 3 THEN ['p', 'pb', 'hi'] WHEN 4 THEN ['lg', 'l'] WHEN 1 THEN ['pb', 'p'] WHEN 2 THEN ['pb', 'p'] ELSE ['p'] END) AS tag FROM lb
+    "schema_drift": f"""WITH {MP._L}, ev AS (SELECT work_id, unnest(CASE k WHEN 0 THEN ['head'] WHEN 3 THEN ['p', 'pb', 'hi'] WHEN 4 THEN ['lg', 'l'] WHEN 1 THEN ['pb', 'p'] WHEN 2 THEN ['pb', 'p'] WHEN 6 THEN ['p', 'quote'] WHEN 7 THEN ['p', 'note'] ELSE ['p'] END) AS tag FROM lb
  UNION ALL SELECT work_id, 'div' FROM lb WHERE wrapped UNION ALL SELECT work_id, region FROM lb UNION ALL SELECT work_id, 'body' FROM lb WHERE lay = 2
  UNION ALL SELECT work_id, unnest(['TEI', 'teiHeader', 'titleStmt', 'title', 'hi', 'publicationStmt', 'date', 'sourceDesc', 'p', 'text']) FROM ls UNION ALL SELECT work_id, 'body' FROM ls WHERE len(l) = 0),
  u AS (SELECT DISTINCT work_id, tag FROM ev), cm AS (SELECT tag FROM u GROUP BY tag HAVING count(*) = (SELECT count(DISTINCT work_id) FROM u))

@@ -17,11 +17,14 @@ SIZES = {"full": 40, "oversize": 60, "trailing": 8}
 
 
 def _escaped(x):
-    return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    """Named entities for the signs of markup, numeric references for two letters."""
+    for sign, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("é", "&#233;"), ("à", "&#xE0;")):
+        x = F.replace(x, F.lit(sign), F.lit(ref))
+    return x
 
 
-def _works(spark, d):
-    """A book for each document: lines become heads, paragraphs, verse and page breaks; a third of the books has divisions, a third a front part."""
+def _works(spark, d, body_first=False):
+    """A book for each document: lines become heads, paragraphs, verse, quotes, notes and page breaks; a third of the books has divisions, a third a front part, which may come after the body."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), "source", F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "").alias("lines"))
     n, kind = F.size("lines"), F.col("work_id") % 3
 
@@ -32,7 +35,8 @@ def _works(spark, d):
         e = (
             F.when(k == 0, F.concat(F.lit("<head>"), _escaped(x), F.lit("</head>"))).when(k == 1, F.concat(pb, p)).when(k == 2, F.concat(F.lit("<pb/>"), p))
             .when(k == 3, F.concat(F.lit("<p>"), _escaped(F.substr(x, F.lit(1), F.lit(10))), pb, F.lit("<hi>"), _escaped(F.substr(x, F.lit(11))), F.lit("</hi></p>")))
-            .when(k == 4, F.concat(F.lit("<lg><l>"), _escaped(x), F.lit("</l></lg>"))).when(k == 5, F.lit("<p> </p>")).otherwise(p)
+            .when(k == 4, F.concat(F.lit("<lg><l>"), _escaped(x), F.lit("</l></lg>"))).when(k == 5, F.lit("<p> </p>"))
+            .when(k == 6, F.concat(F.lit("<p><quote>"), _escaped(x), F.lit("</quote></p>"))).when(k == 7, F.concat(F.lit("<p>"), _escaped(x), F.lit("<note/></p>"))).otherwise(p)
         )
         wrapped = (kind == 1) | ((kind == 2) & (F.floor(i / 4) % 2 == 0))
         types = F.element_at(F.array(F.lit(' type="chapter"'), F.lit(' type="preface"'), F.lit("")), (F.floor(i / 4) % 3 + 1).cast("int"))
@@ -42,12 +46,14 @@ def _works(spark, d):
 
     body = F.array_join(F.transform("lines", element), "")
     body = F.when((kind == 2) & (n > 0), F.concat(F.lit("<text>"), body, F.lit("</body></text>"))).otherwise(F.concat(F.lit("<text><body>"), body, F.lit("</body></text>")))
+    if body_first:
+        body = F.regexp_replace(body, "(?s)(<front>.*</front>)(<body>.*</body>)", "$2$1")
     head = F.concat(F.lit("<TEI><teiHeader><titleStmt><title>Livre "), F.col("work_id").cast("string"), F.lit(" <hi>de</hi>  "), F.col("source"), F.lit("</title><title>Autre &amp; titre</title></titleStmt><publicationStmt><date>19"), F.lpad((F.col("work_id") % 100).cast("string"), 2, "0"), F.lit("</date></publicationStmt><sourceDesc><p>Tiré de "), F.col("source"), F.lit(" http://x</p></sourceDesc></teiHeader>"))
     return docs.select("work_id", "source", F.concat(head, body, F.lit("<!-- fin --></TEI>")).alias("markup"))
 
 
 def _marked(spark, d):
-    return files.staged(M.annotated(M.token_stream(_works(spark, d))), "marked")
+    return files.kept(spark, "marked", [f"{d}/documents.parquet"], lambda: M.annotated(M.token_stream(_works(spark, d))))
 
 
 def _paras(spark, d):
@@ -62,20 +68,39 @@ def _lines(spark, d):
 
 
 def scan_metadata(spark, d):
-    """The catalogue as CSV, nations by number, some keys twice; the last row of a key counts."""
+    """The catalogue as CSV, parts by number, some keys twice; the last row of a key counts."""
     path = files.scratch(spark, "metadata")
-    n = table(spark, d, "nation")
-    rows = n.select((F.col("n_nationkey") % 20).alias("id"), F.col("n_name").alias("title"), F.lit("1900").alias("date"), F.col("n_nationkey").alias("textorder"))
-    files.write_csv(rows.coalesce(1).sortWithinPartitions("textorder"), path)  # one small file, as catalogues are
+    n = table(spark, d, "part")
+    rows = n.select((F.col("p_partkey") % (n.count() * 4 // 5 + 1)).alias("id"), F.col("p_name").alias("title"), F.lit("1900").alias("date"), F.col("p_partkey").alias("textorder"))
+    files.write_csv(rows.repartitionByRange("textorder").sortWithinPartitions("textorder"), path)  # files in order, each in order
     return files.read_metadata(spark, path, "id string, title string, date string, textorder string").select("id", "title", "date", "textorder")
 
 
 def scan_markup(spark, d):
-    """Files written and read back: tokens of each work."""
-    path = files.scratch(spark, "markup")
-    _works(spark, d).select(F.translate("markup", "\n", " ").alias("value")).write.text(path)
-    back = spark.read.text(path).select(F.regexp_extract("value", "<title>Livre ([0-9]+)", 1).cast("bigint").alias("work_id"), F.col("value").alias("markup"))
-    return M.token_stream(back).groupBy("work_id").agg(F.count_if(F.col("starts") & (F.col("tag") == "pb")).alias("n_breaks"), F.count_if(F.col("starts") & (F.col("tag") == "div")).alias("n_divs"))
+    """Works written to files, line ends and all, parted by a sign that no text has, and read back: breaks and divisions of each, and its line ends."""
+    path, between = files.scratch(spark, "markup"), "\u241e"
+    _works(spark, d).select(F.concat("markup", F.lit("\n")).alias("value")).write.text(path, lineSep=between)
+    back = M.read_works(spark, path, between).select(F.regexp_extract("markup", "<title>Livre ([0-9]+)", 1).cast("bigint").alias("work_id"), "markup")
+    return M.token_stream(back).groupBy("work_id").agg(F.count_if(F.col("starts") & (F.col("tag") == "pb")).alias("n_breaks"), F.count_if(F.col("starts") & (F.col("tag") == "div")).alias("n_divs"), F.sum(F.length("tok") - F.length(F.replace("tok", F.lit("\n")))).cast("bigint").alias("n_lines"))
+
+
+def local_name(spark, d):
+    """Tags in a namespace prefix count under their local names."""
+    prefixed = _works(spark, d).select("work_id", F.regexp_replace("markup", "<(/?)(p|head|pb|lg)(?=[ />])", "<$1tei:$2").alias("markup"))
+    return M.token_stream(prefixed).where(F.col("starts") & F.col("tag").isin("p", "head", "pb", "lg")).groupBy("work_id", "tag").agg(F.count("*").alias("n"))
+
+
+def text_required(spark, d):
+    """Works without a text element are rejected, not parsed: of each work whether it was taken; every seventh has lost its text."""
+    w = _works(spark, d).withColumn("markup", F.when(F.col("work_id") % 7 == 0, F.regexp_replace("markup", "(?s)<text>.*</text>", "")).otherwise(F.col("markup")))
+    taken, rejected = M.with_text(w)
+    return taken.select("work_id", F.lit(True).alias("taken")).unionByName(rejected.select("work_id", F.lit(False).alias("taken")))
+
+
+def region_order(spark, d):
+    """Books whose front comes after their body are read front first all the same."""
+    m = M.annotated(M.token_stream(_works(spark, d, body_first=True)))
+    return M.paragraphs(m).select("work_id", "section", "index", "text")
 
 
 def header_fields(spark, d):
@@ -123,7 +148,7 @@ def corpus_parse(spark, d):
     m = _marked(spark, d)
     p = M.paragraphs(m)
     s = M.sections(m, p).groupBy("work_id").agg(F.count("*").alias("n_sections"))
-    return p.groupBy("work_id").agg(F.count("*").alias("n_paragraphs"), F.sum("word_count").alias("n_words")).join(s, "work_id")
+    return p.groupBy("work_id").agg(F.count("*").alias("n_paragraphs"), F.sum("word_count").alias("n_words")).join(s.hint("merge"), "work_id")
 
 
 def ingest_job(spark, d):
@@ -161,7 +186,7 @@ def chunk_renumber(spark, d):
     return _chunks(spark, d).select("chunk_id", "section", F.col("g").cast("bigint").alias("g"))
 
 
-QUERIES = {f.__name__: f for f in (scan_metadata, scan_markup, header_fields, page_refs, region_blocks, section_number, section_label, section_pages, drop_empty_sections, paragraphs, page_carry, corpus_parse, ingest_job, chunk_greedy, chunk_oversize, chunk_trailing_merge, chunk_build, chunk_renumber)}
+QUERIES = {f.__name__: f for f in (scan_metadata, scan_markup, local_name, text_required, region_order, header_fields, page_refs, region_blocks, section_number, section_label, section_pages, drop_empty_sections, paragraphs, page_carry, corpus_parse, ingest_job, chunk_greedy, chunk_oversize, chunk_trailing_merge, chunk_build, chunk_renumber)}
 
 _W = S.words
 _L = f"""ls AS (SELECT doc_id AS work_id, source, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS l FROM documents),
@@ -196,8 +221,11 @@ _LN = f"""lines AS (SELECT source AS work_id, doc_id AS section, CAST(i AS BIGIN
 _FM = f"WITH RECURSIVE {_LN}, {_folded('lines', 40, 60, 8)}"
 _CK = f"{_FM}, ck AS (SELECT m.work_id, m.section, g, string_agg(CAST(m.section AS VARCHAR) || '_p' || CAST(m.index AS VARCHAR), ',' ORDER BY m.index) AS paragraph_ids, string_agg(text, chr(10) || chr(10) ORDER BY m.index) AS text, CAST(sum(m.words) AS BIGINT) AS word_count FROM merged m JOIN lines l ON l.section = m.section AND l.index = m.index GROUP BY ALL)"
 ORACLES = {
-    "scan_metadata": "SELECT CAST(n_nationkey % 20 AS VARCHAR) AS id, n_name AS title, '1900' AS date, CAST(n_nationkey AS INTEGER) AS textorder FROM nation QUALIFY row_number() OVER (PARTITION BY n_nationkey % 20 ORDER BY n_nationkey DESC) = 1",
-    "scan_markup": f"WITH {_L} SELECT work_id, count(CASE WHEN k IN (1, 2, 3) THEN 1 END) AS n_breaks, count(CASE WHEN wrapped AND i % 4 = 0 THEN 1 END) AS n_divs FROM lb GROUP BY work_id UNION ALL SELECT work_id, 0, 0 FROM ls WHERE len(l) = 0",
+    "scan_metadata": "SELECT CAST(p_partkey % k AS VARCHAR) AS id, p_name AS title, '1900' AS date, CAST(p_partkey AS INTEGER) AS textorder FROM part, (SELECT count(*) * 4 // 5 + 1 AS k FROM part) QUALIFY row_number() OVER (PARTITION BY p_partkey % k ORDER BY p_partkey DESC) = 1",
+    "scan_markup": f"WITH {_L} SELECT work_id, count(CASE WHEN k IN (1, 2, 3) THEN 1 END) AS n_breaks, count(CASE WHEN wrapped AND i % 4 = 0 THEN 1 END) AS n_divs, CAST(1 AS BIGINT) AS n_lines FROM lb GROUP BY work_id UNION ALL SELECT work_id, 0, 0, 1 FROM ls WHERE len(l) = 0",
+    "local_name": f"WITH {_L}, t AS (SELECT work_id, unnest(CASE k WHEN 0 THEN ['head'] WHEN 1 THEN ['pb', 'p'] WHEN 2 THEN ['pb', 'p'] WHEN 3 THEN ['pb', 'p'] WHEN 4 THEN ['lg'] ELSE ['p'] END) AS tag FROM lb UNION ALL SELECT work_id, 'p' FROM ls) SELECT work_id, tag, count(*) AS n FROM t GROUP BY ALL",
+    "text_required": "SELECT doc_id AS work_id, doc_id % 7 <> 0 AS taken FROM documents",
+    "region_order": f"WITH {_L} SELECT work_id, section, index, text FROM par",
     "header_fields": "SELECT doc_id AS work_id, true AS has_text, 'Livre ' || CAST(doc_id AS VARCHAR) || ' de ' || source AS title, 'Autre & titre' AS alt_titles, '19' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS edition_date, 'Tiré de ' || source || ' http://x' AS source_desc FROM documents",
     "page_refs": f"WITH {_L} SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY i) AS nth, num AS number, label AS display FROM lab WHERE k IN (1, 2, 3)",
     "region_blocks": f"WITH {_L} SELECT work_id, section AS block, region, n_paras FROM blk",

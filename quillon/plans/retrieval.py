@@ -18,6 +18,11 @@ def _chunks(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("work_id"), "text")
 
 
+def _corpus(spark, d):
+    """The index of the documents, which the first query builds and the others read."""
+    return R.Corpus(_chunks(spark, d), lambda name, build: files.kept(spark, name, [f"{d}/documents.parquet"], build))
+
+
 def _items(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -36,9 +41,13 @@ def stem(spark, d):
     return words.select("token", T.stem(F.col("token")).alias("stem"), "n")
 
 
+def _lexicon(spark, d):
+    return table(spark, d, "part").select(F.explode(T.tokens(F.col("p_name"))).alias("form")).distinct().select("form", T.stem(F.col("form")).alias("lemma"), F.lit("NOUN").alias("pos"))
+
+
 def lemmatize(spark, d):
     """Lemma and part of speech from a lexicon table (part names stand for it); unknown forms are their own lemma."""
-    lexicon = table(spark, d, "part").select(F.explode(T.tokens(F.col("p_name"))).alias("form")).distinct().select("form", T.stem(F.col("form")).alias("lemma"), F.lit("NOUN").alias("pos"))
+    lexicon = _lexicon(spark, d)
     forms = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     return forms.join(R.checked(lexicon), "form", "left").select("form", F.coalesce("lemma", "form").alias("lemma"), F.coalesce("pos", F.lit("X")).alias("pos"), "n")
 
@@ -55,7 +64,7 @@ def bm25_text(spark, d):
 
 
 def bm25_doc_weights(spark, d):
-    return W.postings(_chunks(spark, d)).select("chunk_id", "term", *_r6("weight"))
+    return _corpus(spark, d).posts.select("chunk_id", "term", *_r6("weight"))
 
 
 def bm25_query_terms(spark, d):
@@ -63,8 +72,7 @@ def bm25_query_terms(spark, d):
 
 
 def bm25_idf(spark, d):
-    c = _chunks(spark, d)
-    return W.term_idf(W.term_counts(c), c.agg(F.count("*").alias("n"))).select("term", "df", *_r6("idf"))
+    return _corpus(spark, d).idf.select("term", "df", *_r6("idf"))
 
 
 def embed_dense(spark, d):
@@ -76,7 +84,7 @@ def point_id(spark, d):
 
 
 def sparse_topk(spark, d):
-    return R.Corpus(_chunks(spark, d)).sparse(_items(spark, d), 10).select("query_id", "chunk_id", "rank", *_r6("score"))
+    return _corpus(spark, d).sparse(_items(spark, d), 10).select("query_id", "chunk_id", "rank", *_r6("score"))
 
 
 def dense_topk(spark, d):
@@ -92,18 +100,19 @@ def index_filter(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
-    pairs = e.join(R.checked(q), "label").withColumn("score", dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v"))).withColumnRenamed("vec_id", "chunk_id")
+    cosine = F.coalesce(F.try_divide(dot("q", "v"), F.sqrt(dot("q", "q") * dot("v", "v"))), F.lit(0.0))  # 0 for a vector of zeros
+    pairs = e.join(R.checked(q), "label").withColumn("score", cosine).withColumnRenamed("vec_id", "chunk_id")
     return R.top(pairs, 10).select("query_id", "chunk_id", "label", "rank", *_r6("score"))
 
 
 def hits_payload(spark, d):
-    hits = R.Corpus(_chunks(spark, d)).sparse(_items(spark, d), 10)
+    hits = files.staged(_corpus(spark, d).sparse(_items(spark, d), 10), "hits")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "lang", "n_chars")
     return R.payload(hits, docs).select("query_id", "chunk_id", "rank", "source", "lang", "n_chars")
 
 
 def rrf_fuse(spark, d):
-    c, q = R.Corpus(_chunks(spark, d)), _items(spark, d)
+    c, q = _corpus(spark, d), _items(spark, d)
     return R.rrf_fuse(c.sparse(q), c.hashed(q)).select("query_id", "chunk_id", "rank", *_r6("score"))
 
 
@@ -115,41 +124,42 @@ def topk_tiebreak(spark, d):
 
 def fusion_bound(spark, d):
     """Chunks of both channels with their best channel rank and fused rank; ``worse`` where fusion ranks them lower."""
-    c, q = R.Corpus(_chunks(spark, d)), _items(spark, d)
+    c, q = _corpus(spark, d), _items(spark, d)
     s, h = c.sparse(q), c.hashed(q)
+    s, h = files.staged(s, "sparse"), files.staged(h, "dense")
     best = s.select("query_id", "chunk_id", F.col("rank").alias("s")).join(h.select("query_id", "chunk_id", F.col("rank").alias("h")), ["query_id", "chunk_id"])
     f = R.rrf_fuse(s, h, limit=100).select("query_id", "chunk_id", "rank")
-    return best.join(f, ["query_id", "chunk_id"]).select("query_id", "chunk_id", F.least("s", "h").alias("best_rank"), "rank", (F.col("rank") > F.least("s", "h")).alias("worse"))
+    return best.join(f.hint("merge"), ["query_id", "chunk_id"]).select("query_id", "chunk_id", F.least("s", "h").alias("best_rank"), "rank", (F.col("rank") > F.least("s", "h")).alias("worse"))
 
 
 def rerank(spark, d):
-    return R.Corpus(_chunks(spark, d)).retrieve(_items(spark, d), 5).select("query_id", "chunk_id", "rank", *_r6("rrf_score", "rerank_score"))
+    return _corpus(spark, d).retrieve(_items(spark, d), 5).select("query_id", "chunk_id", "rank", *_r6("rrf_score", "rerank_score"))
 
 
 def retrieve(spark, d):
-    hits = R.Corpus(_chunks(spark, d)).retrieve(_items(spark, d), 3)
+    hits = files.staged(_corpus(spark, d).retrieve(_items(spark, d), 3), "hits")
     return R.payload(hits, _chunks(spark, d).select("chunk_id", "work_id")).select("query_id", "chunk_id", "work_id", "rank", *_r6("rerank_score"))
 
 
 def retrieve_batch(spark, d):
     q = R.keyword_and_full(table(spark, d, "benchmark"))
-    hits = R.Corpus(_chunks(spark, d)).retrieve(q.select("query_id", "text"), 10)
+    hits = files.staged(_corpus(spark, d).retrieve(q.select("query_id", "text"), 10), "hits")
     return hits.join(q.select("query_id", "item_id", "style"), "query_id").select("item_id", "style", "rank", "chunk_id")
 
 
 def retrieve_no_rerank(spark, d):
-    return R.Corpus(_chunks(spark, d)).retrieve(_items(spark, d), 5, reranked=False).select("query_id", "chunk_id", "rank", *_r6("score"))
+    return _corpus(spark, d).retrieve(_items(spark, d), 5, reranked=False).select("query_id", "chunk_id", "rank", *_r6("score"))
 
 
 def retrieve_end_to_end(spark, d):
-    hits = R.Corpus(_chunks(spark, d)).retrieve(_items(spark, d), 5)
+    hits = _corpus(spark, d).retrieve(_items(spark, d), 5)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"])
     return hits.groupBy("query_id").agg(F.array_join(ids, ",").alias("chunk_ids"), F.count("*").alias("n"))
 
 
 def sweep_hits(spark, d, queries=None, limit=10):
     """``config, query_id, chunk_id, rank`` of the eight configurations; both channels are worked out once."""
-    c = R.Corpus(_chunks(spark, d))
+    c = _corpus(spark, d)
     q = _items(spark, d) if queries is None else queries
     depth = max(50, 4 * limit)
     s, h = files.staged(c.sparse(q, depth), "sparse"), files.staged(c.hashed(q, depth), "dense")
@@ -165,7 +175,7 @@ def config_sweep(spark, d):
 
 
 def rerank_compare(spark, d):
-    c, q = R.Corpus(_chunks(spark, d)), _items(spark, d)
+    c, q = _corpus(spark, d), _items(spark, d)
     cols = ["query_id", "chunk_id", "rank"]
     return c.retrieve(q, 10, reranked=False).select(F.lit("hybrid").alias("config"), *cols).unionByName(c.retrieve(q, 10).select(F.lit("reranked").alias("config"), *cols))
 
@@ -173,8 +183,9 @@ def rerank_compare(spark, d):
 def index_count_check(spark, d):
     """Works whose number of indexed chunks differs from their number of chunks; none should."""
     c = _chunks(spark, d)
-    indexed = W.term_counts(c).select("chunk_id").distinct().join(c.select("chunk_id", "work_id"), "chunk_id").groupBy("work_id").agg(F.count("*").alias("n_indexed"))
-    return c.groupBy("work_id").agg(F.count("*").alias("n_chunks")).join(indexed, "work_id", "full").select("work_id", "n_chunks", F.coalesce("n_indexed", F.lit(0)).alias("n_indexed"))
+    known = _corpus(spark, d).posts.select("chunk_id").distinct()
+    indexed = c.select("chunk_id", "work_id").join(known.hint("merge"), "chunk_id").groupBy("work_id").agg(F.count("*").alias("n_indexed"))
+    return c.groupBy("work_id").agg(F.count("*").alias("n_chunks")).join(indexed.hint("merge"), "work_id", "full").select("work_id", "n_chunks", F.coalesce("n_indexed", F.lit(0)).alias("n_indexed"))
 
 
 QUERIES = {f.__name__: f for f in (tokenize, stem, lemmatize, normalize, bm25_text, bm25_doc_weights, bm25_query_terms, bm25_idf, embed_dense, point_id, sparse_topk, dense_topk, index_filter, hits_payload, rrf_fuse, topk_tiebreak, fusion_bound, rerank, retrieve, retrieve_batch, retrieve_no_rerank, retrieve_end_to_end, config_sweep, rerank_compare, index_count_check)}

@@ -35,7 +35,7 @@ def convergence(spark, d):
 
 
 def is_convergent(spark, d):
-    c = _evidence(spark, d).select("set_id").distinct().join(G.convergence(_evidence(spark, d), _vectors(spark, d)), "set_id", "left")
+    c = _evidence(spark, d).select("set_id").distinct().join(G.convergence(_evidence(spark, d), _vectors(spark, d)).hint("merge"), "set_id", "left")
     return c.select("set_id", G.is_convergent(F.col("convergence")).alias("is_convergent"))
 
 
@@ -90,7 +90,7 @@ def evidence_group(spark, d):
 
 def _instructed(spark, d):
     judged = _evidence(spark, d).groupBy("set_id").agg((F.count("judgment") > 0).alias("judged"))
-    s = G.signals(_evidence(spark, d), _vectors(spark, d)).join(judged, "set_id")
+    s = G.signals(_evidence(spark, d), _vectors(spark, d)).join(judged.hint("merge"), "set_id")
     return s.select("set_id", G.instructions(F.col("is_multi_work"), F.col("is_convergent"), F.col("is_confident"), F.col("judged")).alias("instructions"))
 
 
@@ -100,7 +100,7 @@ def instruction_select(spark, d):
 
 def build_prompt(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("set_id"), F.concat(F.lit("Que dit "), F.col("o_orderpriority"), F.lit(" ?")).alias("question"))
-    p = _instructed(spark, d).join(evidence_group(spark, d), "set_id").join(o, "set_id")
+    p = _instructed(spark, d).join(evidence_group(spark, d).hint("merge"), "set_id").join(o.hint("merge"), "set_id")
     return p.select("set_id", G.prompt(F.col("instructions"), F.col("evidence"), F.col("question")).alias("prompt"))
 
 
@@ -115,9 +115,9 @@ QUERIES = {f.__name__: f for f in (distinct_works, convergence, is_convergent, m
 
 _T = {k: v.replace("'", "''") for k, v in G.TEMPLATES.items()}
 _TIER = "CASE WHEN {0} IS NULL THEN 'moyenne' WHEN {0} < 0.28 THEN 'très faible' WHEN {0} < 0.42 THEN 'faible' WHEN {0} < 0.55 THEN 'moyenne' ELSE 'élevée' END"
-_E = f"""ev AS (SELECT l_orderkey AS set_id, l_linenumber AS pos, l_partkey % 700 AS chunk_id, 'w' || CAST(l_suppkey % 4 AS VARCHAR) AS work_id, CASE WHEN l_partkey % 3 <> 0 THEN round(l_discount * 8, 6) END AS rerank_score,
+_E = f"""ev AS (SELECT l_orderkey AS set_id, l_linenumber AS pos, l_partkey % (SELECT greatest(count(*) * 7 // 5, 1) FROM embeddings) AS chunk_id, 'w' || CAST(l_suppkey % 4 AS VARCHAR) AS work_id, CASE WHEN l_partkey % 3 <> 0 THEN round(l_discount * 8, 6) END AS rerank_score,
  CASE WHEN l_partkey % 4 = 0 THEN 'avis ' || CAST(l_linenumber AS VARCHAR) END AS judgment, l_partkey, l_returnflag AS path, CAST(l_linenumber AS VARCHAR) AS pages, row_number() OVER () AS rid FROM lineitem),
-vx AS (SELECT ev.*, CAST(embedding AS DOUBLE[]) AS v FROM ev JOIN embeddings ON vec_id = chunk_id AND vec_id < 700),
+vx AS (SELECT ev.*, CAST(embedding AS DOUBLE[]) AS v FROM ev JOIN embeddings ON vec_id = chunk_id),
 cv AS (SELECT a.set_id, avg(list_cosine_similarity(a.v, b.v)) AS convergence FROM vx a JOIN vx b ON a.set_id = b.set_id AND a.rid < b.rid GROUP BY a.set_id),
 s AS (SELECT set_id, string_agg(DISTINCT work_id, ',' ORDER BY work_id) AS works, count(DISTINCT work_id) AS num_works, count(DISTINCT work_id) > 1 AS is_multi_work, max(rerank_score) AS max_rerank, count(judgment) > 0 AS judged FROM ev GROUP BY set_id),
 sg AS (SELECT s.*, round(convergence, 6) AS convergence, coalesce(round(convergence, 9) >= 0.55, true) AS is_convergent, {_TIER.format('max_rerank')} AS tier FROM s LEFT JOIN cv ON cv.set_id = s.set_id),
@@ -144,5 +144,5 @@ ORACLES = {
     "evidence_group": f"WITH {_E} SELECT * FROM eg",
     "instruction_select": f"WITH {_E} SELECT * FROM ins",
     "build_prompt": f"WITH {_E} SELECT set_id, '{_T['instructions']}' || {_NN} || instructions || {_NN} || '{_T['evidence']}' || {_NN} || evidence || {_NN} || '{_T['question']}' || {_NN} || 'Que dit ' || o_orderpriority || ' ?' AS prompt FROM ins JOIN eg USING (set_id) JOIN orders ON o_orderkey = set_id",
-    "judge_prompt": f"SELECT doc_id, item_id, 'L''extrait répond-il à la question ? Réponds en JSON: label, justification.' || {_NN} || 'Question: ' || b.text || {_NN} || 'Extrait: ' || d.text AS prompt FROM documents d JOIN benchmark b ON item_id = doc_id % 40",
+    "judge_prompt": f"SELECT doc_id, item_id, 'L''extrait répond-il à la question ? Réponds en JSON: label, justification.' || {_NN} || 'Question: ' || b.text || {_NN} || 'Extrait: ' || d.text AS prompt FROM documents d JOIN benchmark b ON item_id = doc_id % (SELECT greatest(count(*), 1) FROM benchmark)",
 }
