@@ -192,3 +192,60 @@ def test_convergence_reads_every_vector(spark, tmp_path):
     for s, c in got.items():
         a, b = 2 * s, 2 * s + 1
         assert abs(c - (1 + a * b) / math.sqrt((1 + a * a) * (1 + b * b))) < 2e-6
+
+
+def test_decimals_of_the_exact_value(spark):
+    xs = [0.5005, 0.058499999999999996, 0.0625, 0.1875, 1e9 + 0.0005, 0.9995, 99.95, 0.0, -1.2345, -0.0004, float("nan"), *(k / 2000 for k in range(300)), *(k / 64 for k in range(200))]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", T.fixed(F.col("x"), 3).alias("a"), T.fixed(F.col("x"), 1).alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [(f"{r.x:.3f}", f"{r.x:.1f}") for r in rows]
+
+
+def test_ranks_by_range(spark):
+    rows = spark.createDataFrame([(k % 3 if k % 5 else None, (k * 37) % 101, "x", "y") for k in range(100)], "g int, o int, part string, at string").repartition(7)
+    from quillon.operators.ranks import ranked
+
+    got = ranked(rows, ["o"], "g", "n").collect()
+    for g in (None, 0, 1, 2):
+        assert [r.n for r in sorted((r for r in got if r.g == g), key=lambda r: r.o)] == list(range(1, sum(r.g == g for r in got) + 1))
+    assert [r.n for r in sorted(ranked(rows, ["o"], name="n").collect(), key=lambda r: r.o)] == list(range(1, 101)) and got[0].part == "x"
+    assert ranked(rows.limit(0), ["o"]).count() == 0
+
+
+def test_short_passages_are_found(spark):
+    docs = spark.createDataFrame([(1, "le chat dort ici ce soir"), (2, "un achat dortoir"), (3, "rien"), (4, None), (5, "chat dort encore")], "chunk_id long, text string")
+    items = spark.createDataFrame([(1, "chat dort"), (2, "chat"), (3, "le chat dort ici ce soir"), (4, "chat dort encore"), (5, ""), (6, None), (7, "hat dort ici c")], "item_id long, text string")
+    want = {(i, d) for i, t in items.collect() for d, x in docs.collect() if t and x and t in x}
+    assert {tuple(r) for r in evaluation.passages_in(docs, items).collect()} == want
+
+
+def test_regions_references_and_prefixes(spark):
+    w = spark.createDataFrame([("a", '<TEI><teiHeader/><text><back><p>c &#xE9;</p></back><tei:body><pb n="2"/><p>b &amp;#233; &#233;</p></tei:body><front><pb n="1"/><p>a &lt; &#55296;</p></front></text></TEI>'), ("b", "<TEI/>"), ("c", None)], "work_id string, markup string")
+    rows = markup.paragraphs(markup.annotated(markup.token_stream(w.where("work_id = 'a'")))).orderBy("index").collect()
+    assert [(r.text, r.page_start) for r in rows] == [("a < &#55296;", "1"), ("b &#233; é", "2"), ("c é", "2")]
+    taken, rejected = markup.with_text(w)
+    assert [r.work_id for r in taken.collect()] == ["a"] and sorted(r.work_id for r in rejected.collect()) == ["b", "c"]
+    assert [r.n for r in spark.createDataFrame([("<tei:p n='1'>",), ("</p>",), ("<lg/>",)], "t string").select(markup.local_name(F.col("t")).alias("n")).collect()] == ["p", "p", "lg"]
+
+
+def test_works_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<TEI>\n<text/>\n</TEI>")
+    (tmp_path / "b.xml").write_text("<TEI/>")
+    assert sorted(r.markup for r in markup.read_works(spark, f"file://{tmp_path}").collect()) == ["<TEI/>", "<TEI>\n<text/>\n</TEI>"]
+
+
+def test_convergence_with_a_vector_of_zeros(spark):
+    e = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 3), (2, 2, 4)], "set_id int, pos int, chunk_id int")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "chunk_id int, vector array<double>")
+    got = {r.set_id: r.convergence for r in signals.convergence(e, v).collect()}
+    assert set(got) == {1} and abs(got[1] - math.sqrt(0.5) / 3) < 1e-9
+
+
+def test_kept_tables_follow_their_files(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(3).write.parquet(path)
+    build = lambda: spark.read.parquet(path)
+    assert files.kept(spark, "k", [path], build).count() == 3
+    first = files.kept(spark, "k", [path], lambda: 1 / 0)
+    assert first.count() == 3
+    spark.range(2).write.mode("append").parquet(path)
+    assert files.kept(spark, "k", [path], build).count() == 5

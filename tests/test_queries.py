@@ -11,15 +11,19 @@ from .oracle import assert_same
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 
-@pytest.fixture(scope="module")
-def outcomes(spark, small):
+SIZES = ("sf0.001", "sf0.01")
+
+
+@pytest.fixture(scope="module", params=SIZES)
+def outcomes(request, spark):
     """What each query's comparison raised, or None; several queries run at a time."""
+    folder = f"/root/testdata/{request.param}"
 
     def run(name):
         try:
-            df = QUERIES[name](spark, small)
+            df = QUERIES[name](spark, folder)
             if name in ORACLES:
-                assert_same(df, ORACLES[name], small)
+                assert_same(df, ORACLES[name], folder)
             else:
                 assert df.count() > 0
         except BaseException as e:  # noqa: BLE001
@@ -35,6 +39,13 @@ def test_query(outcomes, name):
         raise outcomes[name]
 
 
+def test_point_ids_are_version_five(spark, small):
+    import uuid
+
+    rows = QUERIES["point_id"](spark, small).collect()
+    assert rows and all(r.point_id == str(uuid.uuid5(uuid.NAMESPACE_URL, f"chunk/{r.doc_id}")) for r in rows)
+
+
 def test_entry_imports_without_training_operators(spark, monkeypatch):
     import importlib
     import sys
