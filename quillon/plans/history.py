@@ -95,7 +95,7 @@ def _stored(spark, d):
 
 def generation_evidence(spark, d):
     rows = _stored(spark, d).select("l_orderkey", F.posexplode("stored").alias("pos", "s")).select("l_orderkey", F.col("pos").cast("bigint").alias("pos"), F.col("s.chunk_id").alias("chunk_id"), F.col("s.score").alias("score"))
-    return rows.join(table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text")), "chunk_id", "left")
+    return rows.join(table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text")).hint("merge"), "chunk_id", "left")
 
 
 def chunk_rehydrate(spark, d):

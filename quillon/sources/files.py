@@ -47,8 +47,9 @@ def state_of(spark: SparkSession, paths: list[str]) -> tuple:
     found = []
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
-        while files.hasNext():
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = system.listFiles(path, True) if system.exists(path) else None
+        while files and files.hasNext():
             f = files.next()
             found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     return tuple(sorted(found))
@@ -57,11 +58,11 @@ def state_of(spark: SparkSession, paths: list[str]) -> tuple:
 def kept(spark: SparkSession, name: str, paths: list[str], build: Callable[[], DataFrame]) -> DataFrame:
     """A table derived from the files under ``paths``, as an index is: written when first asked for, read by all that ask again.
 
-    It is written anew for another application, or if a file has changed.
+    It is written anew for another application, if a file has changed, or if what was written is gone.
     """
     key = (spark.sparkContext.applicationId, name, state_of(spark, paths))
     with _turn:
-        if key not in _kept:
+        if key not in _kept or not state_of(spark, [_kept[key][0]]):
             df, path = build(), scratch(spark, name)
             df.write.parquet(path)
             _kept[key] = path, df.schema
