@@ -67,7 +67,8 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, text: s
 
     The seeded order is the MD5 of seed and id, then the id, then the text's checksum and size.  Rows without source form a
     source of their own; null ids sort first; null texts count as empty; rows that are alike in all of this take neighbouring
-    slots in any order.  An empty table gives an empty table.  Extra columns aren't read.
+    slots in any order.  Of a very long text only size and checksum go on.  An empty table gives an empty table.  Extra columns
+    aren't read, so they can't clash.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("seeded")
