@@ -28,8 +28,8 @@ END_ID = 1
 CHUNK_TOKENS = 1 << 20
 #: Cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Distinct words whose ids a Python worker keeps.
-KEPT_WORDS = 500_000
+#: Distinct words whose ids a Python worker keeps, and bytes of text whose words it holds at once.
+KEPT_WORDS, SPLIT_BYTES = 400_000, 2 << 20
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -150,8 +150,9 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = END_ID, max_tokens: i
     """Pieces of all ``docs``: ids as little-endian 32-bit numbers, the sequence they lie in and their offset there.
 
     A document is its tokens and then ``end_id``; a null or empty text is the end id alone, so each row has a piece.  Ids may
-    be null or repeat: a piece carries its row's id.  Repeated rows are packed each for itself.  An empty table gives no
-    pieces.  Extra columns aren't read.
+    be null or repeat: a piece carries its row's id.  Repeated rows are packed each for itself.  A very long text fills sequences
+    of its own, but for its rest; ties go to the earlier document and the lower sequence.  An empty table gives no pieces.
+    Extra columns aren't read, so they can't clash.
     """
     bounded_batches(docs.sparkSession)
 
@@ -159,7 +160,8 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = END_ID, max_tokens: i
         from pyspark import TaskContext
 
         tokens, first = tokens_for(vocab_path, end_id), TaskContext.get().partitionId() << 40
-        rows = ((i, x) for b in it for i, x in zip(b.column(0).to_pylist(), tokens.ids(as_bytes(b.column(1)))))
+        some = (part for b in it for part in batches(zip(b.column(0).to_pylist(), as_bytes(b.column(1))), SPLIT_BYTES, lambda r: len(r[1])))
+        rows = ((i, x) for part in some for (i, _), x in zip(part, tokens.ids([t for _, t in part])))
         for chunk in batches(rows, 4 * chunk_tokens, lambda r: len(r[1])):
             lengths = np.array([len(x) // 4 for _, x in chunk], np.int64)
             pieces = sorted(pack(lengths, max_tokens), key=lambda p: p[3:])
