@@ -6,7 +6,6 @@ six characters, so the Python side works on UTF-8 bytes and never decodes a text
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.files import shared_dir
+from quillon.sources.tables import spread
+
 #: White space between words, for Spark's and DuckDB's regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows and bytes that one Arrow batch may hold, so that a batch of very long texts stays small.
@@ -21,20 +23,14 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of Python tasks small, whatever the length of the texts."""
+    """Keep the Arrow batches of Python tasks small, whatever the length of the texts.
+
+    This sets two limits of the session, which stay set: every operator with Python tasks here relies on them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and no step runs twice.
 
@@ -49,7 +45,8 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table of documents; one small file is spread over all cores, as its partitions would else be too few."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def words(text: Column) -> Column:
