@@ -125,25 +125,27 @@ class Block:
         return np.cumsum(edge[:-1]) > 0
 
 
+def numbered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal rows of an array of one or two columns follow each other, and the number of each one's run in it."""
+    order = np.argsort(a, kind="stable") if a.ndim == 1 else np.lexsort((a[:, 1], a[:, 0]))
+    a = a[order]
+    new = a[1:] != a[:-1] if a.ndim == 1 else (a[1:, 0] != a[:-1, 0]) | (a[1:, 1] != a[:-1, 1])
+    return order, np.cumsum(np.append(True, new)[: len(a)]) - 1
+
+
 def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of an array of one or two columns, sorted by its columns, with how often each occurs."""
-    if a.ndim == 1:
-        return np.unique(a, return_counts=True)
-    a = a[np.lexsort((a[:, 1], a[:, 0]))]
-    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]).any(axis=1))) if len(a) else np.zeros(0, np.int64)
-    return a[at], np.diff(np.append(at, len(a)))
+    """The distinct rows, sorted, with how often each occurs."""
+    order, run = numbered(a)
+    n = np.bincount(run) if len(a) else np.zeros(0, np.int64)
+    return a[order[np.cumsum(n) - n]] if len(a) else a, n
 
 
 def among(a: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Which rows of ``a`` are rows of ``some``."""
-    if a.ndim == 1:
-        return np.isin(a, some)
-    both = np.concatenate([a, some])
-    order = np.lexsort((both[:, 1], both[:, 0]))
-    run = np.cumsum(np.append(True, (both[order][1:] != both[order][:-1]).any(axis=1))) - 1
-    has = np.zeros(run[-1] + 1, bool)
+    order, run = numbered(np.concatenate([a, some]))
+    has = np.zeros(len(order), bool)
     has[run[order >= len(a)]] = True
-    out = np.empty(len(both), bool)
+    out = np.empty(len(order), bool)
     out[order] = has[run]
     return out[: len(a)]
 
@@ -174,10 +176,12 @@ def _hashes(blobs: list[bytes], columns: int) -> np.ndarray:
 def _repeated(blobs: pa.Table, columns: int) -> pa.Table:
     """For a bucket: of each block's hashes those that start more than once."""
     once = blobs.column("once").to_pylist()
-    u, n = distinct(_hashes([*once, *blobs.column("twice").to_pylist()], columns))
-    u = u[n > 1]
-    own = [_hashes([b], columns) for b in once]
-    back = [h[among(h, u)].tobytes() if len(u) else b"" for h in own]
+    own = _hashes(once, columns)
+    order, run = numbered(np.concatenate([own, _hashes(blobs.column("twice").to_pylist(), columns)]))
+    again = np.empty(len(order), bool)
+    again[order] = (np.bincount(run) > 1)[run] if len(run) else False
+    ends = np.cumsum([len(b) // (8 * columns) for b in once])
+    back = [h[hit].tobytes() for h, hit in zip(np.split(own, ends[:-1]), np.split(again[: len(own)], ends[:-1]))]
     table = pa.table({"block": blobs.column("block"), "hashes": pa.array(back, pa.binary())})
     return table.filter(pa.array([len(b) > 0 for b in back], pa.bool_()))
 
