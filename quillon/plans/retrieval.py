@@ -210,6 +210,7 @@ ORACLES = {
     "bm25_query_terms": f"SELECT DISTINCT query_id, {S.stem('token')} AS term, CAST(1.0 AS DOUBLE) AS weight FROM (SELECT query_id, unnest({_TOK}) AS token FROM {S.ITEMS})",
     "bm25_idf": f"WITH {S.POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "embed_dense": f"WITH {_CH} SELECT chunk_id, dim, round(v, 6) AS value FROM hvn",
+    "point_id": "SELECT doc_id, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(x, 17, 1))::BIGINT % 4 + 1] || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS point_id FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk/' || CAST(doc_id AS VARCHAR))) AS x FROM documents)",
     "sparse_topk": f"WITH {_CH} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 10",
     "dense_topk": f"WITH s AS ({_DENSE}) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ({S.ranked('s', 10)})",
     "index_filter": f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0) SELECT query_id, chunk_id, label, rank, round(score, 6) AS score FROM ({S.ranked('s', 10)})",
