@@ -1,12 +1,14 @@
 """Runs DuckDB SQL over a folder of tables and compares the rows with a DataFrame's."""
 
 import os
+import tempfile
 
 import duckdb
 
 
 def views(folder):
     con = duckdb.connect()
+    con.sql(f"SET temp_directory = '{tempfile.gettempdir()}/duckdb-{os.getpid()}'")
     for p in os.listdir(folder):
         path = f"{folder}/{p}"
         con.sql(f"CREATE VIEW {p.split('.')[0]} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
