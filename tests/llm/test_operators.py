@@ -259,6 +259,17 @@ def test_kt_weights_match_sequential_coding():
     assert abs(context_tree.log_kt(np.array([zeros]), np.array([ones]))[0] - p) < 1e-9
 
 
+def test_very_long_texts(spark):
+    long, word = " ".join(f"parole{k % 9973} mot{k}" for k in range(60_000)), "x" * 1_000_000
+    docs = spark.createDataFrame([(1, long, "a"), (2, word, "a"), (3, "court", "b")], "doc_id long, text string, source string")
+    sizes = {1: 120_000, 2: 1, 3: 1}
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs).collect()} == {1: f"{fp(long):016x}", 2: f"{fp(word):016x}", 3: f"{fp('court'):016x}"}
+    assert {r.doc_id: r.n_words for r in quality.judged(docs).collect()} == sizes
+    assert {r.doc_id: r.size for r in sharding.interleaved(docs, shards=2).collect()} == {1: len(long) + 8, 2: 1_000_008, 3: 13}
+    scores = {r.doc_id: r for r in context_tree.model_scores(docs.withColumn("learned", F.col("doc_id") < 3)).collect()}
+    assert {k: r.n_tokens - 1 for k, r in scores.items()} == sizes and scores[2].n_coded == 1_000_001 and scores[2].score > -100
+
+
 def repeats(texts, length=35):
     ws = [words(t) for t in texts]
     seen = Counter(tuple(w[k : k + length]) for w in ws for k in range(len(w) - length + 1))
