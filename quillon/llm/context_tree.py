@@ -191,22 +191,25 @@ def distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams of texts, sorted, with their counts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for part in batches(iter(texts), CHUNK, lambda t: len(t) + DEPTH):
-        key = np.sort(grams(part)[0])
+        key = grams(part)[0]
+        key.sort()
         at = runs(key)
-        held.append((key[at], np.diff(np.append(at, len(key)))))
+        held.append((key[at], np.diff(np.append(at, len(key))).astype(np.uint32)))
         if len(held) == 4:
             held[:] = [summed(*map(np.concatenate, zip(*held)))]
-    return summed(*map(np.concatenate, zip(*held))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return summed(*map(np.concatenate, zip(*held))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
 
 
 def _asks(block: pa.Table, buckets: int) -> pa.Table:
     """A block's distinct grams and words with their counts in learned texts, by bucket: grams in the lower half, words in the upper."""
     texts, learned = as_bytes(block.column("text")), block.column("learned").to_pylist()
     known, other = distinct([t for t, y in zip(texts, learned) if y]), distinct([t for t, y in zip(texts, learned) if not y])[0]
-    key, n = summed(np.concatenate([known[0], other]), np.concatenate([known[1], np.zeros(len(other), np.int64)]))
+    key, n = summed(np.concatenate([known[0], other]), np.concatenate([known[1], np.zeros(len(other), np.uint32)]))
+    del known, other
     order, ends = spread(bucket_of(key, buckets), buckets)
-    key, n, cut = key[order], n[order].astype(np.uint32), ends[:-1]
+    key, n, cut = key[order], n[order], ends[:-1]
     blobs = [(b, packed(k), packed(c)) for b, (k, c) in enumerate(zip(np.split(key, cut), np.split(n, cut))) if len(k)]
+    del key, n, order
     # the end token is the empty word: no word is empty
     count, others = Counter({b"": sum(learned)}), set()
     for t, y in zip(texts, learned):
@@ -261,22 +264,19 @@ def _answers(asks: pa.Table, values: pa.Table, buckets: int) -> pa.Table:
 
 def text_scores(texts: list[bytes], answer) -> tuple[np.ndarray, np.ndarray]:
     """Sums over each text of its grams' code lengths, and its coded bytes; ``answer`` gives those of all distinct grams, sorted."""
-    parts = []
+    every = distinct(texts)[0]
+    value = answer(every)
+    out, sizes = [], []
     for part in batches(iter(texts), CHUNK, lambda t: len(t) + DEPTH):
-        key, sizes = grams(part)
+        key, size = grams(part)
         order = np.argsort(key)
         key = key[order]
         at = runs(key)
-        parts.append((key[at], at.astype(np.int32), order.astype(np.int32), sizes))
-    every = np.sort(np.concatenate([p[0] for p in parts]))
-    every = every[runs(every)]
-    value = answer(every)
-    out = []
-    for u, at, order, sizes in parts:
         each = np.empty(len(order))
-        each[order] = np.repeat(value[np.searchsorted(every, u)], np.diff(np.append(at, len(order))))
-        out.append(np.add.reduceat(each, np.cumsum(sizes) - sizes))
-    return np.concatenate(out), np.concatenate([p[3] for p in parts])
+        each[order] = np.repeat(value[np.searchsorted(every, key[at])], np.diff(np.append(at, len(order))))
+        out.append(np.add.reduceat(each, np.cumsum(size) - size))
+        sizes.append(size)
+    return np.concatenate(out), np.concatenate(sizes)
 
 
 def _scores(block: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
