@@ -207,7 +207,8 @@ def _asks(block: pa.Table, buckets: int) -> pa.Table:
     key, n = summed(np.concatenate([known[0], other]), np.concatenate([known[1], np.zeros(len(other), np.uint32)]))
     del known, other
     order, ends = spread(bucket_of(key, buckets), buckets)
-    key, n, cut = key[order], n[order], ends[:-1]
+    # sums come as 64 bits; a block has fewer than 2**32 bytes of text
+    key, n, cut = key[order], n[order].astype(np.uint32), ends[:-1]
     blobs = [(b, packed(k), packed(c)) for b, (k, c) in enumerate(zip(np.split(key, cut), np.split(n, cut))) if len(k)]
     del key, n, order
     # the end token is the empty word: no word is empty
@@ -230,12 +231,20 @@ def _blobs(asks: pa.Table) -> tuple[list[int], list[bytes], list[np.ndarray]]:
     return asks.column("block").to_pylist(), asks.column("keys").to_pylist(), [unpacked(c, np.uint32) for c in asks.column("counts").to_pylist()]
 
 
+def same_size(keys, values: np.ndarray) -> None:
+    if len(keys) != len(values):
+        raise ValueError(f"{len(values)} numbers for {len(keys)} keys")
+
+
 def _counted(asks: pa.Table, buckets: int) -> pa.Table:
     """The distinct grams of a bucket with their counts in the corpus; nothing for a bucket of words."""
     key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if asks.column("bucket")[0].as_py() < buckets:
         _, keys, counts = _blobs(asks)
-        key, n = summed(np.concatenate([unpacked(k, np.uint64) for k in keys]), np.concatenate(counts).astype(np.int64))
+        keys = [unpacked(k, np.uint64) for k in keys]
+        for k, c in zip(keys, counts):
+            same_size(k, c)
+        key, n = summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
     return pa.table({"gram": pa.array(key.view(np.int64)), "n": pa.array(n)})
 
 
@@ -255,6 +264,7 @@ def _answers(asks: pa.Table, values: pa.Table, buckets: int) -> pa.Table:
         total: dict[bytes, int] = {}
         words = lambda k: zstandard.decompress(k).split(b" ")
         for k, c in zip(keys, counts):
+            same_size(words(k), c)
             for w, x in zip(words(k), c.tolist()):
                 total[w] = total.get(w, 0) + x
         found = [packed(np.fromiter(map(total.__getitem__, words(k)), np.int64, len(c))) for k, c in zip(keys, counts)]

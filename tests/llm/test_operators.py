@@ -191,7 +191,8 @@ def context_tree_scores(texts, learned, depth=context_tree.DEPTH):
         below = math.fsum(map(weighted, kids[node]))
         most = max(own, below)
         both = most + math.log(math.exp(own - most) + math.exp(below - most))
-        weights[node] = math.exp(own - both)
+        # not exp(own - both): for counts of 100,000 that would leave eleven digits of one minus the weight
+        weights[node] = 1 / (1 + math.exp(min(below - own, 700)))
         return both - math.log(2)
 
     for node in [n for n in counts if not n[0]]:
@@ -231,6 +232,23 @@ def test_op4_equals_a_plain_context_tree(spark, docs, empty):
     assert context_tree.model_scores(empty.withColumn("learned", F.lit(True))).count() == 0
 
 
+def test_op4_counts_beyond_one_and_two_bytes(spark, monkeypatch):
+    # two blocks, each with grams above 2**16 of its own, and grams between 2**8 and 2**16
+    texts = ["ab" * 70_000, "ab" * 40_000 + " " + "c" * 66_000, "the cat " * 300, "the dog " * 300, "a cat", "ab", "cccc", None]
+    learned = [True] * 4 + [False] * 4
+    monkeypatch.setattr(context_tree, "BLOCK_BYTES", 140_000)
+    rows = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(zip(texts, learned))], "doc_id long, text string, learned boolean")
+    assert context_tree.blocks_for(rows, "text", 140_000) > 2
+    got = {r.doc_id: r.score for r in context_tree.model_scores(rows).collect()}
+    for k, want in enumerate(context_tree_scores(texts, learned)):
+        # each byte's code length is rounded to a multiple of UNIT
+        assert abs(got[k] - want) < 1e-8 * max(1, abs(want)) + context_tree.UNIT * (len(texts[k] or "") + 1)
+    key, n = context_tree.distinct([b"x" * 1_000_000])
+    assert n.max() == 999_994 and n.sum() == 1_000_001
+    with pytest.raises(ValueError):
+        context_tree.same_size(key, np.zeros(len(key) * 2))
+
+
 def test_op4_base_is_exact_and_the_model_beats_it(spark, small, docs, odd):
     rows = QUERIES["op4_lm_scoring"](spark, small).collect()
     toks = {i: [*((d.text or "").encode().lower().split()), b"\n"] for i, d in docs.items()}
