@@ -84,12 +84,18 @@ def small(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def sized(df: DataFrame, limit: int, otherwise: str = "merge") -> DataFrame:
-    """``df`` with the join strategy for its counted size: broadcast up to ``limit`` rows, a sort-merge join beyond.
+#: Bytes that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
 
-    Spark can split the hot keys of a sort-merge join at run time.
+
+def sized(df: DataFrame, limit: int, otherwise: str = "merge", most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with the join strategy for its measured size: broadcast up to ``limit`` rows and ``most`` bytes, a sort-merge join beyond.
+
+    Bytes are those of the rows as JSON, more than they take in memory unless most are null.  Spark can split the hot keys of a
+    sort-merge join at run time.
     """
-    return F.broadcast(df) if small(df, limit) else df.hint(otherwise)
+    light = small(df, limit) and (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= most
+    return F.broadcast(df) if light else df.hint(otherwise)
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .clustering import OP11_SQL, op11_clustering
 from .context_tree import op4_lm_scoring
 from .decontamination import OP8_SQL, op8_decontamination
 from .language import op9_language
+from .mixing import op13_mixing
 from .packing import op3_packing
+from .phrases import OP12_SQL, op12_phrases
 from .quality import OP10_SQL, op10_quality_rules
 from .sharding import op6_sharding
 from .simhash import op2_simhash
@@ -24,10 +27,15 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,
+    "op11_clustering": op11_clustering,
+    "op12_phrases": op12_phrases,
+    "op13_mixing": op13_mixing,
 }
 #: The other operators hash, learn or pack in ways that SQL has no words for; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op8_decontamination": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_clustering": OP11_SQL,
+    "op12_phrases": OP12_SQL,
 }
