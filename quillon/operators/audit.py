@@ -51,7 +51,7 @@ def title_matches(title: Column, description: Column) -> Column:
     """A word of the title of more than three letters, no stop word, is in the description before its first link; true if there is none."""
     fold = lambda x: F.lower(T.strip_accents(F.coalesce(x, F.lit(""))))
     ws = F.filter(F.regexp_extract_all(fold(title), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 3) & ~w.isin(*STOP_WORDS))
-    before = F.regexp_replace(fold(description), r"(?s)http.*", "")
+    before = fold(F.regexp_replace(F.coalesce(description, F.lit("")), r"(?s)http.*", ""))
     return (F.size(ws) == 0) | F.exists(ws, lambda w: F.contains(before, w))
 
 

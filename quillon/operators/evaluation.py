@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators.ranks import checked
 from quillon.sources import files
 
 CUTS = (1, 3, 5, 10)
@@ -14,27 +15,58 @@ CUTS = (1, 3, 5, 10)
 def passages_in(docs: DataFrame, items: DataFrame, width: int = 5) -> DataFrame:
     """``item_id, chunk_id`` of each document that holds an item's text verbatim.
 
-    Documents and items meet on the hash of the item's first inner tokens, ``width`` of them or as many as it has, then the text
-    itself decides; the outer tokens may go on in the document.  Items of one or two tokens, which have no inner ones, are
-    looked for in each document, all in one pass.
+    Each item is looked for by the rarest of its windows of ``width`` inner tokens (all of them if it has fewer), as counted in the
+    documents; the outer tokens may go on in a document.  Windows are hashes beside an id; texts come in at the end, where
+    document and item have met, and decide.  An item of one or two tokens, which has no inner ones, is looked for by the tokens
+    that hold its longest one, found by their letters.  Items without a token, and rows without an id, are never found.
     """
-    d = docs.select("chunk_id", "text", T.tokens(F.col("text")).alias("t"))
-    i = items.select("item_id", F.col("text").alias("item_text"), T.tokens(F.col("text")).alias("t")).withColumn("w", F.least(F.size("t") - 2, F.lit(width)))
-    lead = files.staged(i.where("w > 0").select("item_id", "item_text", "w", F.xxhash64(F.slice("t", 2, F.col("w"))).alias("h")), "leads")
-    widths = [r.w for r in lead.select("w").distinct().collect()]  # ``width`` of them at most
+    item = files.staged(items.where("item_id is not null").select("item_id", F.col("text").alias("item_text"), T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0), "items")
+    met = _by_windows(docs, item.where(F.size("t") > 2), width)
+    short = item.where(F.size("t") <= 2)
+    if not short.isEmpty():
+        met = met.unionByName(_by_letters(docs, short))
+    met = files.staged(met.distinct().join(item.select("item_id", "item_text").hint("merge"), "item_id"), "met")
+    found = docs.select("chunk_id", "text").join(checked(met), "chunk_id")
+    return found.where(F.col("text").contains(F.col("item_text"))).select("item_id", "chunk_id").distinct()
+
+
+def _by_windows(docs: DataFrame, item: DataFrame, width: int) -> DataFrame:
+    """``item_id, chunk_id`` where a document has the rarest window of an item with inner tokens."""
     none = F.array().cast("array<struct<w:int,h:bigint>>")
 
-    def windows(w: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size("t") - (w - 1)), lambda k: F.struct(F.lit(w).alias("w"), F.xxhash64(F.slice("t", k, F.lit(w))).alias("h")))
-        return F.when(F.size("t") >= w, each).otherwise(none)
-
-    found = d.select("chunk_id", "text", F.explode(F.array_distinct(F.concat(*map(windows, widths), none))).alias("x")).select("chunk_id", "text", "x.w", "x.h")
-    found = found.join(F.broadcast(lead) if lead.limit(200_001).count() <= 200_000 else lead.hint("merge"), ["w", "h"])
-    out = found.where(F.col("text").contains(F.col("item_text"))).select("item_id", "chunk_id")
-    # one row that holds the shortest items
-    short = i.where("w <= 0 and item_text <> ''").agg(F.collect_list(F.struct("item_id", "item_text")).alias("short"))
-    held = docs.select("chunk_id", "text").crossJoin(F.broadcast(short)).select("chunk_id", F.explode(F.filter("short", lambda x: F.contains("text", x["item_text"]))).alias("x"))
-    return out.unionByName(held.select("x.item_id", "chunk_id")).distinct()
+    def windows(t: Column, w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(t) - w + 1), lambda k: F.struct(w.cast("int").alias("w"), F.xxhash64(F.slice(t, k, w)).alias("h")))
+        return F.when(F.size(t) >= w, each).otherwise(none)
+
+    inner = F.slice("t", F.lit(2), F.size("t") - 2)
+    asked = item.select("item_id", inner.alias("t")).select("item_id", F.explode(F.array_distinct(windows(F.col("t"), F.least(F.size("t"), F.lit(width))))).alias("x"))
+    asked = files.staged(asked.select("item_id", "x.w", "x.h"), "asked")
+    wanted = asked.select("w", "h").distinct()
+    widths = sorted(r.w for r in asked.select("w").distinct().collect())  # ``width`` of them at most
+    t = docs.select("chunk_id", T.tokens(F.col("text")).alias("t"))
+    held = t.select("chunk_id", F.explode(F.array_distinct(F.concat(*(windows(F.col("t"), F.lit(w)) for w in widths), none))).alias("x")).select("chunk_id", "x.w", "x.h")
+    held = files.staged(held.join(checked(files.staged(wanted, "wanted")), ["w", "h"]), "held")
+    df = held.groupBy("w", "h").agg(F.count("*").alias("n"))
+    # a window that no document has is the rarest of all, and its item has no passage
+    counted = asked.join(df.hint("merge"), ["w", "h"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("item_id").agg(F.min_by(F.struct("w", "h"), F.struct("n", "h")).alias("x"), F.min("n").alias("n")).where("n > 0")
+    return held.join(files.staged(rarest.select("item_id", "x.w", "x.h"), "rarest").hint("merge"), ["w", "h"]).select("item_id", "chunk_id")
+
+
+def _by_letters(docs: DataFrame, item: DataFrame, letters: int = 3) -> DataFrame:
+    """``item_id, chunk_id`` where a token of a document holds the longest token of a short item."""
+    longest = F.array_max(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    item = item.select("item_id", longest.alias("x")).withColumn("g", F.substring("x", 1, letters))
+    postings = files.staged(docs.select("chunk_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")), "tokens")
+    sizes = sorted(r[0] for r in item.select(F.length("g")).distinct().collect())  # ``letters`` of them at most
+
+    def parts(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - (n - 1), F.lit(1))), lambda k: F.substr("token", k, F.lit(n)))
+
+    grams = F.flatten(F.array(*map(parts, sizes)))
+    words = postings.select("token").distinct().select("token", F.explode(F.array_distinct(grams)).alias("g"))
+    holding = words.join(item.hint("merge"), "g").where(F.col("token").contains(F.col("x"))).select("item_id", "token").distinct()
+    return postings.join(files.staged(holding, "holding").hint("merge"), "token").select("item_id", "chunk_id")
 
 
 def hit_ranks(items: DataFrame, hits: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:

@@ -21,6 +21,14 @@ NO_PAGE = "page non numérotée"
 EDITORIAL = ("note", "quote", "cit", "q", "bibl")
 
 
+#: The namespace of the markup (fixed value); a work that declares none for its names is read by local names.
+NAMESPACE = "http://www.tei-c.org/ns/1.0"
+#: What stands in a tag after its name: quoted values of both kinds may hold any sign but their quote.
+_REST = r"""[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+"""
+_PARTS = rf"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!(?:[^<>\[\]"']|"[^"]*+"|'[^']*+'|\[[^\]]*+\])*+>|<(?![!?]){_REST}>|<[^<>]+>|[^<]+"""
+_PREFIX = r"(?:[^\s:/<>]+:)?"
+
+
 def read_works(spark: SparkSession, path: str, between: str | None = None) -> DataFrame:
     """``path, markup``: one row for each file, or for each work of files that hold many, parted by the sign ``between``."""
     kind = {"lineSep": between} if between else {"wholetext": True}
@@ -32,6 +40,23 @@ def local_name(tag: Column) -> Column:
     return F.regexp_extract(tag, r"^</?(?:[^\s:/>]+:)?([^\s/>]+)", 1)
 
 
+def parts(markup: Column) -> Column:
+    """Tags and texts of a work in order, without comments, instructions and declarations; CDATA sections become texts with named entities."""
+    found = F.filter(F.regexp_extract_all(markup, F.lit(_PARTS), F.lit(0)), lambda t: ~(t.startswith("<!--") | t.startswith("<?") | (t.startswith("<!") & ~t.startswith("<![CDATA["))))
+
+    def text(t: Column) -> Column:
+        t = F.substr(t, F.lit(10), F.length(t) - 12)
+        return F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    return F.transform(found, lambda t: F.when(t.startswith("<![CDATA["), text(t)).otherwise(t))
+
+
+def foreign(markup: Column) -> Column:
+    """Prefixes that a work declares for another namespace than ``NAMESPACE``; names with them are no names of the markup."""
+    declared = rf"""\sxmlns:([^\s=]+)\s*=\s*(?!["']{NAMESPACE.replace(".", "[.]")}["'])["']"""
+    return F.array_distinct(F.regexp_extract_all(markup, F.lit(declared), F.lit(1)))
+
+
 def plain(x: Column) -> Column:
     """Text with numeric character references and the five named entities resolved, each once."""
     refs = F.array_distinct(F.regexp_extract_all(x, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1)))
@@ -55,18 +80,25 @@ def token_stream(works: DataFrame) -> DataFrame:
     ``depth`` is the number of open elements after the token.
     """
     body = F.regexp_replace(F.regexp_replace("markup", r"(?is)<script\b.*?</script>", ""), r"(?is)<style\b.*?</style>", "")
-    parts = F.regexp_extract_all(body, F.lit(r"(?s)<!--.*?-->|<[^>]+>|[^<]+"), F.lit(0))
-    t = works.select("work_id", F.posexplode(parts).alias("i", "tok")).where(~F.col("tok").startswith("<!") & ~F.col("tok").startswith("<?"))
+    t = works.select("work_id", foreign(F.col("markup")).alias("others"), F.posexplode(parts(body)).alias("i", "tok"))
     is_tag = F.col("tok").startswith("<")
     closes = F.col("tok").startswith("</")
     alone = F.col("tok").endswith("/>") & is_tag
-    t = t.withColumns({"tag": F.when(is_tag, local_name(F.col("tok"))), "closes": closes, "alone": alone, "starts": is_tag & ~closes})
+    t = t.withColumns({"tag": F.when(is_tag, _name(F.col("tok"), F.col("others"))), "closes": closes, "alone": alone, "starts": is_tag & ~closes}).drop("others")
     step = F.when(F.col("starts") & ~F.col("alone"), 1).when(F.col("closes"), -1).otherwise(0)
     return t.withColumn("depth", F.sum(step).over(Window.partitionBy("work_id").orderBy("i")))
 
 
+def _name(tag: Column, others: Column) -> Column:
+    """The local name, or the whole one if its prefix is that of another namespace."""
+    prefix = F.regexp_extract(tag, r"^</?([^\s:/>]+):", 1)
+    return F.when((prefix != "") & F.array_contains(others, prefix), F.regexp_extract(tag, r"^</?([^\s/>]+)", 1)).otherwise(local_name(tag))
+
+
 def attribute(name: str) -> Column:
-    return F.regexp_extract("tok", rf'\s{name}="([^"]*)"', 1)
+    """The value of the tag ``tok``'s attribute, quoted either way, references resolved; empty if there is none."""
+    found = lambda quote: F.regexp_extract("tok", rf"""^<[^\s/>]+(?:\s+[^\s=<>"']+\s*=\s*(?:"[^"]*+"|'[^']*+'))*?\s+{name}\s*=\s*{quote}([^{quote}]*+){quote}""", 1)
+    return plain(F.coalesce(F.nullif(found('"'), F.lit("")), found("'")))
 
 
 def annotated(stream: DataFrame) -> DataFrame:
@@ -146,16 +178,34 @@ def sections(marked: DataFrame, paras: DataFrame, keep_empty: bool = False) -> D
     return b.select("work_id", "section", "region", "div_type", label.alias("label")).join(pages.hint("merge"), ["work_id", "section"], "left" if keep_empty else "inner")
 
 
-def header(works: DataFrame) -> DataFrame:
-    """``work_id, has_text, title, alt_titles, edition_date, source_desc`` from the file's header, with the metadata title as fallback."""
-    head = F.regexp_extract("markup", r"(?s)<teiHeader\b.*?</teiHeader>", 0)
-    titles = F.transform(F.regexp_extract_all(F.regexp_extract(head, r"(?s)<titleStmt>(.*?)</titleStmt>", 1), F.lit(r"(?s)<title[^>]*>(.*?)</title>"), F.lit(1)), lambda t: T.clean_text(plain(F.regexp_replace(t, "<[^>]+>", ""))))
-    within = lambda outer, tag: T.clean_text(plain(F.regexp_replace(F.regexp_extract(head, rf"(?s)<{outer}>.*?<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]+>", "")))
-    t = works.select("work_id", F.col("markup").rlike(r"<text[\s>]").alias("has_text"), titles.alias("t"), within("publicationStmt", "date").alias("edition_date"), within("sourceDesc", "p").alias("source_desc"))
-    return t.select("work_id", "has_text", F.element_at(F.concat("t", F.array(F.lit(""))), 1).alias("title"), F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(1))).alias("alt_titles"), "edition_date", "source_desc")
+def header(works: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """``work_id, has_text, title, alt_titles, edition_date, source_desc`` from the file's header, whatever its prefix.
+
+    A work without a title takes that of ``metadata(work_id, title)`` if it has a row there, else an empty one; a work without a
+    header has empty fields.
+    """
+    whole = F.array_join(parts(F.regexp_extract("markup", rf"(?s)<{_PREFIX}teiHeader[\s>].*?</{_PREFIX}teiHeader\s*>", 0)), "")
+    rest = r"""(?:\s[^<>"'/]*+(?:"[^"]*+"[^<>"'/]*+|'[^']*+'[^<>"'/]*+)*+)?"""
+    # an empty element in its short form, in the long one
+    whole = F.regexp_replace(whole, rf"<{_PREFIX}(title|date|p){rest}/>", "<$1></$1>")
+    start, end = (lambda tag: rf"<{_PREFIX}{tag}{rest}>"), (lambda tag: rf"</{_PREFIX}{tag}\s*>")
+    bare = lambda x: plain(F.regexp_replace(x, rf"<{_REST}>", ""))
+    w = works.select("work_id", F.exists(parts(F.col("markup")), lambda t: t.rlike(rf"^<{_PREFIX}text[\s/>]")).alias("has_text"), whole.alias("h"))
+    within = lambda outer: F.regexp_extract("h", rf"(?s){start(outer)}(.*?){end(outer)}", 1)
+    titles = F.transform(F.regexp_extract_all(within("titleStmt"), F.lit(rf"(?s){start('title')}(.*?){end('title')}"), F.lit(1)), lambda t: T.clean_text(bare(t)))
+    # the date is what stands before any element in it
+    date = F.regexp_replace(plain(F.regexp_extract(within("publicationStmt"), rf"{start('date')}([^<]*)", 1)), r"^\s+|\s+$", "")
+    source = T.clean_text(bare(F.regexp_extract(within("sourceDesc"), rf"(?s){start('p')}(.*?){end('p')}", 1)))
+    w = w.select("work_id", "has_text", titles.alias("t"), date.alias("edition_date"), source.alias("source_desc"))
+    other = F.lit("")
+    if metadata is not None:
+        w = w.join(metadata.select("work_id", F.col("title").alias("other")), "work_id", "left")
+        other = F.coalesce("other", F.lit(""))
+    title = F.when(F.size("t") > 0, F.col("t")[0]).otherwise(other)
+    return w.select("work_id", "has_text", title.alias("title"), F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(1))).alias("alt_titles"), "edition_date", "source_desc")
 
 
 def with_text(works: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Works that have a text element, and the rejected rest."""
-    has = F.col("markup").rlike(r"<(?:[^\s:/>]+:)?text[\s>]")
+    has = F.exists(parts(F.col("markup")), lambda t: t.rlike(rf"^<{_PREFIX}text[\s/>]"))
     return works.where(has), works.where(~has | F.col("markup").isNull())

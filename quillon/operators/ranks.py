@@ -1,4 +1,4 @@
-"""Numbers over whole tables, or over groups of any size, without a window that holds a group."""
+"""Numbers over whole tables, or over groups of any size, without a window that holds a group; joins by measured size."""
 
 from __future__ import annotations
 
@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from quillon.sources import files
 
 
+#: Rows and bytes that are broadcast at most.
+SMALL, SMALL_BYTES = 200_000, 32 << 20
+
+
+def checked(df: DataFrame, limit: int = SMALL, most: int = SMALL_BYTES) -> DataFrame:
+    """Broadcast ``df`` if it is found to have few rows and bytes (as JSON), else join it by sort-merge."""
+    n, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and size <= most else df.hint("merge")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

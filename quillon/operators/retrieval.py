@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import weights as W
+from quillon.operators.ranks import SMALL, checked
 from quillon.sources import files
 
 RRF_K = 1
@@ -21,8 +22,6 @@ PREFETCH = 50
 POOL = 15
 #: Rows of queries, and of vectors, that meet in one block.
 QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
-#: Rows of a query-side table that are broadcast at most.
-SMALL = 200_000
 
 
 def top(hits: DataFrame, limit: int, score: str = "score", by: str = "query_id", key: str = "chunk_id") -> DataFrame:
@@ -31,11 +30,6 @@ def top(hits: DataFrame, limit: int, score: str = "score", by: str = "query_id",
     return hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= limit)
 
 
-def checked(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """Broadcast ``df`` if a count finds it small, else join it by sort-merge."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
-
-
 def sparse_topk(queries: DataFrame, posts: DataFrame, idf: DataFrame, limit: int = 10) -> DataFrame:
     """BM25 top ``limit``: an equi-join of query terms with postings, never queries with chunks.
 

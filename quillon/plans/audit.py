@@ -99,7 +99,7 @@ ORACLES = {
     "char_profile": "SELECT doc_id, " + ", ".join(f"{_C(*xs)} AS {n}" for n, xs in (("straight_apostrophes", ["''"]), ("curly_apostrophes", ["’"]), ("double_quotes", ['"']), ("guillemets", ["«", "»"]), ("ligatures", list(A.LIGATURES)))) + " FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "editorial_profile": f"WITH {MP._L} SELECT work_id, CASE k WHEN 6 THEN 'quote' ELSE 'note' END AS tag, count(*) AS n FROM lb WHERE k IN (6, 7) GROUP BY ALL",
     "biblio_profile": f"WITH {MP._L}, {_PB} SELECT * FROM bib",
-    "title_consistency": f"SELECT doc_id, turn, len(ws) = 0 OR len(list_filter(ws, lambda w: contains(descr, w))) > 0 AS consistent FROM (SELECT doc_id, turn, list_filter({_TT}, lambda w: length(w) > 3 AND w NOT IN {A.STOP_WORDS}) AS ws, regexp_replace(lower({S.plain('coalesce(d.text, chr(32))')}), '(?s)http.*', '') AS descr FROM conversations c JOIN documents d ON doc_id = conv_id)",
+    "title_consistency": f"SELECT doc_id, turn, len(ws) = 0 OR len(list_filter(ws, lambda w: contains(descr, w))) > 0 AS consistent FROM (SELECT doc_id, turn, list_filter({_TT}, lambda w: length(w) > 3 AND w NOT IN {A.STOP_WORDS}) AS ws, lower({S.plain("regexp_replace(coalesce(d.text, chr(32)), '(?s)http.*', '')")}) AS descr FROM conversations c JOIN documents d ON doc_id = conv_id)",
     "audit_row": f"WITH {MP._L}, {_PB}, {_DV}, {_SZ}, dd AS (SELECT work_id, CAST(sum(n) AS BIGINT) AS n_divs, max(depth) AS div_depth FROM dv GROUP BY work_id) SELECT bib.work_id, coalesce(n_divs, 0) AS n_divs, coalesce(div_depth, 0) AS div_depth, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_words, 0) AS n_words, edition_date, source_desc, pb_total, pb_with_n FROM bib LEFT JOIN dd ON dd.work_id = bib.work_id LEFT JOIN sz0 ON sz0.work_id = bib.work_id",
     "schema_drift": f"""WITH {MP._L}, ev AS (SELECT work_id, unnest(CASE k WHEN 0 THEN ['head'] WHEN 3 THEN ['p', 'pb', 'hi'] WHEN 4 THEN ['lg', 'l'] WHEN 1 THEN ['pb', 'p'] WHEN 2 THEN ['pb', 'p'] WHEN 6 THEN ['p', 'quote'] WHEN 7 THEN ['p', 'note'] ELSE ['p'] END) AS tag FROM lb
  UNION ALL SELECT work_id, 'div' FROM lb WHERE wrapped UNION ALL SELECT work_id, region FROM lb UNION ALL SELECT work_id, 'body' FROM lb WHERE lay = 2

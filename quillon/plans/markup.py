@@ -24,7 +24,7 @@ def _escaped(x):
 
 
 def _works(spark, d, body_first=False):
-    """A book for each document: lines become heads, paragraphs, verse, quotes, notes and page breaks; a third of the books has divisions, a third a front part, which may come after the body."""
+    """A book for each document: lines become heads, paragraphs, verse, quotes, notes and page breaks; a third of the books has divisions, a third a front part, which may come after the body; some values are in single quotes or hold signs of markup, some texts are character data, and half of the headers have a prefix."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), "source", F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "").alias("lines"))
     n, kind = F.size("lines"), F.col("work_id") % 3
 
@@ -32,11 +32,13 @@ def _works(spark, d, body_first=False):
         k, number = (F.col("work_id") + i) % 8, i.cast("string")
         p = F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>"))
         pb = F.concat(F.lit('<pb n="'), number, F.lit('"/>'))
+        quoted = F.concat(F.lit("<pb ed='n=\"0\" >' n = '"), number, F.lit("' />"))
+        verbatim = F.concat(F.lit("""<p rend="a>b" n='"'><![CDATA["""), F.replace(x, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]><note/></p>"))
         e = (
-            F.when(k == 0, F.concat(F.lit("<head>"), _escaped(x), F.lit("</head>"))).when(k == 1, F.concat(pb, p)).when(k == 2, F.concat(F.lit("<pb/>"), p))
+            F.when(k == 0, F.concat(F.lit("<head>"), _escaped(x), F.lit("</head>"))).when(k == 1, F.concat(quoted, p)).when(k == 2, F.concat(F.lit("<pb/>"), p))
             .when(k == 3, F.concat(F.lit("<p>"), _escaped(F.substr(x, F.lit(1), F.lit(10))), pb, F.lit("<hi>"), _escaped(F.substr(x, F.lit(11))), F.lit("</hi></p>")))
             .when(k == 4, F.concat(F.lit("<lg><l>"), _escaped(x), F.lit("</l></lg>"))).when(k == 5, F.lit("<p> </p>"))
-            .when(k == 6, F.concat(F.lit("<p><quote>"), _escaped(x), F.lit("</quote></p>"))).when(k == 7, F.concat(F.lit("<p>"), _escaped(x), F.lit("<note/></p>"))).otherwise(p)
+            .when(k == 6, F.concat(F.lit("<p><quote>"), _escaped(x), F.lit("</quote></p>"))).when(k == 7, verbatim).otherwise(p)
         )
         wrapped = (kind == 1) | ((kind == 2) & (F.floor(i / 4) % 2 == 0))
         types = F.element_at(F.array(F.lit(' type="chapter"'), F.lit(' type="preface"'), F.lit("")), (F.floor(i / 4) % 3 + 1).cast("int"))
@@ -48,7 +50,8 @@ def _works(spark, d, body_first=False):
     body = F.when((kind == 2) & (n > 0), F.concat(F.lit("<text>"), body, F.lit("</body></text>"))).otherwise(F.concat(F.lit("<text><body>"), body, F.lit("</body></text>")))
     if body_first:
         body = F.regexp_replace(body, "(?s)(<front>.*</front>)(<body>.*</body>)", "$2$1")
-    head = F.concat(F.lit("<TEI><teiHeader><titleStmt><title>Livre "), F.col("work_id").cast("string"), F.lit(" <hi>de</hi>  "), F.col("source"), F.lit("</title><title>Autre &amp; titre</title></titleStmt><publicationStmt><date>19"), F.lpad((F.col("work_id") % 100).cast("string"), 2, "0"), F.lit("</date></publicationStmt><sourceDesc><p>Tiré de "), F.col("source"), F.lit(" http://x</p></sourceDesc></teiHeader>"))
+    head = F.concat(F.lit("<TEI xmlns='http://www.tei-c.org/ns/1.0' xmlns:tei=\"http://www.tei-c.org/ns/1.0\"><teiHeader><titleStmt><title>Livre "), F.col("work_id").cast("string"), F.lit(" <hi>de</hi>  "), F.col("source"), F.lit("</title><title>Autre &amp; titre</title></titleStmt><publicationStmt><date>19"), F.lpad((F.col("work_id") % 100).cast("string"), 2, "0"), F.lit("</date></publicationStmt><sourceDesc><p>Tiré de "), F.col("source"), F.lit(" http://x</p></sourceDesc></teiHeader>"))
+    head = F.when(F.col("work_id") % 2 == 1, F.regexp_replace(head, "<(/?)(teiHeader|titleStmt|title|publicationStmt|date|sourceDesc|p)(?=>)", "<$1tei:$2")).otherwise(head)
     return docs.select("work_id", "source", F.concat(head, body, F.lit("<!-- fin --></TEI>")).alias("markup"))
 
 
@@ -80,7 +83,7 @@ def scan_markup(spark, d):
     """Works written to files, line ends and all, parted by a sign that no text has, and read back: breaks and divisions of each, and its line ends."""
     path, between = files.scratch(spark, "markup"), "\u241e"
     _works(spark, d).select(F.concat("markup", F.lit("\n")).alias("value")).write.text(path, lineSep=between)
-    back = M.read_works(spark, path, between).select(F.regexp_extract("markup", "<title>Livre ([0-9]+)", 1).cast("bigint").alias("work_id"), "markup")
+    back = M.read_works(spark, path, between).select(F.regexp_extract("markup", "title>Livre ([0-9]+)", 1).cast("bigint").alias("work_id"), "markup")
     return M.token_stream(back).groupBy("work_id").agg(F.count_if(F.col("starts") & (F.col("tag") == "pb")).alias("n_breaks"), F.count_if(F.col("starts") & (F.col("tag") == "div")).alias("n_divs"), F.sum(F.length("tok") - F.length(F.replace("tok", F.lit("\n")))).cast("bigint").alias("n_lines"))
 
 
@@ -104,7 +107,11 @@ def region_order(spark, d):
 
 
 def header_fields(spark, d):
-    return M.header(_works(spark, d)).withColumn("alt_titles", F.array_join("alt_titles", "|"))
+    """Every fifth book has lost its titles and takes that of the catalogue, which knows every second one."""
+    w = _works(spark, d)
+    known = w.where("work_id % 2 = 0").select("work_id", F.concat(F.lit("Du catalogue : "), "source").alias("title"))
+    lost = w.withColumn("markup", F.when(F.col("work_id") % 5 == 0, F.regexp_replace("markup", "(?s)(titleStmt>).*(</(?:tei:)?titleStmt>)", "$1$2")).otherwise(F.col("markup")))
+    return M.header(lost, known).withColumn("alt_titles", F.array_join("alt_titles", "|"))
 
 
 def page_refs(spark, d):
@@ -226,7 +233,7 @@ ORACLES = {
     "local_name": f"WITH {_L}, t AS (SELECT work_id, unnest(CASE k WHEN 0 THEN ['head'] WHEN 1 THEN ['pb', 'p'] WHEN 2 THEN ['pb', 'p'] WHEN 3 THEN ['pb', 'p'] WHEN 4 THEN ['lg'] ELSE ['p'] END) AS tag FROM lb UNION ALL SELECT work_id, 'p' FROM ls) SELECT work_id, tag, count(*) AS n FROM t GROUP BY ALL",
     "text_required": "SELECT doc_id AS work_id, doc_id % 7 <> 0 AS taken FROM documents",
     "region_order": f"WITH {_L} SELECT work_id, section, index, text FROM par",
-    "header_fields": "SELECT doc_id AS work_id, true AS has_text, 'Livre ' || CAST(doc_id AS VARCHAR) || ' de ' || source AS title, 'Autre & titre' AS alt_titles, '19' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS edition_date, 'Tiré de ' || source || ' http://x' AS source_desc FROM documents",
+    "header_fields": "SELECT doc_id AS work_id, true AS has_text, CASE WHEN doc_id % 10 = 0 THEN 'Du catalogue : ' || source WHEN doc_id % 5 = 0 THEN '' ELSE 'Livre ' || CAST(doc_id AS VARCHAR) || ' de ' || source END AS title, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Autre & titre' END AS alt_titles, '19' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS edition_date, 'Tiré de ' || source || ' http://x' AS source_desc FROM documents",
     "page_refs": f"WITH {_L} SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY i) AS nth, num AS number, label AS display FROM lab WHERE k IN (1, 2, 3)",
     "region_blocks": f"WITH {_L} SELECT work_id, section AS block, region, n_paras FROM blk",
     "section_number": f"WITH {_L} SELECT work_id, section, region, label, coalesce(n_paragraphs, 0) AS n_paragraphs FROM sec LEFT JOIN pg USING (work_id, section)",

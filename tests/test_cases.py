@@ -11,6 +11,7 @@ from quillon.operators import checks, chunking, evaluation, history, markup, mod
 from quillon.plans import signals as signal_plans
 from quillon.sources import files
 
+NONE = "page non numérotée"
 SAMPLE = (
     '<text><front><pb/><pb n="1"/><head>T<pb n="2"/></head><p>alpha</p><head>U</head><p>be<pb n="3"/>ta <i>x</i></p></front>'
     '<body><div type="chapter"><p> </p></div><div type="chapter"><p>gam<pb/>ma</p><lg><l>v1</l><l>v2</l></lg><pb n="5"/></div><div type="chapter"><head>Z</head><p>delta</p></div></body></text>'
@@ -216,6 +217,19 @@ def test_short_passages_are_found(spark):
     items = spark.createDataFrame([(1, "chat dort"), (2, "chat"), (3, "le chat dort ici ce soir"), (4, "chat dort encore"), (5, ""), (6, None), (7, "hat dort ici c")], "item_id long, text string")
     want = {(i, d) for i, t in items.collect() for d, x in docs.collect() if t and x and t in x}
     assert {tuple(r) for r in evaluation.passages_in(docs, items).collect()} == want
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert evaluation.passages_in(docs, none).count() == 0 and evaluation.passages_in(docs.limit(0), items).count() == 0
+
+
+def test_passages_by_their_rarest_window(spark):
+    """A window of every document is joined with no item; no plan explodes beside a text."""
+    common = "the same five words again "
+    docs = spark.createDataFrame([(k, common + f"start{k} of number{k} here") for k in range(50)] + [(60, common + "start7 of number7 hereafter"), (61, "x" + common + "start7 of number7 here")], "chunk_id long, text string")
+    items = spark.createDataFrame([(1, common + "start7 of number7 here"), (2, common + "start99 of number7 here"), (3, "same five words again start8 of"), (4, "ar"), (5, "t7 of")], "item_id long, text string")
+    want = {(i, d) for i, t in items.collect() for d, x in docs.collect() if t in x}
+    assert {tuple(r) for r in evaluation.passages_in(docs, items).collect()} == want and len(want) > 55
+    met = evaluation._by_windows(docs, items.where("item_id < 4").select("item_id", T.tokens(F.col("text")).alias("t")), 5)
+    assert met.where("item_id = 1").count() == 3 and met.where("item_id = 2").count() == 0 and met.where("item_id = 3").count() == 1
 
 
 def test_regions_references_and_prefixes(spark):
@@ -227,6 +241,32 @@ def test_regions_references_and_prefixes(spark):
     assert [r.n for r in spark.createDataFrame([("<tei:p n='1'>",), ("</p>",), ("<lg/>",)], "t string").select(markup.local_name(F.col("t")).alias("n")).collect()] == ["p", "p", "lg"]
 
 
+def test_markup_as_a_parser_reads_it(spark):
+    """CDATA, both quotes, signs of markup in values, prefixes by namespace, comments in texts."""
+    books = {
+        "a": '<text><body><p a="x>y">un</p><p b=\'<q n="7"/>\'>deux</p></body></text>',
+        "b": "<text><body><p><![CDATA[a<b &amp; </p>]]> c</p><p>x<![CDATA[]]>y<!-- > ' -->z</p></body></text>",
+        "c": """<text><body><pb ed="n='9'" n='7'/><p>x</p><pb n = "8" /><p>y</p><pb xml:n="3"/><p>z</p></body></text>""",
+        "d": """<!DOCTYPE TEI [<!ENTITY a "x>y">]><?xml-model href=">"?><tei:TEI xmlns:tei="http://www.tei-c.org/ns/1.0" xmlns:x='urn:other'><tei:teiHeader><tei:titleStmt><tei:title n="a>b">Un <tei:hi>deux</tei:hi></tei:title><tei:title/></tei:titleStmt><tei:publicationStmt><tei:date when='1900'> 1900 <tei:note>n</tei:note></tei:date></tei:publicationStmt><tei:sourceDesc><tei:p><![CDATA[A & B]]></tei:p></tei:sourceDesc></tei:teiHeader><tei:text><tei:body><tei:p>un</tei:p><x:p>deux</x:p><tei:p>trois</tei:p></tei:body></tei:text></tei:TEI>""",
+        "e": "<TEI><teiHeader><titleStmt/></teiHeader><text/></TEI>", "f": "<TEI><!-- <text/> --></TEI>",
+    }
+    w = spark.createDataFrame(list(books.items()), "work_id string, markup string")
+    rows = markup.paragraphs(markup.annotated(markup.token_stream(w))).orderBy("work_id", "index").collect()
+    assert [(r.work_id, r.text, r.page_start) for r in rows if r.work_id != "c"] == [("a", "un", NONE), ("a", "deux", NONE), ("b", "a<b &amp; </p> c", NONE), ("b", "xyz", NONE), ("d", "un", NONE), ("d", "trois", NONE)]
+    assert [(r.text, r.page_start) for r in rows if r.work_id == "c"] == [("x", "7"), ("y", "8"), ("z", "après la p. 8")]
+    heads = {r.work_id: r for r in markup.header(w, spark.createDataFrame([("e", "Du catalogue"), ("d", "autre")], "work_id string, title string")).collect()}
+    assert heads["d"][1:] == (True, "Un deux", [""], "1900", "A & B")
+    assert heads["e"][1:] == (True, "Du catalogue", [], "", "") and heads["f"][1:] == (False, "", [], "", "")
+    assert sorted(r.work_id for r in markup.with_text(w)[0].collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_descriptions_are_cut_before_they_are_folded(spark):
+    from quillon.operators import audit
+
+    rows = spark.createDataFrame([("Matin", "HTTP://x matin"), ("Matin", "http://x matin"), ("Matin", "MATIN http://x"), ("le", None), ("Éveil", "l'éveil")], "t string, d string")
+    assert [r[0] for r in rows.select(audit.title_matches(F.col("t"), F.col("d"))).collect()] == [True, False, True, True, True]
+
+
 def test_works_are_read_whole(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<TEI>\n<text/>\n</TEI>")
     (tmp_path / "b.xml").write_text("<TEI/>")
