@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from .common import as_bytes, bounded_batches, documents, mix, staged, word_hash
 from .context_tree import packed, unpacked
 
 LEAST, SHARE, TOP, LONGEST = 30, 80, 2000, 4
-#: Places whose windows a task holds at once, and distinct words after which it numbers words anew.
-PLACES, WORDS = 4_000_000, 500_000
+#: Places whose windows a task works on at once, distinct words after which it numbers words anew, and what it gathers before it hands on.
+PLACES, WORDS, HELD = 1_000_000, 500_000, 4_000_000
 #: Buckets for phrases of each length as a power of two, and of those the ones that are summed together.
 BUCKET_BITS, CHUNK_BITS = 26, 20
 #: Sub-tables in which a language's best are found before they meet.
@@ -37,19 +38,22 @@ U = np.uint64
 
 
 class Places:
-    """Numbered words of many texts in order, 0 between pieces, and the language of each."""
+    """Numbered words of texts in order, 0 between pieces, and the language of each; the numbers stay while texts come and go."""
 
     _same = bytes.maketrans(BREAKS + b"\t", b"\n" * len(BREAKS) + b" ")
 
-    def __init__(self, limit: int = PLACES):
-        self.limit = limit
+    def __init__(self):
         self.words: defaultdict[bytes, int] = defaultdict()
         self.words.default_factory = self.words.__len__
+        self.hashes = np.zeros(0, np.uint64)
         self.langs: dict[str, int] = {}
+        self.words[b"\n"], self.words[b""]  # 0 and 1
+        self.clear()
+
+    def clear(self) -> None:
         self.parts: list[np.ndarray] = []
         self.of: list[tuple[int, int]] = []
         self.size = 0
-        self.words[b"\n"], self.words[b""]  # 0 and 1
 
     def add(self, text: bytes, lang: str) -> None:
         tokens = text.lower().translate(self._same).replace(b"\n", b" \n ").split(b" ")
@@ -60,8 +64,8 @@ class Places:
         self.size += len(ids)
 
     @property
-    def full(self) -> bool:
-        return self.size >= self.limit or len(self.words) >= WORDS or len(self.langs) >= 1 << 15
+    def crowded(self) -> bool:
+        return len(self.words) >= WORDS or len(self.langs) >= 1 << 15
 
     def windows(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """Language and the four words of each place that has a word, 0 as padding."""
@@ -75,48 +79,61 @@ class Places:
 
     def buckets(self, lang: np.ndarray, held: list[np.ndarray], bucket_bits: int) -> list[np.ndarray]:
         """The bucket of the first one, two, three and four words of each window; only of use where it is that long."""
-        h = word_hashes(list(self.words))
+        self.hashes = np.append(self.hashes, word_hashes(list(islice(self.words, len(self.hashes), None))))
         g, out = word_hashes([s.encode() for s in self.langs])[lang], []
         for w in held:
-            g = mix(g, h[w])
+            g = mix(g, self.hashes[w])
             out.append((g >> U(64 - bucket_bits)).astype(np.uint32))
         return out
 
 
-def filled(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Places]:
-    """The texts of a task as ``Places`` of bounded size; a very long text is in one."""
-    places = Places(limit)
+def sliced(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Places, bool]]:
+    """The texts of a task in slices of ``limit`` places, a very long text in one; true with the last one before words are numbered anew."""
+    places = Places()
     for b in batches:
         for text, lang in zip(as_bytes(b.column("text")), b.column("lang").to_pylist()):
             if text:
                 places.add(text, lang)
-            if places.full:
-                yield places
-                places = Places(limit)
-    if places.size:
-        yield places
+            if places.size >= limit or places.crowded:
+                crowded = places.crowded
+                yield places, crowded
+                places.clear()
+                if crowded:
+                    places = Places()
+    yield places, True
 
 
 def possible(texts: DataFrame, least: int, bucket_bits: int = BUCKET_BITS, limit: int = PLACES) -> list[np.ndarray]:
     """For each length a bit for each bucket: whether phrases of it are ``least`` or more.  At most 4 * 2**bucket_bits bits come to the driver."""
     chunk_bits = min(CHUNK_BITS, bucket_bits)
 
-    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for places in filled(it, limit):
-            lang, held = places.windows()
-            rows = []
-            for n, (g, w) in enumerate(zip(places.buckets(lang, held, bucket_bits), held)):
-                bucket, count = np.unique(g[w > 0], return_counts=True)
+    def blobs_of(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        rows = []
+        for n, parts in enumerate(held):
+            bucket, count = np.unique(np.concatenate(parts), return_counts=True)
+            if len(bucket):
                 chunk = bucket >> chunk_bits
                 cut = np.flatnonzero(np.diff(chunk)) + 1
-                if len(bucket):
-                    first = chunk[np.append(0, cut)].tolist()
-                    count = np.minimum(count, least).astype(np.uint32)
-                    step = np.diff(bucket, prepend=np.uint32(0)).astype(np.uint32)
-                    step[np.append(0, cut)] = bucket[np.append(0, cut)] & ((1 << chunk_bits) - 1)
-                    rows += [(n, c, packed(s), packed(k)) for c, s, k in zip(first, np.split(step, cut), np.split(count, cut))]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["n", "chunk", "steps", "counts"])
+                start = np.append(0, cut)
+                count = np.minimum(count, least).astype(np.uint32)
+                step = np.diff(bucket, prepend=np.uint32(0)).astype(np.uint32)
+                step[start] = bucket[start] & ((1 << chunk_bits) - 1)
+                rows += [(n, c, packed(s), packed(k)) for c, s, k in zip(chunk[start].tolist(), np.split(step, cut), np.split(count, cut))]
+        columns = list(zip(*rows)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["n", "chunk", "steps", "counts"])
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [[] for _ in range(LONGEST)], 0
+        for places, _ in sliced(it, limit):
+            lang, ws = places.windows()
+            for mine, g, w in zip(held, places.buckets(lang, ws, bucket_bits), ws):
+                mine.append(g[w > 0])
+            size += places.size
+            if size >= HELD:
+                yield blobs_of(held)
+                held, size = [[] for _ in range(LONGEST)], 0
+        if size:
+            yield blobs_of(held)
 
     def summed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
@@ -154,8 +171,8 @@ def cut(places: Places, bits: list[np.ndarray]) -> tuple[np.ndarray, list[np.nda
     return lang, [np.where(ok, w, 0) for ok, w in zip(good, held)]
 
 
-def distinct(lang: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """The distinct windows and their counts."""
+def distinct(lang: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows as two numbers, language and first two words, and the last two words; and their counts."""
     a = (lang << 48) | (held[0].astype(np.int64) << 24) | held[1]
     b = (held[2].astype(np.int64) << 24) | held[3]
     short = b == 0
@@ -164,9 +181,16 @@ def distinct(lang: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, list
     lefts, left = np.unique(a[~short], return_inverse=True)
     rights, right = np.unique(b[~short], return_inverse=True)
     two, n_two = np.unique((left << 32) | right, return_counts=True)
-    a, b = np.append(one, lefts[two >> 32]), np.append(np.zeros_like(one), rights[two & 0xFFFFFFFF])
-    low = (1 << 24) - 1
-    return a >> 48, [(a >> 24) & low, a & low, b >> 24, b & low], np.append(n_one, n_two)
+    return np.append(one, lefts[two >> 32]), np.append(np.zeros_like(one), rights[two & 0xFFFFFFFF]), np.append(n_one, n_two)
+
+
+def merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of several slices, with the sums of their counts."""
+    a, b, n = map(np.concatenate, zip(*found))
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+    return a[start], b[start], np.add.reduceat(n, start) if len(a) else n
 
 
 def window_counts(texts: DataFrame, least: int, bucket_bits: int = BUCKET_BITS, limit: int = PLACES) -> DataFrame:
@@ -174,15 +198,26 @@ def window_counts(texts: DataFrame, least: int, bucket_bits: int = BUCKET_BITS,
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(possible(texts, least, bucket_bits, limit))
 
+    def rows_of(places: Places, found: list) -> Iterator[pa.RecordBatch]:
+        a, b, n = merged(found)
+        low = (1 << 24) - 1
+        words = pa.array([b"", b"", *islice(places.words, 2, None)], pa.binary()).cast(pa.string())
+        langs = pa.array(list(places.langs), pa.string())
+        for k in range(0, len(n), 100_000):
+            x, y = a[k : k + 100_000], b[k : k + 100_000]
+            columns = [words.take(pa.array(w)) for w in ((x >> 24) & low, x & low, y >> 24, y & low)]
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(x >> 48)), *columns, pa.array(n[k : k + 100_000])], names=["lang", *COLUMNS, "n"])
+
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for places in filled(it, limit):
-            lang, held, n = distinct(*cut(places, shared.value))
-            words = [b"", b"", *list(places.words)[2:]]
-            words = pa.array(words, pa.binary()).cast(pa.string())
-            langs = pa.array(list(places.langs), pa.string())
-            for k in range(0, len(n), 100_000):
-                part = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[part])), *(words.take(pa.array(w[part])) for w in held), pa.array(n[part])], names=["lang", *COLUMNS, "n"])
+        found: list = []
+        for places, end in sliced(it, limit):
+            if places.size:
+                found.append(distinct(*cut(places, shared.value)))
+            if len(found) >= 8:
+                found = [merged(found)]
+            if found and (end or len(found[0][0]) >= HELD):
+                yield from rows_of(places, found)
+                found = []
 
     rows = texts.mapInArrow(counted, "lang string, w1 string, w2 string, w3 string, w4 string, n bigint")
     return rows.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
