@@ -42,8 +42,13 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with rows of ``new`` in place of those with their keys; the same ``new`` again changes nothing."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys))
+    """``old`` with rows of ``new`` in place of those with their keys, as one query; the same ``new`` again changes nothing.
+
+    Of rows of ``new`` with one key the greatest in its other columns counts.  A table that is kept is changed by ``KeyedTable``.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    last = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("row")).select(*keys, *(F.col(f"row.`{c}`").alias(c) for c in rest)) if rest else new.distinct()
+    return old.join(last.select(*keys), keys, "left_anti").unionByName(last)
 
 
 def with_parent(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:

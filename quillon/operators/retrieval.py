@@ -20,8 +20,10 @@ from quillon.sources import files
 RRF_K = 1
 PREFETCH = 50
 POOL = 15
-#: Rows of queries, and of vectors, that meet in one block.
-QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
+#: Blocks of postings for each unit of weight, and postings, as a multiple of the hits asked for, from which a query's floor comes.
+BLOCKS, SEEDS = 8, 64
+#: Rows of queries, and of vectors, that meet in one block; cells at most, and what a distance may be off.
+QUERY_BLOCK, VECTOR_BLOCK, CELLS, MARGIN = 1024, 4096, 1024, 1e-4
 
 
 def top(hits: DataFrame, limit: int, score: str = "score", by: str = "query_id", key: str = "chunk_id") -> DataFrame:
@@ -30,51 +32,197 @@ def top(hits: DataFrame, limit: int, score: str = "score", by: str = "query_id",
     return hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= limit)
 
 
-def sparse_topk(queries: DataFrame, posts: DataFrame, idf: DataFrame, limit: int = 10) -> DataFrame:
-    """BM25 top ``limit``: an equi-join of query terms with postings, never queries with chunks.
+def term_blocks(posts: DataFrame) -> DataFrame:
+    """``term, block, n, peak``: the postings of each term in blocks of like weight, with their number and largest weight."""
+    return posts.groupBy("term", block_of(F.col("weight")).alias("block")).agg(F.count("*").alias("n"), F.max("weight").alias("peak"))
 
-    ``queries(query_id, term)``, ``posts(chunk_id, term, weight)``, ``idf(term, idf)``.
-    """
-    asked = queries.select("query_id", "term")
-    wanted = idf.select("term", "idf").join(checked(asked), "term")
-    scored = posts.join(checked(wanted), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
-    return top(scored, limit)
-
-
-def dense_topk(queries: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
-    """Exact cosine top ``limit`` of ``vectors(chunk_id, vector)`` for each of ``queries(query_id, vector)``.
 
-    Both sides are packed into blocks of rows; each block of vectors meets each block of queries by number, one matrix product
-    for the two, and only a block's best rows go on.  Rows without a vector are left out; a vector of zeros has cosine 0.
-    """
-    kq, kv = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+def block_of(weight: Column) -> Column:
+    return F.floor(weight * BLOCKS).cast("int")
 
-    def packed(df: DataFrame, rows: int, key: str, name: str) -> tuple[DataFrame, int]:
-        df = df.where("vector is not null").select(key, F.col("vector").cast("array<double>").alias("v"))
-        n = max(1, -(-df.count() // rows))
-        lots = df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"{name}_lot"))
-        return lots.agg(F.collect_list(F.struct(F.col(key).alias("id"), "v")).alias(name)), n
 
-    left, n_left = packed(queries.select("query_id", "vector"), QUERY_BLOCK, "query_id", "qs")
-    right, _ = packed(vectors.select("chunk_id", "vector"), VECTOR_BLOCK, "chunk_id", "vs")
-    right = right.withColumn("qs_lot", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    pairs = right.join(F.broadcast(left) if n_left * QUERY_BLOCK <= SMALL // 4 else left.hint("merge"), "qs_lot").select("qs", "vs")
+def bounded_blocks(queries: DataFrame, posts: DataFrame, idf: DataFrame, blocks: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """``query_id, term, gain`` of the asked terms that occur, and ``query_id, term, block, gain, rest, floor`` of the blocks that may hold a hit.
 
-    def unit(rows) -> tuple[np.ndarray, np.ndarray]:
-        m = np.array([r["v"] for r in rows], float)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.array([r["id"] for r in rows]), m / np.where(norm > 0, norm, 1.0)
+    A block can add gain * peak at most.  The blocks that can add most, those of rare terms, are read first, until they hold SEEDS
+    times ``limit`` postings; the scores of the best chunks in them give each query a floor that a hit must reach.  A term is passed
+    over if it can't reach the floor together with all that can add less, and a block if it can't with the most of all other terms.
+    ``rest`` is what the terms that are passed over can add.
+    """
+    asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    wanted = files.staged(idf.select("term", "idf").join(checked(asked), "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("gain")), "wanted")
+    held = files.staged(blocks.join(checked(wanted), "term").select("query_id", "term", "block", "n", "gain", (F.col("gain") * F.col("peak")).alias("most")), "blocks")
+    # a query has as many terms as its text, and a term as many blocks as there are weights: windows of a few hundred rows
+    first = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "term", "block").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = held.withColumn("before", F.coalesce(F.sum("n").over(first), F.lit(0))).where(F.col("before") < SEEDS * limit)
+    floor = _floors(_joined(seeds, posts), wanted, posts, limit)
+    terms = held.groupBy("query_id", "term").agg(F.max("most").alias("peak")).join(floor.hint("merge"), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    upto = Window.partitionBy("query_id").orderBy("peak", "term").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("query_id")
+    terms = terms.withColumns({"upto": F.sum("peak").over(upto), "total": F.sum("peak").over(whole)})
+    over = F.col("upto") < F.col("floor")
+    terms = terms.withColumn("rest", F.coalesce(F.sum(F.when(over, F.col("peak"))).over(whole), F.lit(0.0))).where(~over)
+    chosen = held.join(terms.select("query_id", "term", "peak", "total", "rest", "floor").hint("merge"), ["query_id", "term"]).where(F.col("most") + F.col("total") - F.col("peak") >= F.col("floor"))
+    return wanted, files.staged(chosen.select("query_id", "term", "block", "gain", "rest", "floor"), "chosen")
+
+
+def _floors(hits: DataFrame, wanted: DataFrame, posts: DataFrame, limit: int) -> DataFrame:
+    """``query_id, floor``: what a query's best by part of their score have in full, the least of ``limit``; 0 for fewer."""
+    best = top(hits.select("query_id", "chunk_id", "score"), limit).select("query_id", "chunk_id")
+    least = F.when(F.count("*") >= limit, F.min("score") - 1e-8).otherwise(0.0)
+    return files.staged(_scored(best, wanted, posts).groupBy("query_id").agg(least.alias("floor")), "floors")
+
+
+def _joined(chosen: DataFrame, posts: DataFrame) -> DataFrame:
+    """Sums over the postings of chosen blocks, ``query_id, chunk_id, score`` and whatever else a query's rows have in common."""
+    common = [c for c in ("rest", "floor") if c in chosen.columns]
+    met = posts.withColumn("block", block_of(F.col("weight"))).join(checked(chosen), ["term", "block"])
+    return met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("gain")).alias("score"), *(F.first(c).alias(c) for c in common))
+
+
+def _scored(pairs: DataFrame, wanted: DataFrame, posts: DataFrame) -> DataFrame:
+    """Whole scores of pairs of query and chunk."""
+    asked = files.staged(pairs.join(wanted.hint("merge"), "query_id").select("query_id", "chunk_id", "term", "gain"), "asked")
+    return posts.join(checked(asked), ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("gain")).alias("score"))
+
+
+def sparse_topk(queries: DataFrame, posts: DataFrame, idf: DataFrame, limit: int = 10, blocks: DataFrame | None = None) -> DataFrame:
+    """BM25 top ``limit``: an equi-join of query terms with the blocks of postings that may hold a hit, never queries with chunks.
+
+    ``queries(query_id, term)``, ``posts(chunk_id, term, weight)``, ``idf(term, idf)`` with no negative number, and ``term_blocks``
+    of the postings.  Nothing is lost: what is passed over can't reach the ``limit`` best, by bounds (``bounded_blocks``); chunks that
+    still may are scored in full.
+    """
+    blocks = files.staged(term_blocks(posts), "blocks") if blocks is None else blocks
+    wanted, chosen = bounded_blocks(queries, posts, idf, blocks, limit)
+    able = files.staged(_joined(chosen, posts), "able")
+    # most of the score is known by now, so its best give a higher floor
+    higher = _floors(able, wanted, posts, limit).withColumnRenamed("floor", "higher")
+    able = able.join(higher.hint("merge"), "query_id").where(F.col("score") + F.col("rest") >= F.greatest("floor", "higher")).select("query_id", "chunk_id")
+    return top(_scored(able, wanted, posts), limit)
+
+
+def units(df: DataFrame, key: str) -> DataFrame:
+    """``id, v, norm``: rows with an id and a vector of finite components, scaled to length one; a vector of zeros stays."""
+    v = F.col("vector").cast("array<double>")
+    # NaN is above infinity in Spark's order
+    sound = F.col(key).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+    rows = df.select(F.col(key).alias("id"), v.alias("v"), sound.alias("sound")).where("sound").select("id", "v", norm.alias("norm"))
+    return rows.select("id", F.transform("v", lambda x: x / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("v"), "norm")
+
+
+class Cells:
+    """Vectors of length one in cells around centres that a hash of their ids chooses, each with its largest distance to the centre.
+
+    Centres, counts and distances are bounded by CELLS and come to the driver; vectors don't.  Vectors of zeros, and those of a length
+    that no centre has, are in a cell that is always searched.  Only vectors of one length meet.
+    """
 
-    def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for qs, vs in zip(pdf["qs"], pdf["vs"]):
-                (qi, q), (vi, v) = unit(qs), unit(vs)
-                by = np.argsort(vi, kind="stable")
-                vi, cos = vi[by], np.round(q @ v[by].T, 9)
-                best = np.argsort(-cos, axis=1, kind="stable")[:, :limit]
-                yield pd.DataFrame({"query_id": np.repeat(qi, best.shape[1]), "chunk_id": vi[best].ravel(), "score": np.take_along_axis(cos, best, 1).ravel()})
+    def __init__(self, vectors: DataFrame, kept=None):
+        """``kept(name, build)`` as for ``Corpus``."""
+        kept = kept or (lambda name, build: files.staged(build(), name))
+        self.key_type = vectors.schema["chunk_id"].dataType.simpleString()
+        rows = kept("units", lambda: units(vectors.select("chunk_id", "vector"), "chunk_id"))
+        n = min(CELLS, int(rows.count() ** 0.5) + 1)
+        centres = [np.array(r.v) for r in rows.where("norm > 0").orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(n).select("v").collect()]
+        self.centres = {d: np.stack([c for c in centres if len(c) == d]) for d in {len(c) for c in centres}}
+        centres_of = self.centres
+
+        def placed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                for d, part in pdf.groupby(pdf["v"].map(len)):
+                    part = part.assign(dim=d, cell=-1, far=np.inf)
+                    if d in centres_of:
+                        away = distances(np.stack(part["v"]), centres_of[d])
+                        near = np.where(part["norm"] > 0, away.argmin(1), -1)
+                        part = part.assign(cell=near, far=np.where(near >= 0, away.min(1), np.inf))
+                    yield part[["id", "v", "dim", "cell", "far"]]
+
+        self.rows = kept("cells", lambda: rows.mapInPandas(placed, f"id {self.key_type}, v array<double>, dim int, cell int, far double"))
+        sizes = self.rows.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
+        self.sizes = {(r.dim, r.cell): (r.n, r.far) for r in sizes}
+
+    def near(self, queries: DataFrame, limit: int, reach: bool) -> DataFrame:
+        """``id, v, dim, cell``: the cells that each of ``queries(id, v, norm[, reach])`` is to search.
+
+        First the nearest ones that hold ``limit`` vectors; with ``reach``, the distance of the last hit in those, all others that
+        may hold a nearer vector, by the triangle inequality.  A query of zeros is as near to all.
+        """
+        sizes, centres_of = self.sizes, self.centres
+
+        def chosen(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                out = []
+                for q in pdf.itertuples():
+                    d = len(q.v)
+                    cells = [c for k, c in sizes if k == d]
+                    away = np.zeros(len(cells))
+                    if d in centres_of and q.norm > 0:
+                        from_centres = distances(np.array(q.v)[None], centres_of[d])[0]
+                        away = np.array([from_centres[c] if c >= 0 else 0.0 for c in cells])
+                    order = np.argsort(away, kind="stable")
+                    held = np.cumsum([sizes[d, cells[k]][0] for k in order])
+                    # the cells before the one that fills up, and that one; all for a query of zeros
+                    first = int(np.searchsorted(held, limit)) + 1 if q.norm > 0 else len(cells)
+                    if reach:
+                        take = [k for k in order[first:] if away[k] - sizes[d, cells[k]][1] <= q.reach + MARGIN]
+                    else:
+                        take = order[:first]
+                    out += [(q.id, q.v, d, cells[k]) for k in take]
+                yield pd.DataFrame(out, columns=["id", "v", "dim", "cell"])
+
+        kind = queries.schema["id"].dataType.simpleString()
+        return queries.mapInPandas(chosen, f"id {kind}, v array<double>, dim int, cell int")
+
+    def search(self, asked: DataFrame, limit: int) -> DataFrame:
+        """Best ``limit`` of each block of a cell's vectors for each query that searches it: ``query_id, chunk_id, score``."""
+        kind = asked.schema["id"].dataType.simpleString()
+
+        def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+            sizes = files.staged(df.groupBy("dim", "cell").agg(F.count("*").alias("n")), "sizes").withColumnsRenamed({"dim": "of_dim", "cell": "of_cell"})
+            df = df.join(checked(sizes), (F.col("dim") == F.col("of_dim")) & (F.col("cell") == F.col("of_cell")))
+            lot = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / rows))
+            return df.groupBy("dim", "cell", lot.alias(f"{name}_lot")).agg(F.collect_list(F.struct("id", "v")).alias(name))
+
+        left, right = files.staged(blocks(asked, QUERY_BLOCK, "qs"), "asked"), blocks(self.rows.select("id", "v", "dim", "cell"), VECTOR_BLOCK, "vs")
+        pairs = right.join(checked(left, 64), ["dim", "cell"]).select("qs", "vs")
+
+        def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                for qs, vs in zip(pdf["qs"], pdf["vs"]):
+                    vi = np.array([r["id"] for r in vs])
+                    by = np.argsort(vi, kind="stable")
+                    v = np.array([vs[k]["v"] for k in by])
+                    cos = np.round(np.array([r["v"] for r in qs]) @ v.T, 9)
+                    best = np.argsort(-cos, axis=1, kind="stable")[:, :limit]
+                    qi = np.array([r["id"] for r in qs])
+                    yield pd.DataFrame({"query_id": np.repeat(qi, best.shape[1]), "chunk_id": vi[by][best].ravel(), "score": np.take_along_axis(cos, best, 1).ravel()})
+
+        return pairs.mapInPandas(compare, f"query_id {kind}, chunk_id {self.key_type}, score double")
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between rows of length one."""
+    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, limit: int = 10, cells: Cells | None = None) -> DataFrame:
+    """Exact cosine top ``limit`` of ``vectors(chunk_id, vector)`` for each of ``queries(query_id, vector)``.
 
-    return top(pairs.mapInPandas(compare, f"query_id {kq}, chunk_id {kv}, score double"), limit)
+    A query searches the nearest cells first; the distance of its last hit there rules out cells that lie farther than that beyond
+    their radius (``Cells``).  Blocks of queries and of vectors of a cell meet for one matrix product.  Rows without an id or a
+    vector, and vectors with a component that is null, NaN or infinite, are left out; vectors of unlike length don't meet; a vector
+    of zeros has cosine 0.
+    """
+    cells = cells or Cells(vectors)
+    asked = files.staged(units(queries.select("query_id", "vector"), "query_id"), "asked")
+    first = files.staged(top(cells.search(cells.near(asked, limit, False), limit), limit), "first")
+    last = F.when(F.count("*") >= limit, F.sqrt(F.greatest(2 - 2 * F.min("score"), F.lit(0.0)))).otherwise(float("inf"))
+    reach = first.groupBy(F.col("query_id").alias("id")).agg(last.alias("reach"))
+    wider = asked.join(reach.hint("merge"), "id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    rest = cells.search(files.staged(cells.near(wider, limit, True), "near"), limit)
+    return top(first.drop("rank").unionByName(rest), limit)
 
 
 def rrf_fuse(*channels: DataFrame, k: float | Column = RRF_K, limit: int = 10, prefetch: int = PREFETCH) -> DataFrame:
@@ -119,14 +267,16 @@ class Corpus:
         kept = kept or (lambda name, build: files.staged(build(), name))
         self.posts = kept("postings", lambda: W.postings(chunks))
         self.idf = kept("idf", lambda: W.term_idf(self.posts, chunks.agg(F.count("*").alias("n"))))
+        self.blocks = lambda: kept("blocks", lambda: term_blocks(self.posts))
         self.vectors = lambda: kept("vectors", lambda: W.vectors(chunks, "chunk_id"))
+        self.cells = lambda: Cells(self.vectors(), kept)
 
     def sparse(self, queries: DataFrame, limit: int = PREFETCH) -> DataFrame:
-        return sparse_topk(W.query_terms(queries), self.posts, self.idf, limit)
+        return sparse_topk(W.query_terms(queries), self.posts, self.idf, limit, self.blocks())
 
     def hashed(self, queries: DataFrame, limit: int = PREFETCH) -> DataFrame:
         """Cosine of hashed term vectors; chunks that share no bucket with the query are no hits."""
-        return dense_topk(W.vectors(queries, "query_id"), self.vectors(), limit).where("score > 0")
+        return dense_topk(W.vectors(queries, "query_id"), self.vectors(), limit, self.cells()).where("score > 0")
 
     def retrieve(self, queries: DataFrame, top_k: int = 10, pool: int = POOL, k: float = RRF_K, reranked: bool = True) -> DataFrame:
         """Both channels, fused to a pool of max(top_k, pool), reranked, cut at ``top_k``."""

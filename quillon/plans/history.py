@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators import history as H
 from quillon.operators.ranks import ranked
 from quillon.sources import files
+from quillon.sources.keyed import KeyedTable
 from quillon.sources.tables import table
 
 
@@ -50,19 +51,33 @@ def retrieved_replace(spark, d):
     return H.replaced(part("view"), part("signup"), "turn_id")
 
 
+def _in_two_parts(spark, name, rows, keys, order):
+    """A keyed table that got its rows in two upserts, the later half of the events after the earlier one."""
+    rows = files.staged(rows, name)
+    half = rows.agg(F.floor(F.avg(order))).first()[0] or 0
+    kept = KeyedTable.create(spark, files.scratch(spark, f"{name}-table"), rows.schema, keys)
+    kept.upsert(rows.where(F.col(order) <= half), order)
+    kept.upsert(rows.where(F.col(order) > half), order)
+    return kept.read()
+
+
 def judgment_upsert(spark, d):
+    return _in_two_parts(spark, "judgments", _judgments(spark, d).select("turn_id", "chunk_id", "label", "event_id"), ["turn_id", "chunk_id"], "event_id")
+
+
+def _latest_judgments(spark, d):
     return files.latest(_judgments(spark, d), ["turn_id", "chunk_id"], "event_id").select("turn_id", "chunk_id", "label", "event_id")
 
 
 def judgment_load(spark, d):
-    j = judgment_upsert(spark, d).groupBy("turn_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chunk_id", "label")))).alias("judgments"))
+    j = _latest_judgments(spark, d).groupBy("turn_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chunk_id", "label")))).alias("judgments"))
     shown = F.array_join(F.transform(F.array_sort(F.map_keys("judgments")), lambda c: F.concat(c.cast("string"), F.lit("="), F.col("judgments")[c])), ",")
     return j.select("turn_id", F.size("judgments").cast("bigint").alias("n"), shown.alias("judgments"))
 
 
 def judgment_default(spark, d):
     """Whose judgments a request uses: its own map, even empty; else the turn's stored ones, null if there are none."""
-    stored = judgment_upsert(spark, d).groupBy("turn_id").agg(F.count("*").alias("n_stored"))
+    stored = _latest_judgments(spark, d).groupBy("turn_id").agg(F.count("*").alias("n_stored"))
     o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 2).alias("n_given"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("turn_id"))
     j = o.join(stored, "turn_id", "left")
     return j.select("o_orderkey", F.when(F.col("n_given").isNotNull(), "given").when(F.col("n_stored").isNotNull(), "stored").otherwise("none").alias("used"), F.coalesce("n_given", "n_stored").alias("n"))
@@ -78,7 +93,7 @@ def generation_append(spark, d):
 
 def evaluation_upsert(spark, d):
     rows = _events(spark, d).select((F.col("user_id") * 11).alias("c_custkey"), "event_id", "value")
-    return files.latest(H.with_parent(rows, table(spark, d, "customer"), "c_custkey"), ["c_custkey"], "event_id")
+    return _in_two_parts(spark, "evaluations", H.with_parent(rows, table(spark, d, "customer"), "c_custkey"), ["c_custkey"], "event_id")
 
 
 def evaluate_pending(spark, d):
@@ -177,7 +192,10 @@ def index_upsert(spark, d):
     """Points keyed by id: documents of even id are in the index, then all are upserted with a new mark; the second time adds nothing."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "source")
     old, new = docs.where("point_id % 2 = 0").withColumn("mark", F.lit("old")), docs.withColumn("mark", F.lit("new"))
-    return H.upserted(H.upserted(old, new, ["point_id"]), new, ["point_id"])
+    index = KeyedTable.create(spark, files.scratch(spark, "points"), new.schema, ["point_id"])
+    for rows in (old, new, new):
+        index.upsert(rows)
+    return index.read()
 
 
 QUERIES = {f.__name__: f for f in (turn_resolve, retrieved_replace, judgment_upsert, judgment_load, judgment_default, generation_append, evaluation_upsert, evaluate_pending, generation_evidence, chunk_rehydrate, point_lookup, vector_lookup, turn_generations, turn_retrieved, conversation_turns, lookup_or_reject, first_query, conversation_list, conversation_rename, conversation_delete, turn_detail, schema_backfill, index_upsert)}

@@ -15,6 +15,7 @@ from quillon.plans import markup as MP
 from quillon.plans import retrieval as RQ
 from quillon.plans import sql as S
 from quillon.sources import files
+from quillon.sources.keyed import KeyedTable
 from quillon.sources.tables import table
 
 
@@ -91,12 +92,11 @@ def index_create(spark, d):
 
 def index_job(spark, d):
     """Load, normalise, weigh, embed and upsert by point id, twice over; what the index then holds, by work."""
-    path, points = files.scratch(spark, "index"), files.staged(_points(spark, d), "points")
-    old = W.ensure_index(spark, path, POINT)
-    once = files.staged(H.upserted(old, points.where("chunk_id % 2 = 0"), ["point_id"]), "once")
-    twice = files.staged(H.upserted(H.upserted(once, points, ["point_id"]), points, ["point_id"]), "twice")
-    twice.write.mode("append").partitionBy("work_id").parquet(f"{path}-full")
-    back = spark.read.schema(POINT).parquet(f"{path}-full")
+    points = files.staged(_points(spark, d), "points")
+    index = KeyedTable.create(spark, files.scratch(spark, "index"), points.schema, ["point_id"])
+    for rows in (points.where("chunk_id % 2 = 0"), points, points):
+        index.upsert(rows)
+    back = index.read()
     return back.groupBy("work_id").agg(F.count("*").alias("n_points"), F.count_distinct("point_id").alias("n_ids"), F.sum(F.size("terms")).cast("bigint").alias("n_postings"), F.sum(F.size(F.filter("vector", lambda x: x != 0))).cast("bigint").alias("n_entries"))
 
 

@@ -62,6 +62,33 @@ def test_chunks(spark):
     assert chunks(spark, [750, 751, 79]) == [0, 1, 1]
 
 
+def test_chunks_of_a_long_section_in_blocks(spark):
+    """One section of 200,000 paragraphs beside short ones, folded in blocks, against the plain fold."""
+    n = 200_000
+    size = F.pmod(F.xxhash64("index"), F.lit(1000))
+    words = F.when(size < 5, 751 + size).when(size < 60, 400).otherwise(size % 90)
+    long = spark.range(n).select(F.lit("w").alias("work_id"), F.lit(1).alias("section"), (F.col("id") * 3).alias("index")).withColumn("words", words)
+    short = spark.createDataFrame([("w", 2, k, 90) for k in range(20)] + [("v", 1, 10_000 * k, 300) for k in range(7)], "work_id string, section int, index bigint, words bigint")
+    every = long.unionByName(short)
+    want = {}
+    for r in sorted(every.collect()):
+        want.setdefault((r.work_id, r.section), []).append(r)
+    got = {(r.work_id, r.section, r["index"]): r.g for r in chunking.grouped(every, merge=False).collect()}
+    assert len(got) == n + 27
+    for (w, s), rows in want.items():
+        g, total = 0, 0
+        for r in rows:
+            if r.words > 750:
+                g += total > 0
+            assert got[w, s, r["index"]] == g
+            total += r.words
+            if r.words > 750 or total >= 500:
+                g, total = g + 1, 0
+    small = {(r.work_id, r.section, r["index"]): r.g for r in chunking.grouped(short, block=3, trailing=100).collect()}
+    assert small == {(r.work_id, r.section, r["index"]): r.g for r in chunking.grouped(short, trailing=100).collect()}
+    assert chunking.grouped(short.limit(0)).count() == 0
+
+
 def ranks(spark, hits, gold):
     h = spark.createDataFrame([("i", c, k + 1) for k, c in enumerate(hits)], "item_id string, chunk_id string, rank int")
     g = spark.createDataFrame([("i", c) for c in gold], "item_id string, chunk_id string")
@@ -107,6 +134,61 @@ def test_dense_search_equals_brute_force(spark):
     assert {(r.query_id, r.chunk_id, r["rank"]) for r in retrieval.dense_topk(q, v, 5).collect()} == want
 
 
+def test_dense_search_skips_cells_and_loses_nothing(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    heads = rng.normal(size=(12, 6)) * 4
+    x = np.concatenate([heads[k] + rng.normal(size=(80, 6)) * 0.1 for k in range(12)])
+    x = np.concatenate([x, x[:3], np.zeros((1, 6))])
+    nan, inf = float("nan"), float("inf")
+    odd = [(None, [1.0] * 6), (5000, None), (5001, []), (5002, [1.0, None] * 3), (5003, [nan] * 6), (5004, [inf] * 6), (5005, [1.0, 2.0]), (5006, [2.0, 1.0]), (5007, [1.0])]
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)] + odd, "chunk_id long, vector array<double>").repartition(3)
+    asked = {0: x[5], 1: x[500] + 0.05, 2: np.zeros(6), 3: rng.normal(size=6)}
+    rows = [(k, q.tolist()) for k, q in asked.items()] + [(None, [1.0] * 6), (9, None), (10, [1.0, 1.0]), (11, [1.0] * 4)]
+    q = spark.createDataFrame(rows, "query_id long, vector array<double>")
+
+    def unit(a):
+        n = np.linalg.norm(a, axis=-1, keepdims=True)
+        return a / np.where(n > 0, n, 1)
+
+    want = set()
+    for k, a in asked.items():
+        cos = np.round(unit(x) @ unit(a), 9)
+        want |= {(k, int(c), r + 1) for r, c in enumerate(np.lexsort((np.arange(len(x)), -cos))[:7])}
+    want |= {(10, 5005, 1), (10, 5006, 2)}
+    cells = retrieval.Cells(v)
+    got = {(r.query_id, r.chunk_id, r["rank"]) for r in retrieval.dense_topk(q, v, 7, cells).collect()}
+    assert got == want
+    units = retrieval.units(q.where("query_id = 0"), "query_id")
+    near = cells.near(units, 7, False).count() + cells.near(units.withColumn("reach", F.lit(0.2)), 7, True).count()
+    assert near < len(cells.sizes) / 2
+    assert retrieval.dense_topk(q.limit(0), v, 3).count() == 0 and retrieval.dense_topk(q, v.limit(0), 3).count() == 0
+
+
+def test_sparse_search_passes_over_frequent_terms(spark):
+    """The same hits as by all postings; postings of a term that every chunk has aren't joined."""
+    import random
+
+    rng = random.Random(3)
+    posts = [(c, "the", round(0.5 + rng.random(), 3)) for c in range(3000)]
+    posts += [(c, f"mid{rng.randrange(40)}", round(0.5 + rng.random(), 3)) for c in range(3000)]
+    posts += [(rng.randrange(3000), f"rare{k % 30}", round(1 + rng.random(), 3)) for k in range(600)]
+    posts = spark.createDataFrame(sorted({(c, t): w for c, t, w in posts}.items()), "k struct<c:long,t:string>, weight double").selectExpr("k.c AS chunk_id", "k.t AS term", "weight")
+    df = posts.groupBy("term").count().collect()
+    idf = spark.createDataFrame([(r.term, math.log(1 + (3000 - r["count"] + 0.5) / (r["count"] + 0.5))) for r in df], "term string, idf double")
+    asked = [(1, "the"), (1, "rare3"), (1, "mid5"), (2, "the"), (3, "rare7"), (3, "rare8"), (3, "the"), (4, "absent"), (5, "mid1"), (5, "mid2"), (5, "the"), (3, "the")]
+    queries = spark.createDataFrame(asked, "query_id long, term string")
+    every = queries.join(posts, "term").join(idf, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
+    for limit in (1, 5, 12):
+        rows = lambda d: {(r.query_id, r.chunk_id, r["rank"], round(r.score, 6)) for r in d.collect()}
+        assert rows(retrieval.sparse_topk(queries, posts, idf, limit)) == rows(retrieval.top(every, limit))
+    wanted, chosen = retrieval.bounded_blocks(queries, posts, idf, retrieval.term_blocks(posts), 5)
+    assert chosen.where("term = 'the' and query_id in (1, 3)").count() == 0 and chosen.where("term = 'the' and query_id = 2").count() > 0
+    joined = posts.withColumn("block", retrieval.block_of(F.col("weight"))).join(chosen, ["term", "block"]).count()
+    assert joined < 0.5 * posts.join(wanted, "term").count()
+
+
 def test_citations(spark):
     df = spark.createDataFrame([("Oui [9999_XX_c1; a , b] et [a].",), ("rien",), (None,)], "answer string").select(checks.citations(F.col("answer")).alias("c"))
     cited = [r.c for r in df.collect()]
@@ -150,6 +232,43 @@ def test_history(spark):
     assert {tuple(r) for r in history.upserted(once, new, ["turn_id"]).collect()} == {tuple(r) for r in once.collect()}
 
 
+def test_upserts_touch_their_buckets_alone(spark, tmp_path, monkeypatch):
+    import os
+
+    from quillon.sources.keyed import KeyedTable
+
+    path = f"file://{tmp_path}/t"
+    rows = spark.createDataFrame([(k if k else None, f"a{k}", [k]) for k in range(100)], "id long, text string, parts array<int>")
+    t = KeyedTable.create(spark, path, rows.schema, ["id"], buckets=8)
+    assert t.read().count() == 0 and len(t.upsert(rows)) == 8
+    files_of = lambda: {os.path.join(at, f): os.path.getmtime(os.path.join(at, f)) for at, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet")}
+    before = files_of()
+    change = spark.createDataFrame([(7, "new", [1]), (7, "newer", [0]), (None, "null", None), (200, "more", [2])], "id long, text string, parts array<int>")
+    touched = t.upsert(change)
+    assert 1 <= len(touched) <= 3 and before.items() <= files_of().items()
+    want = {k: f"a{k}" for k in range(1, 100)} | {7: "newer", None: "null", 200: "more"}
+    assert {r.id: r.text for r in t.read().collect()} == want == {r.id: r.text for r in KeyedTable(spark, path).read().collect()}
+    assert t.read().count() == 101
+    t.upsert(change)
+    assert {r.id: r.text for r in t.read().collect()} == want
+    # a run that is lost before its manifest leaves the table as it was, and can be made again
+    with monkeypatch.context() as m:
+        m.setattr(KeyedTable, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            KeyedTable(spark, path).upsert(rows)
+    again = KeyedTable.create(spark, path, rows.schema, ["id"])
+    assert {r.id: r.text for r in again.read().collect()} == want
+    # of two writers the later one fails
+    again.delete(change.where("id = 7"))
+    with pytest.raises(RuntimeError, match="another writer"):
+        t.upsert(rows)
+    again.vacuum()
+    assert {r.id: r.text for r in KeyedTable(spark, path).read().collect()} == {k: v for k, v in want.items() if k != 7}
+    ordered = KeyedTable.create(spark, f"file://{tmp_path}/o", spark.range(0).selectExpr("id", "1L AS at").schema, ["id"])
+    ordered.upsert(spark.createDataFrame([(1, 5), (1, 9), (2, 3)], "id long, at long"), "at")
+    assert {tuple(r) for r in ordered.read().collect()} == {(1, 9), (2, 3)}
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("  a   b\n c ",), ("",), (None,)], "x string")
     assert [r[0] for r in df.select(T.clean_text(F.col("x"))).collect()] == ["a b c", "", None]
