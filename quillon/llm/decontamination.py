@@ -40,7 +40,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
     item of fewer than ``width`` words is one shingle of them all, which only a text of just these words holds.  Null and
     empty texts and items hold nothing and match nothing.  Rows that repeat in id and text, or items that do, give one row; items
     of one id and several texts are judged text by text; null ids are ids like others.  Ties don't arise.  A very long text is
-    one row of hashes for each of its shingles at first and one row of all of them if it is a candidate.  Empty tables give an
+    one row for each of its shingles, hashes at first and the shingles that items have if it is a candidate.  Empty tables give an
     empty table.  Extra columns aren't read, so they can't clash.
     """
     lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,13 +57,18 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
     # written out: a count decides whether they go to the texts, which then aren't shuffled, or the texts to them
     candidates = staged(found.join(sized(sketch, BROADCAST_ROWS), "hash").select("doc_id", "text_hash", "item_id").distinct(), "candidates")
     c = candidates.select(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), F.col("item_id").alias("c_item"))
-    whole = doc.join(sized(c, BROADCAST_ROWS), doc["doc_id"].eqNullSafe(c["c_doc"]) & (doc["text_hash"] == c["c_hash"])).select("doc_id", "text_hash", "c_item", words(lower(F.col("text"))).alias("ws"))
-    whole = whole.select("doc_id", "text_hash", "c_item", shingles(F.col("ws"), width).alias("doc_shingles"))
-    full = item.select("item_id", "item_shingles")
-    checked = whole.join(sized(full, BROADCAST_ROWS), whole["c_item"].eqNullSafe(full["item_id"]))
-    shared = F.size(F.array_intersect("item_shingles", "doc_shingles"))
-    out = checked.select("doc_id", "text_hash", "item_id", F.size("item_shingles").cast("bigint").alias("n_item"), shared.cast("bigint").alias("n_shared"))
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9).distinct()
+    # a document's shingles are made once, whatever the number of its candidates, and go on as one narrow row each; only those
+    # that an item of some candidate has stay, so a document with many candidates isn't held or built many times over
+    some = c.select("c_doc", "c_hash").distinct()
+    whole = doc.join(sized(some, BROADCAST_ROWS), doc["doc_id"].eqNullSafe(F.col("c_doc")) & (doc["text_hash"] == F.col("c_hash"))).select("doc_id", "text_hash", words(lower(F.col("text"))).alias("ws"))
+    full = staged(item.select("item_id", F.xxhash64(F.array_sort("hashes"), F.size("item_shingles")).alias("item_hash"), F.size("item_shingles").alias("n_item"), F.explode("item_shingles").alias("shingle")).distinct(), "item_shingles")
+    whole = staged(whole.select("doc_id", "text_hash", F.explode(shingles(F.col("ws"), width)).alias("shingle")).join(sized(full.select("shingle").distinct(), BROADCAST_ROWS), "shingle", "left_semi").distinct(), "doc_shingles")
+    met = c.join(sized(full, BROADCAST_ROWS), F.col("c_item").eqNullSafe(full["item_id"]))
+    met = met.select("c_doc", "c_hash", F.col("item_id"), "item_hash", "n_item", F.col("shingle").alias("c_shingle"))
+    both = met.join(whole.hint("merge"), F.col("c_doc").eqNullSafe(whole["doc_id"]) & (F.col("c_hash") == whole["text_hash"]) & (F.col("c_shingle") == whole["shingle"]))
+    out = both.groupBy("doc_id", "text_hash", "item_id", "item_hash", F.col("n_item").cast("bigint").alias("n_item")).agg(F.count("*").alias("n_shared"))
+    out = out.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
+    return out.drop("item_hash").distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -31,7 +31,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Distinct words whose ids a Python worker keeps, and bytes of text whose words it holds at once.
 KEPT_WORDS, SPLIT_BYTES = 400_000, 2 << 20
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class Tokens:
@@ -150,11 +150,15 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = END_ID, max_tokens: i
     """Pieces of all ``docs``: ids as little-endian 32-bit numbers, the sequence they lie in and their offset there.
 
     A document is its tokens and then ``end_id``; a null or empty text is the end id alone, so each row has a piece.  Ids may
-    be null or repeat: a piece carries its row's id.  Repeated rows are packed each for itself.  A very long text fills sequences
+    be of any type, null or repeat: a piece carries its row's id.  Repeated rows are packed each for itself.  A very long text fills sequences
     of its own, but for its rest; ties go to the earlier document and the lower sequence.  An empty table gives no pieces.
     Extra columns aren't read, so they can't clash.
     """
     bounded_batches(docs.sparkSession)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema[doc_id].dataType
+    arrow_kind = to_arrow_type(kind)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -170,7 +174,7 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = END_ID, max_tokens: i
                 some, of = pieces[k : k + 2000], d[k : k + 2000]
                 yield pa.record_batch(
                     [
-                        pa.array([chunk[i][0] for i in of], pa.int64()),
+                        pa.array([chunk[i][0] for i in of], arrow_kind),
                         pa.array([p[1] for p in some], pa.int64()),
                         pa.array([p[2] for p in some], pa.int64()),
                         pa.array([chunk[p[0]][1][4 * p[1] : 4 * (p[1] + p[2])] for p in some], pa.binary()),
@@ -182,7 +186,7 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = END_ID, max_tokens: i
                 )
             first += max((p[3] for p in pieces), default=-1) + 1
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, {PIECES}")
 
 
 def op3_packing(spark, sf_dir, vocab_path: str | None = None):

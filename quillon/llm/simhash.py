@@ -198,7 +198,7 @@ def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     """
     keep = [c for c in docs.columns if c not in ("fingerprint", "component_id")]
     hashed, member, name = _grouped(docs.select(*keep), text, doc_id, radius, width)
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id), F.lit(0)).alias("id"), F.col(name["row"]).alias("row"))
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(name["row"]).alias("row"))
     # the minimum is taken for each fingerprint, then for each group: no group is gathered
     by_fp = hashed.groupBy(F.col(name["fp"]).alias(name["of_fp"])).agg(F.min(order).alias("first"))
     first = by_fp.join(member.hint("merge"), name["of_fp"]).groupBy(name["root"]).agg(F.min("first").alias("first"))
@@ -344,7 +344,7 @@ def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     roots = components(edges)
     known = nodes.select("key").join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left")
     member = known.select(F.col("key").alias(name["of_key"]), F.coalesce("component", "key").alias(name["root"]))
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id), F.lit(0)).alias("id"), F.col(name["row"]).alias("row"))
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(name["row"]).alias("row"))
     by_key = hashed.groupBy(F.col(f"{name['sketch']}.key").alias(name["of_key"])).agg(F.min(order).alias("first"))
     first = by_key.join(member.hint("merge"), name["of_key"]).groupBy(name["root"]).agg(F.min("first").alias("first"))
     stays = first.select(F.col("first.row").alias(name["of_key"]))

@@ -375,6 +375,19 @@ def test_op8_against_brute_force(spark, small, docs, odd, empty):
     assert decontamination.contained_items(empty, bench).count() == 0 and decontamination.clean(odd, bench.limit(0)).count() == len(ODD)
 
 
+def test_ids_of_any_type(spark):
+    from quillon.llm import packing as P
+
+    rows = [("b", "un deux trois quatre cinq six sept huit neuf dix", "s"), ("a", "un deux trois quatre cinq six sept huit neuf dix", "s"), (None, "un deux trois quatre cinq six sept huit neuf dix", "s"), ("c", "autre texte", "s"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    assert sorted((r.doc_id or "") for r in P.packed(df, vocabulary("word_bpe_49k.json")).collect()) == ["", "", "a", "b", "c"]
+    assert sorted((r.doc_id or "") for r in simhash.first_of_each(df).collect()) == ["", "a", "c"]
+    assert sorted((r.doc_id or "") for r in simhash.without_near_copies(df).collect()) == ["", "a", "c"]
+    items = spark.createDataFrame([("x", "un deux trois quatre cinq six"), ("x", "deux trois quatre cinq six sept"), ("x", "deux trois quatre cinq six sept sept six"), ("y", "un un un un un un un"), ("z", "un un un un un un")], "item_id string, text string")
+    found = Counter((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontamination.contained_items(df.unionByName(spark.createDataFrame([("d", "un un un un un un un un", "s")] * 2, df.schema)), items).collect())
+    assert found == Counter([(d, "x", 2, 2) for d in ("a", "b", None)] + [("d", "y", 1, 1), ("d", "z", 1, 1)])
+
+
 def test_op9_learns_languages(spark, odd, empty):
     folder = "/root/testdata/sf0.01"
     rows = QUERIES["op9_language"](spark, folder).join(documents(spark, folder).select("doc_id", "lang"), "doc_id").collect()
