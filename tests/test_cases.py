@@ -110,6 +110,17 @@ def test_metrics_and_breakdown(spark):
     assert (none.n, none.recall_at_1, none.mrr) == (0, 0.0, 0.0)
 
 
+def test_runs_are_compared_by_fingerprints(spark):
+    rows = [(k % 50, f"t{k}" if k % 7 else None, None if k % 5 else k) for k in range(3000)] + [(1, "x", 2)] * 3
+    schema = "a int, b string, c int"
+    one = spark.createDataFrame(rows, schema).repartition(3)
+    assert evaluation.differences(one, spark.createDataFrame(rows[::-1], schema).repartition(5)).count() == 0
+    other = [*rows[:10], (rows[10][0], None, 99), *rows[11:-1], (4, None, None), (None, None, 4)]
+    got = evaluation.differences(one, spark.createDataFrame(other, schema).select("c", "b", "a")).collect()
+    assert sorted(map(str, got)) == sorted(str(type(got[0])(a=r[0], b=r[1], c=r[2], run=run)) for r, run in [(rows[10], "first"), (rows[-1], "first"), (other[10], "second"), ((4, None, None), "second"), ((None, None, 4), "second")])
+    assert evaluation.differences(one.limit(0), one.limit(0)).count() == 0 and evaluation.differences(one, one.limit(0)).count() == len(rows)
+
+
 def test_fusion_ranks_from_zero_and_ties_go_to_smaller_ids(spark):
     one = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "query_id string, chunk_id string, rank int")
     assert abs(retrieval.rrf_fuse(one, k=60).where("chunk_id = 'a'").first().score - 1 / 60) < 1e-12
