@@ -49,7 +49,7 @@ def bounded_blocks(queries: DataFrame, posts: DataFrame, idf: DataFrame, blocks:
     over if it can't reach the floor together with all that can add less, and a block if it can't with the most of all other terms.
     ``rest`` is what the terms that are passed over can add.
     """
-    asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = files.staged(queries.groupBy("query_id", "term").agg(F.count("*").alias("times")), "terms")
     wanted = files.staged(idf.select("term", "idf").join(checked(asked), "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("gain")), "wanted")
     held = files.staged(blocks.join(checked(wanted), "term").select("query_id", "term", "block", "n", "gain", (F.col("gain") * F.col("peak")).alias("most")), "blocks")
     # a query has as many terms as its text, and a term as many blocks as there are weights: windows of a few hundred rows
