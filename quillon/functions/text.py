@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+"
 #: White space of any script, as a class that Spark and DuckDB read alike.
 BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-#: Suffixes that the light stemmer strips from words of more than STEM_FROM letters (fixed values), longest first.
-SUFFIXES = "issements|issement|ements|ement|ations|ation|euses|euse|ives|ive|ités|ité|eaux|aux|ions|ion|ings|ing|es|ed|er|s|e"
-STEM_FROM = 5
 #: Accented Latin letters and their plain forms (fixed values).
 ACCENTED, PLAIN = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
@@ -29,12 +26,6 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def stem(token: Column) -> Column:
-    """Light suffix stripping; at least three letters stay."""
-    cut = F.regexp_replace(token, f"({SUFFIXES})$", "")
-    return F.when((F.length(token) > STEM_FROM) & (F.length(cut) >= 3), cut).otherwise(token)
-
-
 def strip_accents(x: Column) -> Column:
     return F.translate(x, ACCENTED, PLAIN)
 

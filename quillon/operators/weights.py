@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import stemming as N
 
 
 def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """``key, term, tf`` of stemmed tokens; the counts are summed before the shuffle, so frequent terms cost nothing extra."""
-    terms = chunks.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("token"))
-    return terms.groupBy(key, T.stem(F.col("token")).alias("term")).agg(F.count("*").alias("tf"))
+    """``key, term, tf`` of stemmed tokens; the counts are summed before the shuffle, so frequent terms cost nothing extra.
+
+    The texts are read twice: for the distinct tokens, which are stemmed once each, and for the counts.
+    """
+    terms = N.with_stems(chunks.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("token")), "term")
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def postings(chunks: DataFrame, k: float = 1.2, b: float = 0.75, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -28,7 +32,7 @@ def postings(chunks: DataFrame, k: float = 1.2, b: float = 0.75, key: str = "chu
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
     """``key, term``: distinct stems of each query, each of weight one."""
     words = queries.select(F.col(key), F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("token"))
-    return words.select(key, T.stem(F.col("token")).alias("term")).distinct().withColumn("weight", F.lit(1.0))
+    return N.stems(words, name="term").select(key, "term").distinct().withColumn("weight", F.lit(1.0))
 
 
 def term_idf(posts: DataFrame, n_chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -10,6 +10,7 @@ from quillon.operators import history as H
 from quillon.operators import models as I
 from quillon.operators import retrieval as R
 from quillon.operators import signals as G
+from quillon.operators import stemming as N
 from quillon.operators import weights as W
 from quillon.plans import markup as MP
 from quillon.plans import retrieval as RQ
@@ -133,8 +134,9 @@ def scan_chunks(spark, d):
 
 def sink_stems(spark, d):
     path = files.scratch(spark, "stems")
-    tokens = F.transform(T.tokens(F.col("text")), lambda t: F.struct(t.alias("text"), T.stem(t).alias("stem")))
-    files.write_json(RQ._chunks(spark, d).select("work_id", "chunk_id", tokens.alias("tokens")), path)
+    chunks = RQ._chunks(spark, d)
+    lists = N.stem_lists(chunks, T.tokens(F.col("text")))
+    files.write_json(chunks.select("work_id", "chunk_id").join(lists.hint("merge"), "chunk_id").select("work_id", "chunk_id", "tokens"), path)
     back = files.read_json(spark, path, "work_id string, chunk_id bigint, tokens array<struct<text:string,stem:string>>")
     return back.select("chunk_id", F.size("tokens").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("tokens", lambda t: t["stem"]), " ")).alias("md5"))
 
@@ -183,6 +185,6 @@ ORACLES = {
     "sink_works": MP.ORACLES["corpus_parse"],
     "sink_chunks": f"{MP._CK} SELECT work_id, section, work_id || '_c' || CAST(row_number() OVER (PARTITION BY work_id ORDER BY section, g) AS VARCHAR) AS chunk_id, word_count, md5(text) AS md5 FROM ck",
     "scan_chunks": f"{MP._FM} SELECT work_id, count(DISTINCT section * 1000000 + g) AS n_chunks, count(*) AS n_paragraphs, CAST(sum(words) AS BIGINT) AS n_words FROM merged GROUP BY work_id",
-    "sink_stems": f"SELECT doc_id AS chunk_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(list_transform(t, lambda x: {S.stem('x')}), ' ')) AS md5 FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)",
-    "sink_lemmas": f"WITH lex AS (SELECT DISTINCT unnest({S.tokens('p_name')}) AS form FROM part), t AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents), w AS (SELECT doc_id, t[i] AS form, i FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM t)), l AS (SELECT doc_id, string_agg(CASE WHEN lex.form IS NULL THEN w.form ELSE {S.stem('w.form')} END, ' ' ORDER BY i) AS lemmas, string_agg(CASE WHEN lex.form IS NULL THEN 'X' ELSE 'NOUN' END, ' ' ORDER BY i) AS pos FROM w LEFT JOIN lex ON lex.form = w.form GROUP BY doc_id) SELECT t.doc_id AS chunk_id, CAST(len(t) AS BIGINT) AS n, md5(coalesce(lemmas, '')) AS md5, md5(coalesce(pos, '')) AS pos_md5 FROM t LEFT JOIN l ON l.doc_id = t.doc_id",
+    "sink_stems": f"WITH {S.stem_lists()} SELECT doc_id AS chunk_id, n, md5(s) AS md5 FROM lists",
+    "sink_lemmas": f"WITH p AS (SELECT unnest({S.tokens('p_name')}) AS token FROM part), lex AS {S.stems('p')}, t AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents), w AS (SELECT doc_id, t[i] AS form, i FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM t)), l AS (SELECT doc_id, string_agg(coalesce(stem, form), ' ' ORDER BY i) AS lemmas, string_agg(CASE WHEN token IS NULL THEN 'X' ELSE 'NOUN' END, ' ' ORDER BY i) AS pos FROM w LEFT JOIN lex ON token = form GROUP BY doc_id) SELECT t.doc_id AS chunk_id, CAST(len(t) AS BIGINT) AS n, md5(coalesce(lemmas, '')) AS md5, md5(coalesce(pos, '')) AS pos_md5 FROM t LEFT JOIN l ON l.doc_id = t.doc_id",
 }

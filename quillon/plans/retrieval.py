@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import retrieval as R
+from quillon.operators import stemming as N
 from quillon.operators import weights as W
 from quillon.plans import sql as S
 from quillon.sources import files
@@ -38,11 +39,12 @@ def tokenize(spark, d):
 def stem(spark, d):
     """Stems of the distinct tokens, worked out once each."""
     words = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return words.select("token", T.stem(F.col("token")).alias("stem"), "n")
+    return N.stems(words)
 
 
 def _lexicon(spark, d):
-    return table(spark, d, "part").select(F.explode(T.tokens(F.col("p_name"))).alias("form")).distinct().select("form", T.stem(F.col("form")).alias("lemma"), F.lit("NOUN").alias("pos"))
+    forms = table(spark, d, "part").select(F.explode(T.tokens(F.col("p_name"))).alias("form")).distinct()
+    return N.stems(forms, "form", "lemma").withColumn("pos", F.lit("NOUN"))
 
 
 def lemmatize(spark, d):
@@ -52,14 +54,16 @@ def lemmatize(spark, d):
     return forms.join(R.checked(lexicon), "form", "left").select("form", F.coalesce("lemma", "form").alias("lemma"), F.coalesce("pos", F.lit("X")).alias("pos"), "n")
 
 
+def _stemmed(spark, d):
+    return N.stem_lists(table(spark, d, "documents").select("doc_id", "text"), T.tokens(F.col("text")), "doc_id")
+
+
 def normalize(spark, d):
-    out = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    stems = F.transform("t", lambda t: T.stem(t))
-    return out.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join(stems, " ")).alias("stems_md5"))
+    return _stemmed(spark, d).select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.md5(F.array_join("tokens.stem", " ")).alias("stems_md5"))
 
 
 def bm25_text(spark, d):
-    out = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(T.tokens(F.col("text")), lambda t: T.stem(t)), " ").alias("s"))
+    out = _stemmed(spark, d).select("doc_id", F.array_join("tokens.stem", " ").alias("s"))
     return out.select("doc_id", F.length("s").cast("bigint").alias("n_chars"), F.substring("s", 1, 80).alias("head"), F.md5("s").alias("md5"))
 
 
@@ -202,12 +206,12 @@ def _retrieved(limit: int, queries: str = S.ITEMS) -> str:
 
 ORACLES = {
     "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_TOK} AS t FROM documents)",
-    "stem": f"SELECT token, {S.stem('token')} AS stem, count(*) AS n FROM (SELECT unnest({_TOK}) AS token FROM documents) GROUP BY token",
-    "lemmatize": f"WITH lex AS (SELECT DISTINCT unnest({S.tokens('p_name')}) AS form FROM part), f AS (SELECT form, count(*) AS n FROM (SELECT unnest({_TOK}) AS form FROM documents) GROUP BY form) SELECT f.form, CASE WHEN lex.form IS NULL THEN f.form ELSE {S.stem('lex.form')} END AS lemma, CASE WHEN lex.form IS NULL THEN 'X' ELSE 'NOUN' END AS pos, n FROM f LEFT JOIN lex ON f.form = lex.form",
-    "normalize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(list_transform(t, lambda x: {S.stem('x')}), ' ')) AS stems_md5 FROM (SELECT doc_id, {_TOK} AS t FROM documents)",
-    "bm25_text": f"SELECT doc_id, length(s) AS n_chars, substr(s, 1, 80) AS head, md5(s) AS md5 FROM (SELECT doc_id, array_to_string(list_transform({_TOK}, lambda x: {S.stem('x')}), ' ') AS s FROM documents)",
+    "stem": f"WITH w AS (SELECT unnest({_TOK}) AS token FROM documents) SELECT token, stem, count(*) AS n FROM w JOIN {S.stems('w')} USING (token) GROUP BY ALL",
+    "lemmatize": f"WITH w AS (SELECT unnest({S.tokens('p_name')}) AS token FROM part), lex AS {S.stems('w')}, f AS (SELECT form, count(*) AS n FROM (SELECT unnest({_TOK}) AS form FROM documents) GROUP BY form) SELECT f.form, coalesce(stem, f.form) AS lemma, CASE WHEN token IS NULL THEN 'X' ELSE 'NOUN' END AS pos, n FROM f LEFT JOIN lex ON f.form = token",
+    "normalize": f"WITH {S.stem_lists()} SELECT doc_id, n, md5(s) AS stems_md5 FROM lists",
+    "bm25_text": f"WITH {S.stem_lists()} SELECT doc_id, length(s) AS n_chars, substr(s, 1, 80) AS head, md5(s) AS md5 FROM lists",
     "bm25_doc_weights": f"WITH {S.POSTINGS} SELECT chunk_id, term, round(weight, 6) AS weight FROM posts",
-    "bm25_query_terms": f"SELECT DISTINCT query_id, {S.stem('token')} AS term, CAST(1.0 AS DOUBLE) AS weight FROM (SELECT query_id, unnest({_TOK}) AS token FROM {S.ITEMS})",
+    "bm25_query_terms": f"WITH w AS (SELECT query_id, unnest({_TOK}) AS token FROM {S.ITEMS}) SELECT DISTINCT query_id, stem AS term, CAST(1.0 AS DOUBLE) AS weight FROM w JOIN {S.stems('w')} USING (token)",
     "bm25_idf": f"WITH {S.POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "embed_dense": f"WITH {_CH} SELECT chunk_id, dim, round(v, 6) AS value FROM hvn",
     "point_id": "SELECT doc_id, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(x, 17, 1))::BIGINT % 4 + 1] || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS point_id FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk/' || CAST(doc_id AS VARCHAR))) AS x FROM documents)",

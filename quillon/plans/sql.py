@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.functions.text import ACCENTED, PLAIN, STEM_FROM, SUFFIXES
+from quillon.functions.text import ACCENTED, PLAIN
+from quillon.operators import stemming as N
 
 BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -11,9 +12,50 @@ def tokens(x: str) -> str:
     return rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}_]+')"
 
 
-def stem(t: str) -> str:
-    cut = f"regexp_replace({t}, '({SUFFIXES})$', '')"
-    return f"CASE WHEN length({t}) > {STEM_FROM} AND length({cut}) >= 3 THEN {cut} ELSE {t} END"
+def stems(tokens: str) -> str:
+    """A subquery ``token, stem`` with the French stems of the distinct words of ``tokens(token)``."""
+    v, end = N.VOWELS, N.at_end
+    some = lambda words: "(" + ", ".join(f"'{x}'" for x in words) + ")"
+    piece = f"""CASE WHEN x = 'ë' THEN 'He' WHEN x = 'ï' THEN 'Hi' WHEN x = 'qu' THEN 'qU'
+ WHEN regexp_matches(x, '^[{v}][ui][{v}]$') THEN x[1] || upper(x[2]) || x[3]
+ WHEN regexp_matches(x, '^[{v}]y$') THEN x[1] || 'Y' WHEN regexp_matches(x, '^y[{v}]$') THEN 'Y' || x[2] ELSE x END"""
+    upto = lambda pattern: f"coalesce(nullif(length(regexp_extract(w, '{pattern}')), 0), length(w))"
+    # k letters are left before the suffix s, j before the suffix t of what is left
+    ement = f"""CASE WHEN t = 'iv' AND j >= p2 AND right(c, 2) = 'at' AND j - 2 >= p2 THEN left(c, j - 2) WHEN t IN ('iv', 'eus', 'abl', 'iqU') AND j >= p2 THEN c
+ WHEN t = 'eus' AND j >= p1 THEN c || 'eux' WHEN t IN ('ièr', 'Ièr') AND j >= pv THEN c || 'i' ELSE b END"""
+    ite = "CASE WHEN t IN ('abil', 'ic', 'iv') AND j >= p2 THEN c WHEN t = 'abil' THEN c || 'abl' WHEN t = 'ic' THEN c || 'iqU' ELSE b END"
+    ive = "CASE WHEN t <> 'at' OR j < p2 THEN b WHEN right(c, 2) <> 'ic' THEN c WHEN j - 2 >= p2 THEN left(c, j - 2) ELSE left(c, j - 2) || 'iqU' END"
+    done = f"""CASE WHEN s IN {some(N.NOUNS)} AND k >= p2 THEN b WHEN s IN {some(N.ATIONS)} AND k >= p2 THEN CASE WHEN t = 'ic' THEN CASE WHEN j >= p2 THEN c ELSE c || 'iqU' END ELSE b END
+ WHEN s IN {some(N.LOGIES)} AND k >= p2 THEN b || 'log' WHEN s IN {some(N.UTIONS)} AND k >= p2 THEN b || 'u' WHEN s IN {some(N.ENCES)} AND k >= p2 THEN b || 'ent'
+ WHEN s IN {some(N.EMENTS)} AND k >= pv THEN {ement} WHEN s IN {some(N.ITES)} AND k >= p2 THEN {ite} WHEN s IN {some(N.IFS)} AND k >= p2 THEN {ive}
+ WHEN s = 'eaux' THEN b || 'eau' WHEN s = 'aux' AND k >= p1 THEN b || 'al' WHEN s IN {some(N.EUSES)} AND k >= p2 THEN b WHEN s IN {some(N.EUSES)} AND k >= p1 THEN b || 'eux'
+ WHEN s IN {some(N.ISSEMENTS)} AND k >= p1 AND regexp_matches(b, '[^{v}]$') THEN b END"""
+    behind = f"CASE WHEN s = 'amment' AND k >= pv THEN b || 'ant' WHEN s = 'emment' AND k >= pv THEN b || 'ent' WHEN s IN {some(N.MENTS)} AND regexp_matches(b, '[{v}]$') AND k - 1 >= pv THEN b ELSE w END"
+    verb = f"""CASE WHEN i <> '' AND length(r) > length(i) AND regexp_matches(r[length(r) - length(i)], '[^{v}H]') THEN left(w, length(w) - length(i))
+ WHEN e = 'ions' THEN CASE WHEN length(w) - 4 >= p2 THEN left(w, length(w) - 4) END
+ WHEN e IN {some(N.A_VERBS)} AND length(r) > length(e) AND r[length(r) - length(e)] = 'e' THEN left(w, length(w) - length(e) - 1)
+ WHEN e <> '' THEN left(w, length(w) - length(e)) END"""
+    left = f"""CASE WHEN s = 'ion' AND length(w) - 3 >= p2 AND regexp_matches(r, '[st]ion$') THEN left(w, length(w) - 3) WHEN s IN ('ier', 'ière', 'Ier', 'Ière') THEN left(w, length(w) - length(s)) || 'i'
+ WHEN s = 'e' THEN left(w, length(w) - 1) ELSE w END"""
+    q = f"SELECT token, array_to_string(list_transform(regexp_extract_all(token, '{N.PIECES}'), lambda x: {piece}), '') AS w FROM (SELECT DISTINCT token FROM {tokens})"
+    q = f"SELECT *, CASE WHEN regexp_matches(w, '^(?:[{v}]{{2}}.|{'|'.join(N.SHORT)})') THEN 3 ELSE {upto(N.RV)} END AS pv, {upto(N.R1)} AS p1, {upto(N.R2)} AS p2, regexp_extract(w, '{end(N.STANDARD)}') AS s FROM ({q})"
+    q = f"SELECT *, length(b) AS k, regexp_extract(b, '{end(N.INNER)}') AS t FROM (SELECT *, left(w, length(w) - length(s)) AS b FROM ({q}))"
+    q = f"SELECT token, pv, p2, {done} AS done, {behind} AS behind FROM (SELECT *, k - length(t) AS j, left(b, k - length(t)) AS c FROM ({q}))"
+    q = f"SELECT *, coalesce(done, behind) AS w, substr(coalesce(done, behind), pv + 1) AS r FROM ({q})"
+    q = f"SELECT *, regexp_extract(r, '{end(N.I_VERBS)}') AS i, regexp_extract(r, '{end(('ions', *N.ER_VERBS, *N.A_VERBS))}') AS e FROM ({q})"
+    q = f"SELECT token, pv, p2, w AS whole, coalesce(done, {verb}) AS found FROM ({q})"
+    q = f"SELECT *, substr(w, pv + 1) AS r FROM (SELECT *, CASE WHEN regexp_matches(whole, '(?:Hi|[^{N.KEEP_S}])s$') THEN left(whole, length(whole) - 1) ELSE whole END AS w FROM ({q}))"
+    q = f"SELECT token, coalesce(regexp_replace(regexp_replace(found, 'Y$', 'i'), 'ç$', 'c'), {left}) AS w FROM (SELECT *, regexp_extract(r, '{end(N.RESIDUAL)}') AS s FROM ({q}))"
+    q = f"SELECT token, regexp_replace(CASE WHEN regexp_matches(w, '{end(N.DOUBLES)}') THEN left(w, length(w) - 1) ELSE w END, '[éè]([^{v}]+)$', 'e\\1') AS w FROM ({q})"
+    return f"(SELECT token, replace(replace(replace(replace(replace(replace(w, 'He', 'ë'), 'Hi', 'ï'), 'H', ''), 'I', 'i'), 'U', 'u'), 'Y', 'y') AS stem FROM ({q}))"
+
+
+def stem_lists() -> str:
+    """CTEs to ``lists(doc_id, n, s)``: each document's number of words and its stems, joined by spaces."""
+    words = "(SELECT doc_id, t[i] AS token, i FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM t))"
+    return f"""t AS (SELECT doc_id, {tokens("text")} AS t FROM documents), w AS {words},
+joined AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY i) AS s FROM w JOIN {stems("w")} USING (token) GROUP BY doc_id),
+lists AS (SELECT t.doc_id, CAST(len(t) AS BIGINT) AS n, coalesce(s, '') AS s FROM t LEFT JOIN joined USING (doc_id))"""
 
 
 def clean(x: str) -> str:
@@ -31,7 +73,8 @@ def plain(x: str) -> str:
 #: Chunks are documents; queries are benchmark items.
 POSTINGS = f"""
 tok AS (SELECT doc_id AS chunk_id, unnest({tokens("text")}) AS token FROM documents),
-tf AS (SELECT chunk_id, {stem("token")} AS term, count(*) AS tf FROM tok GROUP BY ALL),
+stems AS {stems("tok")},
+tf AS (SELECT chunk_id, stem AS term, count(*) AS tf FROM tok JOIN stems USING (token) GROUP BY ALL),
 size AS (SELECT chunk_id, sum(tf) AS size FROM tf GROUP BY chunk_id),
 posts AS (SELECT tf.chunk_id, term, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / (SELECT avg(size) FROM size))) AS weight FROM tf JOIN size USING (chunk_id)),
 idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term)
@@ -45,7 +88,8 @@ def ranked(hits: str, limit: int | str, score: str = "score") -> str:
 def channels(queries: str, limit: int = 50) -> str:
     """CTEs from POSTINGS to the two channels for ``queries(query_id, text)``."""
     return f"""{POSTINGS},
-qterms AS (SELECT DISTINCT query_id, {stem("token")} AS term FROM (SELECT query_id, unnest({tokens("text")}) AS token FROM {queries})),
+qtok AS (SELECT query_id, unnest({tokens("text")}) AS token FROM {queries}),
+qterms AS (SELECT DISTINCT query_id, stem AS term FROM qtok JOIN {stems("qtok")} USING (token)),
 sscore AS (SELECT query_id, chunk_id, sum(weight * idf) AS score FROM qterms JOIN posts USING (term) JOIN idf USING (term) GROUP BY ALL),
 sparse AS ({ranked("sscore", limit)}),
 hv AS (SELECT chunk_id, CAST(('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS INTEGER) AS dim, count(*) AS tf FROM tok GROUP BY ALL),
