@@ -58,7 +58,7 @@ def _marked(piece: Column) -> Column:
     """A piece with its consonantal u, i or y in upper case and its diaeresis spelt out."""
     first, last = F.substring(piece, 1, 1), F.substring(piece, 3, 1)
     return (
-        F.when(piece == "ë", "He").when(piece == "ï", "Hi").when(piece == "qu", "qU")
+        F.when(piece == "ë", "He").when(piece == "ï", "Hi").when(F.length(piece) == 1, piece).when(piece == "qu", "qU")
         .when(piece.rlike(f"^[{VOWELS}]u[{VOWELS}]$"), F.concat(first, F.lit("U"), last))
         .when(piece.rlike(f"^[{VOWELS}]i[{VOWELS}]$"), F.concat(first, F.lit("I"), last))
         .when(piece.rlike(f"^[{VOWELS}]y$"), F.concat(first, F.lit("Y")))
