@@ -141,13 +141,15 @@ def stems(words: DataFrame, token: str = "token", name: str = "stem") -> DataFra
     return w.select(*[F.col("others")[c].alias(c) for c in words.columns if c != name], x.alias(name))
 
 
-def with_stems(rows: DataFrame, name: str = "stem") -> DataFrame:
+def with_stems(rows: DataFrame, name: str = "stem", words: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``name``, the stem of their ``token``; rows without a token go.
 
+    ``words`` holds the tokens of ``rows``, if there is a table that gives them for less than ``rows`` does.
+
     Each distinct token is stemmed once.  The stems are written and joined back: broadcast if they are found small, else by a
     sort-merge join, which Spark splits where a token is hot.
     """
-    known = files.staged(stems(rows.where("token is not null").select("token").distinct(), name=name), "stems")
+    known = files.staged(stems((words or rows).where("token is not null").select("token").distinct(), name=name), "stems")
     return rows.join(checked(known), "token")
 
 

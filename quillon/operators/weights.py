@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import stemming as N
+from quillon.sources import files
 
 
 def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -15,16 +16,18 @@ def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text") ->
     The texts are read twice: for the distinct tokens, which are stemmed once each, and for the counts.  Tokens are counted in their
     chunk before they meet their stems, so a token that is hot by a few long texts is one row for each.
     """
-    counts = chunks.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    return N.with_stems(counts, "term").groupBy(key, "term").agg(F.sum("n").alias("tf"))
+    words = chunks.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("token"))
+    counts = words.groupBy(key, "token").agg(F.count("*").alias("n"))
+    return N.with_stems(counts, "term", words).groupBy(key, "term").agg(F.sum("n").alias("tf"))
 
 
 def postings(chunks: DataFrame, k: float = 1.2, b: float = 0.75, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """``key, term, weight``: saturated term frequency with length normalisation."""
-    counts = term_counts(chunks, key, text)
+    # read twice: for the sizes and for the weights
+    counts = files.staged(term_counts(chunks, key, text), "counts")
     sizes = counts.groupBy(key).agg(F.sum("tf").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean_size"))
-    # both come from one exchange by key; the mean is one row
+    # the mean is one row
     scaled = counts.join(sizes.hint("merge"), key).crossJoin(F.broadcast(mean))
     weight = F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("size") / F.col("mean_size")))
     return scaled.select(key, "term", weight.alias("weight"))
