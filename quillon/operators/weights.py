@@ -11,10 +11,10 @@ from quillon.sources import files
 
 
 def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """``key, term, tf`` of stemmed tokens; the counts are summed before the shuffle, so frequent terms cost nothing extra.
+    """``key, term, tf`` of stemmed tokens; each task sums its counts before they are shuffled by chunk.
 
     The texts are read twice: for the distinct tokens, which are stemmed once each, and for the counts.  Tokens go to their stems
-    uncounted: few repeat in a chunk, and one exchange less is made so.
+    uncounted, which is one exchange less; where the stems are too many to broadcast, a hot token is split by Spark's skew join.
     """
     terms = N.with_stems(chunks.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("token")), "term")
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
