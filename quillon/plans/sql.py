@@ -86,11 +86,15 @@ def ranked(hits: str, limit: int | str, score: str = "score") -> str:
 
 
 def channels(queries: str, limit: int = 50) -> str:
-    """CTEs from POSTINGS to the two channels for ``queries(query_id, text)``."""
+    """CTEs from POSTINGS to the two channels for ``queries(query_id, text)``.
+
+    The parts of a sparse score are whole units of 1e-12 before they are added: sums of doubles depend on their order, so that copies
+    of a text would differ in the last digit, and in rank where nine decimals part them.
+    """
     return f"""{POSTINGS},
 qtok AS (SELECT query_id, unnest({tokens("text")}) AS token FROM {queries}),
 qterms AS (SELECT DISTINCT query_id, stem AS term FROM qtok JOIN {stems("qtok")} USING (token)),
-sscore AS (SELECT query_id, chunk_id, sum(weight * idf) AS score FROM qterms JOIN posts USING (term) JOIN idf USING (term) GROUP BY ALL),
+sscore AS (SELECT query_id, chunk_id, sum(CAST(floor(weight * idf * 1e12 + 0.5) AS BIGINT)) / 1e12 AS score FROM qterms JOIN posts USING (term) JOIN idf USING (term) GROUP BY ALL),
 sparse AS ({ranked("sscore", limit)}),
 hv AS (SELECT chunk_id, CAST(('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS INTEGER) AS dim, count(*) AS tf FROM tok GROUP BY ALL),
 hvn AS (SELECT chunk_id, dim, tf / sqrt(CAST(sum(tf * tf) OVER (PARTITION BY chunk_id) AS DOUBLE)) AS v FROM hv),
