@@ -90,14 +90,15 @@ def grouped(paras: DataFrame, full: int = FULL, oversize: int = OVERSIZE, traili
     blocks = files.staged(blocks.select(*KEYS, F.transform("rows", lambda r: r["index"]).alias("index"), F.transform("rows", lambda r: r["words"]).alias("words")), "blocks")
     begun = blocks.join(starts(blocks, full, oversize).hint("merge"), KEYS, "left")
     g = fold("words", F.coalesce("total", F.lit(0).cast("bigint")), F.coalesce("group", F.lit(0).cast("bigint")))
-    g = begun.select("work_id", "section", F.explode(F.arrays_zip("index", g.alias("g"))).alias("o")).select("work_id", "section", "o.index", "o.g")
-    out = paras.join(g.hint("merge"), ["work_id", "section", "index"])
-    if not merge:
-        return out
-    sizes = out.groupBy("work_id", "section", "g").agg(F.sum("words").alias("size"))
-    last = sizes.groupBy("work_id", "section").agg(F.max("g").alias("last"), F.max_by("size", "g").alias("last_size"))
-    small = (F.col("g") == F.col("last")) & (F.col("last") > 0) & (F.col("last_size") < trailing)
-    return out.join(last.hint("merge"), ["work_id", "section"]).withColumn("g", F.when(small, F.col("g") - 1).otherwise(F.col("g"))).drop("last", "last_size")
+    g = begun.select("work_id", "section", F.explode(F.arrays_zip("index", "words", g.alias("g"))).alias("o")).select("work_id", "section", "o.index", "o.words", "o.g")
+    if merge:
+        # numbers alone tell which groups are short, so the paragraphs are joined once
+        g = files.staged(g, "groups")
+        sizes = g.groupBy("work_id", "section", "g").agg(F.sum("words").alias("size"))
+        last = sizes.groupBy("work_id", "section").agg(F.max("g").alias("last"), F.max_by("size", "g").alias("last_size"))
+        small = (F.col("g") == F.col("last")) & (F.col("last") > 0) & (F.col("last_size") < trailing)
+        g = g.join(last.hint("merge"), ["work_id", "section"]).withColumn("g", F.when(small, F.col("g") - 1).otherwise(F.col("g")))
+    return paras.join(g.select("work_id", "section", "index", "g").hint("merge"), ["work_id", "section", "index"])
 
 
 def built(members: DataFrame) -> DataFrame:
