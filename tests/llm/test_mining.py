@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -118,6 +119,46 @@ def test_op12_full_buckets_lose_nothing(spark, small):
     assert sorted(map(tuple, phrases.collocations(docs, bucket_bits=4).collect())) == want
 
 
+@pytest.fixture(scope="module")
+def weak_and_strong(spark):
+    """Nearly 3,600 pairs of common words that are frequent but weak, and 40 pairs of words that only occur together."""
+    draw = random.Random(12)
+    rows = [(" ".join(f"w{draw.randrange(60)}" for _ in range(200)), "en") for _ in range(100)]
+    rows += [(". ".join(f"p{k} q{k}" for k in range(40)), "en")] * 3 + [("a b. a b. a c", "de")]
+    return rows, spark.createDataFrame(rows, "text string, lang string")
+
+
+def windows_of(monkeypatch):
+    """Rows of each table of windows that is written from now on."""
+    found, staged = [], phrases.staged
+
+    def counting(df, name="stage"):
+        out = staged(df, name)
+        if name == "windows":
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(phrases, "staged", counting)
+    return found
+
+
+def test_op12_weak_phrases_are_not_handed_on(monkeypatch, weak_and_strong):
+    """Phrases that are frequent but can't be among the best are not counted: their number grows faster than the input."""
+    rows, df = weak_and_strong
+    found = windows_of(monkeypatch)
+    got = phrases.collocations(df, least=2, top=5, sampled=2)
+    assert sorted(map(tuple, got.collect())) == plain_phrases(rows, 2, 80, 5)
+    assert found[-1] < 100
+
+
+@pytest.mark.parametrize("goal", [{"en": 1_000_001}, {"en": 1_000_000, "de": 900_000}, {"en": 20_000}])
+def test_op12_goals_decide_nothing(monkeypatch, weak_and_strong, goal):
+    """A language that doesn't reach its goal is counted anew without one."""
+    rows, df = weak_and_strong
+    monkeypatch.setattr(phrases, "goals", lambda *_: goal)
+    assert sorted(map(tuple, phrases.collocations(df, least=2, top=50, bucket_bits=16).collect())) == plain_phrases(rows, 2, 80, 50)
+
+
 def plain_targets(sizes, weights=(1, 2, 3), most=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
